@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folddup, neardup
+from . import folddup, leakage, neardup
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.cross_split_pairs(_read(spark, sf, "clean_corpus"), "pos", "text", "split", ngram=3, threshold=Fraction(3, 5))
+    return found.select(F.least("train", "eval").alias("pos_a"), F.greatest("train", "eval").alias("pos_b"))
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split and source: records, records found in train, pairs, copies."""
+    rows = _read(spark, sf, "clean_corpus")
+    found = leakage.cross_split_pairs(rows, "pos", "text", "split", ngram=3, threshold=Fraction(3, 5))
+    per = found.groupBy(F.col("eval").alias("pos")).agg(F.count("*").alias("pairs"), F.sum("copy").alias("copies"))
+    joined = rows.filter("split <> 'train'").select("pos", "split", "source").join(per, "pos", "left")
+    return joined.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"))
+
+
+def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.coverage(_read(spark, sf, "clean_corpus"), "pos", "text", "split", ngram=3, threshold=Fraction(3, 5))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = folddup.text_copies(_read(spark, sf, "clean_corpus"), "pos", "text")
     records = folddup.record_copies(_read(spark, sf, "raw_records"), "line_number", "value")
@@ -27,6 +46,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_report": p3_report,
+        "p3_coverage": p3_coverage,
         "p5_found": p5_found,
         "p6_found": p6_found,
     }
