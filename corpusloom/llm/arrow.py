@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .kernel import chunks
 
@@ -22,9 +21,10 @@ def text_groups(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[
             at += len(group)
 
 
-def lists(value: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list array of consecutive slices of ``value``."""
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value, kind))
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary array of consecutive slices of bytes."""
+    at = pa.py_buffer(np.ascontiguousarray(bounds, np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def need_columns(df: DataFrame, *names: str) -> None:
@@ -33,13 +33,5 @@ def need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The scan itself; files of many row groups already split into tasks."""
-    return df
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-__all__ = ["F", "lists", "need_columns", "parallelism", "spread", "text_groups"]

@@ -9,12 +9,14 @@ and suffix filters, joined on prefix n-grams, each pair verified once.
 2. A count sketch of a fixed number of cells, filled from all n-grams of all
    texts, orders n-grams rare-first.  Any order is exact; this one is merely
    quick.  Its size is a parameter, so its broadcast is bounded.
-3. A class posts the first n - ceil(t n) + 1 n-grams of its order.  Postings
-   are partitioned and sorted by n-gram; within one n-gram the length filter
-   and the positional filter choose candidate pairs.
-4. Candidate pairs are made distinct, both sets are brought together once per
-   pair, the suffix filter (a bisection of both sets at a pivot) ends hopeless
-   comparisons early, and the similarity is computed from the whole sets.
+3. A class posts the first n - ceil(t n) + 1 n-grams of its order, packed by
+   bucket of n-gram; the number of buckets follows the number of postings.
+   Within one n-gram the length filter, the positional filter and a suffix
+   filter choose candidates.  The suffix filter compares parity bitmaps of the
+   whole sets: the bits in which they differ are a lower bound of the
+   symmetric difference, so no pair over the threshold is lost.
+4. Candidates are made distinct, both sets are brought together once per pair
+   and the similarity is computed from the whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,55 +32,80 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import cut
 
-from .arrow import need_columns, parallelism, text_groups
+from .arrow import binaries, need_columns, parallelism, text_groups
 from .kernel import Chunk, mix, unique_per_document
 
 SKETCH_BITS = 20
 BLOCK = 1 << 14
 SALTS = 8
+BUCKET_POSTINGS = 1_000_000
+BLOOM_BITS = 23
+PAIR_BLOCK = 1 << 17
+POSTING = np.dtype([("gram", "<u4"), ("at", "<u2")])
 
 
-def sketch(df: DataFrame, text: str, ngram: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Occurrence counts of all n-grams of all texts in ``2**bits`` cells.
+def _packed(cells: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(block, cells): the blocks of an array of cells that are not all zero."""
+    blocks = [cells[i : i + BLOCK] for i in range(0, cells.size, BLOCK)]
+    held = [(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()]
+    return pa.array([i for i, _ in held], pa.int32()), pa.array([b for _, b in held], pa.binary())
 
-    Partial sketches are made where the rows are and merged by cell block in a
-    shuffle; the driver receives the final cells only, 4 bytes each.
-    """
 
-    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint32)
-        for _, group in text_groups(batches, text):
-            value, doc = Chunk(group).shingles(ngram)
-            value, _ = unique_per_document(value, doc, len(group))
-            cells += np.bincount((value >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        blocks = [cells[i : i + BLOCK] for i in range(0, cells.size, BLOCK)]
-        held = [(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int32()), pa.array([b for _, b in held], pa.binary())], ["block", "cells"])
+def _merged(parts: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
+    """Cells of all tasks, merged by block in a shuffle; the driver receives ``size`` cells."""
 
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist()):
-                add = np.frombuffer(raw, np.uint32).astype(np.uint64)
-                total[i] = total[i] + add if i in total else add
-        most = np.uint64(0xFFFFFFFF)
-        rows = [(i, np.minimum(v, most).astype(np.uint32).tobytes()) for i, v in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["block", "cells"])
-
-    schema = "block int, cells binary"
-    parts = df.select(text).mapInArrow(partial, schema)
-    n = max(1, (1 << bits) // BLOCK)
-    merged = parts.repartition(min(n, parallelism(df.sparkSession)), "block").mapInArrow(merge, schema)
-    cells = np.zeros(1 << bits, np.uint32)
-    for row in merged.collect():
-        own = np.frombuffer(bytes(row["cells"]), np.uint32)
+                add = np.frombuffer(raw, dtype)
+                total[i] = join(total[i], add) if i in total else add
+        rows = sorted(total.items())
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b.tobytes() for _, b in rows], pa.binary())], ["block", "cells"])
+
+    n = max(1, min(-(-size // BLOCK), parallelism(parts.sparkSession)))
+    cells = np.zeros(size, dtype)
+    for row in parts.repartition(n, "block").mapInArrow(run, "block int, cells binary").collect():
+        own = np.frombuffer(bytes(row["cells"]), dtype)
         cells[row["block"] * BLOCK : row["block"] * BLOCK + own.size] = own
     return cells
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Smallest intersection with which sets of these sizes reach num/den."""
-    return -((-(a + b) * num) // (num + den))
+def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a + b < a, np.uint32(0xFFFFFFFF), a + b)
+
+
+def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, DataFrame]:
+    """One pass over (key, text): the count sketch and (key, cls, n, fold).
+
+    The sketch counts the distinct n-grams of every text in ``2**bits`` cells.
+    ``cls`` names a text's n-gram set, ``fold`` its letters and digits in
+    order; texts without n-grams are left out of the table.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, np.uint32)
+        for batch, group in text_groups(batches, "text"):
+            chunk = Chunk(group)
+            value, doc = chunk.shingles(ngram)
+            value, bounds = unique_per_document(value, doc, len(group))
+            cell, count = np.unique((value >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            cells[cell] = _saturating(cells[cell], count.astype(np.uint32))
+            size = np.diff(bounds)
+            has = pa.array(size > 0)
+            one, two, length = chunk.fold_keys()
+            fold = mix(one.view(np.uint64) ^ mix(two.view(np.uint64) + length.astype(np.uint64))).view(np.int64)
+            key = batch.column("key").filter(has)
+            none = pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())
+            yield pa.RecordBatch.from_arrays([*none, key, *(pa.array(x).filter(has) for x in (set_classes(value, bounds), size, fold))], names)
+        block, raw = _packed(cells)
+        none = [pa.nulls(len(block), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([block, raw, *none], names)
+
+    names = ["block", "cells", "key", "cls", "n", "fold"]
+    both = cut(df.select("key", "text").mapInArrow(run, "block int, cells binary, key bigint, cls bigint, n bigint, fold bigint"))
+    cells = _merged(both.filter("block is not null").select("block", "cells"), 1 << bits, np.uint32, _saturating)
+    return cells, both.filter("block is null").select("key", "cls", "n", "fold")
 
 
 def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -92,37 +118,31 @@ def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(out[0] ^ mix(out[1] + size)).view(np.int64)
 
 
-def class_table(df: DataFrame, key: str, text: str, ngram: int) -> DataFrame:
-    """(key, cls, n, fold) of every text that has at least one n-gram.
+def bitmap_widths(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's parity bitmap: the power of two from 1.25 to 2.5 times its size, 64 at least."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1) * 1.25)).astype(np.int64))
 
-    ``cls`` names its n-gram set, ``fold`` its letters and digits in order.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, group in text_groups(batches, text):
-            chunk = Chunk(group)
-            value, doc = chunk.shingles(ngram)
-            value, bounds = unique_per_document(value, doc, len(group))
-            size = np.diff(bounds)
-            has = size > 0
-            one, two, length = chunk.fold_keys()
-            fold = mix(one.view(np.uint64) ^ mix(two.view(np.uint64) + length.astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(has)), pa.array(set_classes(value, bounds)[has]), pa.array(size[has], pa.int64()), pa.array(fold[has])], [key, "cls", "n", "fold"])
-
-    return df.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, cls bigint, n bigint, fold bigint")
+def parity_bitmaps(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of every set's bitmap: bit h(x) is the parity of its members there."""
+    width = bitmap_widths(np.diff(bounds))
+    base = np.concatenate(([0], np.cumsum(width)))
+    owner = np.repeat(np.arange(width.size), np.diff(bounds))
+    bit = base[owner] + (mix(value ^ np.uint64(0xB17)).astype(np.int64) & (width[owner] - 1))
+    odd = (np.bincount(bit, minlength=int(base[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little"), base // 8
 
 
-def postings(df: DataFrame, text: str, ngram: int, threshold: Fraction, order: object, bits: int) -> DataFrame:
-    """(gram, cls, n, at): the rare-first prefix of every class; a class once per task chunk."""
+def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int) -> DataFrame:
+    """(bucket, cls, n, bits, grams): rare-first prefixes, packed by class and bucket; a class once per task chunk."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = order.value
-        for _, group in text_groups(batches, text):
+        for _, group in text_groups(batches, "text"):
             value, doc = Chunk(group).shingles(ngram)
             value, bounds = unique_per_document(value, doc, len(group))
-            cls = set_classes(value, bounds)
-            size = np.diff(bounds)
+            cls, size = set_classes(value, bounds), np.diff(bounds)
             _, first = np.unique(cls, return_index=True)
             once = np.zeros(len(group), np.bool_)
             once[first] = True
@@ -133,37 +153,101 @@ def postings(df: DataFrame, text: str, ngram: int, threshold: Fraction, order: o
             at = np.arange(value.size) - bounds[owner]
             prefix = size + (-size * num) // den + 1
             keep = once[owner] & (at < prefix[owner])
-            who = owner[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(value[by][keep].view(np.int64)), pa.array(cls[who]), pa.array((size[who] << 24 | np.minimum(at[keep], 0xFFFFFF)).astype(np.int64))], ["gram", "cls", "n_at"])
-
-    return df.select(text).mapInArrow(run, "gram bigint, cls bigint, n_at bigint")
-
-
-def _pairs_of_runs(cls: np.ndarray, n_at: np.ndarray, starts: np.ndarray, ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among the postings of each n-gram, sorted by size within it."""
-    n, at = n_at >> 24, n_at & 0xFFFFFF
-    left, right = [], []
-    longest = int((ends - starts).max(initial=1))
-    index = np.arange(cls.size)
-    stop = np.repeat(ends, ends - starts)
-    for gap in range(1, longest):
-        within = index + gap < stop
-        i, stop = index[within], stop[within]
-        if not i.size:
-            break
-        j = i + gap
-        near = n[i] * den >= n[j] * num
-        # sizes rise within a run: once a posting's partner is too long, so are all later ones
-        index, stop = i[near], stop[near]
-        i, j = index, j[near]
-        need = least_overlap(n[i], n[j], num, den)
-        can = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need
-        can &= cls[i] != cls[j]
-        left.append(np.minimum(cls[i[can]], cls[j[can]]))
-        right.append(np.maximum(cls[i[can]], cls[j[can]]))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+            gram, who, at = mix(value[by][keep]), owner[keep], at[keep]
+            bucket = (gram >> np.uint64(32)).astype(np.int64) % buckets
+            group_by = np.lexsort((bucket, who))
+            gram, who, at, bucket = gram[group_by], who[group_by], at[group_by], bucket[group_by]
+            row = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (bucket[1:] != bucket[:-1])))) if who.size else np.zeros(0, np.int64)
+            packed = np.empty(gram.size, POSTING)
+            packed["gram"] = gram.astype(np.uint32)
+            packed["at"] = np.minimum(at, 0xFFFF)
+            maps = binaries(*parity_bitmaps(value, bounds))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[row], pa.int32()), pa.array(cls[who[row]]), pa.array(size[who[row]], pa.int64()), maps.take(pa.array(who[row])), binaries(packed.view(np.uint8), np.concatenate((row, [gram.size])) * POSTING.itemsize)],
+                ["bucket", "cls", "n", "bits", "grams"],
+            )
+
+    return df.select("text").mapInArrow(run, "bucket int, cls bigint, n bigint, bits binary, grams binary")
+
+
+class Bucket:
+    """Postings of one bucket, and the search for its candidate pairs."""
+
+    def __init__(self, rows: pa.Table, num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.cls = rows["cls"].to_numpy()
+        self.n = rows["n"].to_numpy()
+        maps, self.map_at = _flat(rows["bits"])
+        self.words = np.frombuffer(maps.tobytes(), "<u8")
+        self.map_at = self.map_at // 8
+        self.width = bitmap_widths(self.n) // 64
+        raw, at = _flat(rows["grams"])
+        packed = np.frombuffer(raw.tobytes(), POSTING)
+        row = np.repeat(np.arange(self.cls.size), np.diff(at) // POSTING.itemsize)
+        order = np.lexsort((self.n[row], packed["gram"]))
+        self.gram, self.at, self.row = packed["gram"][order], packed["at"][order].astype(np.int64), row[order]
+
+    def _suffix(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether the bitmaps of rows i and j allow ``least`` common members; n[i] <= n[j]."""
+        ok = np.zeros(i.size, np.bool_)
+        room = self.n[i] + self.n[j] - 2 * least
+        for narrow, wide in {*zip(self.width[i].tolist(), self.width[j].tolist())}:
+            own = np.flatnonzero((self.width[i] == narrow) & (self.width[j] == wide))
+            for s in range(0, own.size, max(1, PAIR_BLOCK // wide)):
+                part = own[s : s + max(1, PAIR_BLOCK // wide)]
+                a = self.words[self.map_at[i[part]][:, None] + np.arange(narrow)]
+                b = self.words[self.map_at[j[part]][:, None] + np.arange(wide)]
+                if wide != narrow:
+                    b = np.bitwise_xor.reduce(b.reshape(len(part), -1, narrow), axis=1)
+                ok[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= room[part]
+        return ok
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs (smaller, larger class) that pass all filters."""
+        if not self.gram.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], self.gram[1:] != self.gram[:-1])))
+        ends = np.concatenate((starts[1:], [self.gram.size]))
+        index, stop = np.arange(self.gram.size), np.repeat(ends, ends - starts)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        gap, held = 1, 0
+        while True:
+            within = index + gap < stop
+            index, stop = index[within], stop[within]
+            if not index.size:
+                break
+            i, j = self.row[index], self.row[index + gap]
+            n, m = self.n[i], self.n[j]
+            near = n * self.den >= m * self.num
+            # sizes rise within an n-gram: once a partner is too large, so are all later ones
+            index, stop, i, j, n, m = index[near], stop[near], i[near], j[near], n[near], m[near]
+            least = -((-(n + m) * self.num) // (self.num + self.den))
+            p, q = self.at[index], self.at[index + gap]
+            can = np.minimum(p, q) + np.minimum(n - p, m - q) >= least
+            can |= (p == 0xFFFF) | (q == 0xFFFF)
+            can &= self.cls[i] != self.cls[j]
+            i, j, least = i[can], j[can], least[can]
+            ok = self._suffix(i, j, least)
+            a, b = self.cls[i[ok]], self.cls[j[ok]]
+            left.append(np.minimum(a, b))
+            right.append(np.maximum(a, b))
+            held += a.size
+            if held > 1 << 21:
+                a, b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
+                left, right, held = [a], [b], 0
+            gap += 1
+        return _distinct_pairs(np.concatenate(left), np.concatenate(right))
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+    for chunk in column.chunks:
+        if len(chunk):
+            at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]])
+            sizes.append(np.diff(at).astype(np.int64))
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,51 +259,34 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b
 
 
-def candidates(posted: DataFrame, threshold: Fraction) -> DataFrame:
+def candidates(posted: DataFrame, threshold: Fraction, buckets: int) -> DataFrame:
     """Distinct (a, b) of classes that share a prefix n-gram and pass the filters."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        known_a, known_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def close(gram: np.ndarray, cls: np.ndarray, n_at: np.ndarray) -> None:
-            nonlocal known_a, known_b
-            if not gram.size:
-                return
-            starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            ends = np.concatenate((starts[1:], [gram.size]))
-            a, b = _pairs_of_runs(cls, n_at, starts, ends, num, den)
-            known_a, known_b = _distinct_pairs(np.concatenate((known_a, a)), np.concatenate((known_b, b)))
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            a, b = Bucket(pa.Table.from_batches(held), num, den).candidates()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "cls", "n_at")]
-            if rest is not None:
-                own = [np.concatenate(x) for x in zip(rest, own)]
-            gram = own[0]
-            edge = int(np.searchsorted(gram, gram[-1])) if gram.size else 0
-            close(*(x[:edge] for x in own))
-            rest = [x[edge:] for x in own]
-            if known_a.size > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(known_a), pa.array(known_b)], ["a", "b"])
-                known_a, known_b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if rest is not None:
-            close(*rest)
-        yield pa.RecordBatch.from_arrays([pa.array(known_a), pa.array(known_b)], ["a", "b"])
-
-    n = parallelism(posted.sparkSession)
-    sorted_ = posted.repartition(n, "gram").sortWithinPartitions("gram", "n_at", "cls")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
-    """Upper bound of the intersection of two sorted sets by bisection at pivots of ``y``."""
-    if depth == 0 or x.size == 0 or y.size == 0:
-        return min(x.size, y.size)
-    middle = y.size // 2
-    cut_at = int(np.searchsorted(x, y[middle]))
-    hit = int(cut_at < x.size and x[cut_at] == y[middle])
-    return suffix_bound(x[:cut_at], y[:middle], depth - 1) + hit + suffix_bound(x[cut_at + hit :], y[middle + 1 :], depth - 1)
+            bucket = batch.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if held and bucket[s] != now:
+                    yield close()
+                    held.clear()
+                now = bucket[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield close()
+
+    n = min(buckets, parallelism(posted.sparkSession))
+    return posted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verify(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -227,25 +294,38 @@ def _verify(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[p
     home = salt = None
     mine = np.zeros(0, np.uint32)
     for batch in batches:
-        out_a, out_b, out_n = [], [], []
+        out: list[tuple[int, int, int]] = []
         for h, s, m, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "member", "grams"))):
             grams = np.frombuffer(raw, np.uint32)
             if (h, s) != (home, salt):
                 home, salt, mine = h, s, grams
                 continue
-            need = -(-(mine.size + grams.size) * num // (num + den))
-            if suffix_bound(mine, grams) < need:
-                continue
-            both = int(np.isin(grams, mine, assume_unique=True, kind="sort").sum()) if mine.size else 0
-            if both >= need:
-                out_a.append(h)
-                out_b.append(m)
-                out_n.append(both)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_n, pa.int64())], ["a", "b", "shared"])
+            shared = int(np.isin(grams, mine, assume_unique=True, kind="sort").sum()) if mine.size else 0
+            if shared * (num + den) >= (mine.size + grams.size) * num:
+                out.append((h, m, shared))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["a", "b", "shared"])
+
+
+def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of fixed size over the keys; a full one only filters less."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            for bit in _bloom_bits(batch.column("key").to_numpy(), bits):
+                np.bitwise_or.at(cells, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([*_packed(cells)], ["block", "cells"])
+
+    return _merged(keys.mapInArrow(run, "block int, cells binary"), 1 << (bits - 3), np.uint8, np.bitwise_or)
+
+
+def _bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(keys.astype(np.int64).view(np.uint64))
+    return [(h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)]
 
 
 def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members(key, cls, n)`` and ``links(a, b, shared)`` between classes.
+    """(members, links): ``members(key, cls, n, fold)`` and ``links(a, b, shared)`` between classes.
 
     A link stands for a pair of different n-gram sets whose Jaccard similarity
     is at least ``threshold``; rows of one class have similarity 1.  Null and
@@ -258,29 +338,39 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
         raise ValueError("threshold must be in (0, 1] and ngram at least 1")
     spark: SparkSession = df.sparkSession
     base = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    cells = sketch(base, "text", ngram, bits)
+    cells, members = first_pass(base, ngram, bits)
     order = spark.sparkContext.broadcast(cells)
-    pairs = cut(candidates(postings(base, "text", ngram, threshold, order, bits), threshold))
-    members = cut(class_table(base, "key", "text", ngram))
+    posted = float(cells.sum(dtype=np.float64)) * float(1 - threshold)
+    buckets = max(parallelism(spark), int(posted // BUCKET_POSTINGS) + 1)
+    pairs = cut(candidates(postings(base, ngram, threshold, order, bits, buckets), threshold, buckets))
 
-    num, den = threshold.numerator, threshold.denominator
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    chosen = members.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi")
+    chosen = cut(members.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi"))
+    maybe = spark.sparkContext.broadcast(_bloom(chosen.select("key"), BLOOM_BITS))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, group in text_groups(batches, "text"):
+        cells = maybe.value
+
+        def likely() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), np.bool_)
+                for bit in _bloom_bits(batch.column("key").to_numpy(), BLOOM_BITS):
+                    keep &= (cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                yield batch.filter(pa.array(keep))
+
+        for batch, group in text_groups(likely(), "text"):
             value, doc = Chunk(group).shingles(ngram)
             value, bounds = unique_per_document(value, doc, len(group))
             short = [np.unique(value[bounds[i] : bounds[i + 1]].astype(np.uint32)).tobytes() for i in range(len(group))]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(short, pa.binary())], ["cls", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(short, pa.binary())], ["key", "grams"])
 
-    sets = base.join(chosen, "key").select("cls", "text").mapInArrow(grams, "cls bigint, grams binary")
+    sets = base.mapInArrow(grams, "key bigint, grams binary").join(chosen, "key").select("cls", "grams")
     salted = pairs.select(F.col("a").alias("home"), F.pmod("b", F.lit(SALTS)).cast("int").alias("salt"), F.col("b").alias("member"))
     own = salted.select("home", "salt", F.col("home").alias("member")).distinct()
     sent = salted.unionByName(own).join(sets, F.col("member") == F.col("cls")).select("home", "salt", "member", "grams", (F.col("member") != F.col("home")).alias("other"))
     together = sent.repartition(parallelism(spark), "home", "salt").sortWithinPartitions("home", "salt", "other")
-    links = together.mapInArrow(functools.partial(_verify, num=num, den=den), "a bigint, b bigint, shared bigint")
-    return members.withColumnRenamed("key", key), links
+    links = together.mapInArrow(functools.partial(_verify, num=threshold.numerator, den=threshold.denominator), "a bigint, b bigint, shared bigint")
+    return members.withColumnRenamed("key", key), cut(links)
 
 
 def found_pairs(df: DataFrame, key: str, text: str, *, ngram: int = 3, threshold: float | Fraction = Fraction(3, 5)) -> DataFrame:
