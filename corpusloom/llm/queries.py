@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folddup, leakage, neardup
+from . import folddup, language, leakage, neardup
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +44,22 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.found_pairs(_read(spark, sf, "clean_corpus"), "pos", "text")
 
 
+def _language_model(spark: SparkSession, sf: str) -> language.Model:
+    return language.fit_from(_read(spark, sf, "documents"), "doc_id", "text", "lang", _read(spark, sf, "common_words"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.wrong_or_mixed(_read(spark, sf, "documents"), "doc_id", "text", "lang", _language_model(spark, sf))
+
+
+def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return language.documents(_read(spark, sf, "documents"), "doc_id", "text", _language_model(spark, sf))
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return language.segments(_read(spark, sf, "documents"), "doc_id", "text", _language_model(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
@@ -51,4 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_coverage": p3_coverage,
         "p5_found": p5_found,
         "p6_found": p6_found,
+        "p9_found": p9_found,
+        "p9_documents": p9_documents,
+        "p9_segments": p9_segments,
     }
