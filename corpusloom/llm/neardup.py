@@ -119,8 +119,8 @@ def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def bitmap_widths(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's parity bitmap: the power of two from 1.25 to 2.5 times its size, 64 at least."""
-    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1) * 1.25)).astype(np.int64))
+    """Bits of a set's parity bitmap: the power of two from 2.5 to 5 times its size, 64 at least."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1) * 2.5)).astype(np.int64))
 
 
 def parity_bitmaps(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +133,38 @@ def parity_bitmaps(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     return np.packbits(odd, bitorder="little"), base // 8
 
 
+class Bitmaps:
+    """Parity bitmaps of many sets, laid end to end, with the sets' sizes."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        self.words = np.frombuffer(np.ascontiguousarray(raw).tobytes(), "<u8")
+        self.at, self.size, self.width = at // 8, size, bitmap_widths(size) // 64
+
+    def take(self, row: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of rows of at least ``width`` words, folded to it."""
+        own = int(self.width[row[0]]) if row.size else width
+        got = self.words[self.at[row][:, None] + np.arange(own)]
+        return got if own == width else np.bitwise_xor.reduce(got.reshape(len(row), -1, width), axis=1)
+
+
+def may_share(one: Bitmaps, i: np.ndarray, two: Bitmaps, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Suffix filter: whether sets i and j can have ``least`` common members.
+
+    Bits in which two parity bitmaps differ are a lower bound of the symmetric
+    difference.  Wider bitmaps fold onto narrower ones.
+    """
+    ok = np.zeros(i.size, np.bool_)
+    room = one.size[i] + two.size[j] - 2 * least
+    for p, q in {*zip(one.width[i].tolist(), two.width[j].tolist())}:
+        own = np.flatnonzero((one.width[i] == p) & (two.width[j] == q))
+        narrow, step = min(p, q), max(1, PAIR_BLOCK // max(p, q))
+        for s in range(0, own.size, step):
+            part = own[s : s + step]
+            differ = np.bitwise_count(one.take(i[part], narrow) ^ two.take(j[part], narrow))
+            ok[part] = differ.sum(axis=1, dtype=np.int64) <= room[part]
+    return ok
+
+
 def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int) -> DataFrame:
     """(bucket, cls, n, bits, grams): rare-first prefixes, packed by class and bucket; a class once per task chunk."""
     num, den = threshold.numerator, threshold.denominator
@@ -177,31 +209,13 @@ class Bucket:
         self.num, self.den = num, den
         self.cls = rows["cls"].to_numpy()
         self.n = rows["n"].to_numpy()
-        maps, self.map_at = _flat(rows["bits"])
-        self.words = np.frombuffer(maps.tobytes(), "<u8")
-        self.map_at = self.map_at // 8
-        self.width = bitmap_widths(self.n) // 64
+        self.maps = Bitmaps(*_flat(rows["bits"]), self.n)
         raw, at = _flat(rows["grams"])
         packed = np.frombuffer(raw.tobytes(), POSTING)
         row = np.repeat(np.arange(self.cls.size), np.diff(at) // POSTING.itemsize)
         order = np.lexsort((self.n[row], packed["gram"]))
         self.gram, self.at, self.row = packed["gram"][order], packed["at"][order].astype(np.int64), row[order]
 
-    def _suffix(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Whether the bitmaps of rows i and j allow ``least`` common members; n[i] <= n[j]."""
-        ok = np.zeros(i.size, np.bool_)
-        room = self.n[i] + self.n[j] - 2 * least
-        for narrow, wide in {*zip(self.width[i].tolist(), self.width[j].tolist())}:
-            own = np.flatnonzero((self.width[i] == narrow) & (self.width[j] == wide))
-            for s in range(0, own.size, max(1, PAIR_BLOCK // wide)):
-                part = own[s : s + max(1, PAIR_BLOCK // wide)]
-                a = self.words[self.map_at[i[part]][:, None] + np.arange(narrow)]
-                b = self.words[self.map_at[j[part]][:, None] + np.arange(wide)]
-                if wide != narrow:
-                    b = np.bitwise_xor.reduce(b.reshape(len(part), -1, narrow), axis=1)
-                ok[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= room[part]
-        return ok
-
     def candidates(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (smaller, larger class) that pass all filters."""
         if not self.gram.size:
@@ -227,7 +241,7 @@ class Bucket:
             can |= (p == 0xFFFF) | (q == 0xFFFF)
             can &= self.cls[i] != self.cls[j]
             i, j, least = i[can], j[can], least[can]
-            ok = self._suffix(i, j, least)
+            ok = may_share(self.maps, i, self.maps, j, least)
             a, b = self.cls[i[ok]], self.cls[j[ok]]
             left.append(np.minimum(a, b))
             right.append(np.maximum(a, b))
