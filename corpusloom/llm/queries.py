@@ -8,13 +8,22 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folddup, language, leakage, neardup
+from . import folddup, language, leakage, neardup, quality
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_stats(spark: SparkSession, sf: str) -> DataFrame:
+    words = [r["word"] for r in _read(spark, sf, "common_words").filter("word is not null").collect()]
+    return quality.statistics(_read(spark, sf, "clean_corpus"), "pos", "text", words)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.not_prose(p1_stats(spark, sf), "pos")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     found = leakage.cross_split_pairs(_read(spark, sf, "clean_corpus"), "pos", "text", "split", ngram=3, threshold=Fraction(3, 5))
     return found.select(F.least("train", "eval").alias("pos_a"), F.greatest("train", "eval").alias("pos_b"))
@@ -62,6 +71,8 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_stats": p1_stats,
         "p3_found": p3_found,
         "p3_report": p3_report,
         "p3_coverage": p3_coverage,
