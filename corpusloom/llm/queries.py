@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folddup, language, leakage, neardup, quality
+from . import folddup, language, leakage, markup, neardup, quality
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.not_prose(p1_stats(spark, sf), "pos")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.found(_read(spark, sf, "clean_corpus"), "pos", "text")
+
+
+def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.cleaned(_read(spark, sf, "clean_corpus"), "pos", "text")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     found = leakage.cross_split_pairs(_read(spark, sf, "clean_corpus"), "pos", "text", "split", ngram=3, threshold=Fraction(3, 5))
     return found.select(F.least("train", "eval").alias("pos_a"), F.greatest("train", "eval").alias("pos_b"))
@@ -73,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_stats": p1_stats,
+        "p2_found": p2_found,
+        "p2_clean": p2_clean,
         "p3_found": p3_found,
         "p3_report": p3_report,
         "p3_coverage": p3_coverage,
