@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folddup, language, leakage, markup, neardup, quality
+from . import folddup, language, leakage, markup, neardup, pieces, quality
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,6 +50,21 @@ def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.coverage(_read(spark, sf, "clean_corpus"), "pos", "text", "split", ngram=3, threshold=Fraction(3, 5))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = pieces.oversized(p4_text_pieces(spark, sf), "pos")
+    tokens = pieces.oversized(p4_token_pieces(spark, sf), "pos")
+    name = lambda d, n: d.select(F.lit(n).alias("table_name"), "pos")
+    return name(texts, "clean_corpus").unionByName(name(tokens, "token_store"))
+
+
+def p4_text_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.text_pieces(_read(spark, sf, "clean_corpus"), "pos", "text")
+
+
+def p4_token_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.token_pieces(_read(spark, sf, "token_store"), _read(spark, sf, "vocabulary"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = folddup.text_copies(_read(spark, sf, "clean_corpus"), "pos", "text")
     records = folddup.record_copies(_read(spark, sf, "raw_records"), "line_number", "value")
@@ -86,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_report": p3_report,
         "p3_coverage": p3_coverage,
+        "p4_found": p4_found,
+        "p4_text_pieces": p4_text_pieces,
+        "p4_token_pieces": p4_token_pieces,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p9_found": p9_found,
