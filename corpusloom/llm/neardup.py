@@ -44,14 +44,14 @@ PAIR_BLOCK = 1 << 17
 POSTING = np.dtype([("gram", "<u4"), ("at", "<u2")])
 
 
-def _packed(cells: np.ndarray) -> tuple[pa.Array, pa.Array]:
+def packed_blocks(cells: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(block, cells): the blocks of an array of cells that are not all zero."""
     blocks = [cells[i : i + BLOCK] for i in range(0, cells.size, BLOCK)]
     held = [(i, b.tobytes()) for i, b in enumerate(blocks) if b.any()]
     return pa.array([i for i, _ in held], pa.int32()), pa.array([b for _, b in held], pa.binary())
 
 
-def _merged(parts: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
+def merged_blocks(parts: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
     """Cells of all tasks, merged by block in a shuffle; the driver receives ``size`` cells."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +71,7 @@ def _merged(parts: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndar
     return cells
 
 
-def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def saturating_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a + b < a, np.uint32(0xFFFFFFFF), a + b)
 
 
@@ -90,7 +90,7 @@ def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.n
             value, doc = chunk.shingles(ngram)
             value, bounds = unique_per_document(value, doc, len(group))
             cell, count = np.unique((value >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            cells[cell] = _saturating(cells[cell], count.astype(np.uint32))
+            cells[cell] = saturating_sum(cells[cell], count.astype(np.uint32))
             size = np.diff(bounds)
             has = pa.array(size > 0)
             one, two, length = chunk.fold_keys()
@@ -98,13 +98,13 @@ def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.n
             key = batch.column("key").filter(has)
             none = pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())
             yield pa.RecordBatch.from_arrays([*none, key, *(pa.array(x).filter(has) for x in (set_classes(value, bounds), size, fold))], names)
-        block, raw = _packed(cells)
+        block, raw = packed_blocks(cells)
         none = [pa.nulls(len(block), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([block, raw, *none], names)
 
     names = ["block", "cells", "key", "cls", "n", "fold"]
     both = cut(df.select("key", "text").mapInArrow(run, "block int, cells binary, key bigint, cls bigint, n bigint, fold bigint"))
-    cells = _merged(both.filter("block is not null").select("block", "cells"), 1 << bits, np.uint32, _saturating)
+    cells = merged_blocks(both.filter("block is not null").select("block", "cells"), 1 << bits, np.uint32, saturating_sum)
     return cells, both.filter("block is null").select("key", "cls", "n", "fold")
 
 
@@ -328,9 +328,9 @@ def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             for bit in _bloom_bits(batch.column("key").to_numpy(), bits):
                 np.bitwise_or.at(cells, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([*_packed(cells)], ["block", "cells"])
+        yield pa.RecordBatch.from_arrays([*packed_blocks(cells)], ["block", "cells"])
 
-    return _merged(keys.mapInArrow(run, "block int, cells binary"), 1 << (bits - 3), np.uint8, np.bitwise_or)
+    return merged_blocks(keys.mapInArrow(run, "block int, cells binary"), 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
 def _bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
