@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folddup, language, leakage, markup, neardup, pieces, quality
+from . import folddup, language, leakage, markup, mixing, neardup, packing, pieces, quality
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,6 +76,32 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.found_pairs(_read(spark, sf, "clean_corpus"), "pos", "text")
 
 
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(_read(spark, sf, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_containers(spark, sf).filter("pieces > 1 and piece = 0").select("doc_id")
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.report(p7_containers(spark, sf))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    targets = _read(spark, sf, "source_targets")
+    sized = mixing.sized_rows(_read(spark, sf, "documents"), targets, "doc_id", "text", "source")
+    return mixing.allocation(sized, targets).filter("not reachable").select("source")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "text", "source")[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "text", "source")[1]
+
+
 def _language_model(spark: SparkSession, sf: str) -> language.Model:
     return language.fit_from(_read(spark, sf, "documents"), "doc_id", "text", "lang", _read(spark, sf, "common_words"))
 
@@ -106,6 +132,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_token_pieces": p4_token_pieces,
         "p5_found": p5_found,
         "p6_found": p6_found,
+        "p7_found": p7_found,
+        "p7_containers": p7_containers,
+        "p7_report": p7_report,
+        "p8_found": p8_found,
+        "p8_mix": p8_mix,
+        "p8_shares": p8_shares,
         "p9_found": p9_found,
         "p9_documents": p9_documents,
         "p9_segments": p9_segments,
