@@ -41,8 +41,35 @@ def normalize_text(text: str | None) -> str | None:
         return None
     if not isinstance(text, str):
         raise TypeError(f"text must be a string, not {type(text).__name__}")
-    text = unicodedata.normalize("NFKC", text)
-    if not (text.isascii() and text.isprintable()):
-        text = "".join([" " if c.isspace() else c for c in text]) if not text.isprintable() else text
-        text = _dropped().sub("", text)
-    return " ".join(text.split()) or None
+    text = " ".join(unicodedata.normalize("NFKC", text).split())
+    if not text.isprintable():
+        text = " ".join(_dropped().sub("", text).split())
+    return text or None
+
+
+@functools.lru_cache(maxsize=None)
+def accent_table() -> tuple[str, str]:
+    """(characters, replacements) that strip accents; characters beyond the replacements are deleted.
+
+    A character maps to what its canonical decomposition leaves without
+    nonspacing marks, where that is one other character.
+    """
+    single, bare, gone = [], [], []
+    for i in range(sys.maxunicode + 1):
+        if 0xD800 <= i < 0xE000:
+            continue
+        c = chr(i)
+        left = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if not left:
+            gone.append(c)
+        elif left != c and len(left) == 1:
+            single.append(c)
+            bare.append(left)
+    return "".join(single) + "".join(gone), "".join(bare)
+
+
+@functools.lru_cache(maxsize=None)
+def digit_table() -> tuple[str, str]:
+    """(decimal digits of other scripts, their ASCII digits)."""
+    found = [chr(i) for i in range(128, sys.maxunicode + 1) if chr(i).isdecimal()]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
