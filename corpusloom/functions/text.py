@@ -12,6 +12,7 @@ from collections.abc import Collection
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .chars import accent_table, digit_table, normalize_text
 
@@ -26,7 +27,7 @@ PUNCTUATION = "!-/:-@\\[-`{-~\\p{P}"
 _RUN, _OPEN, _CLOSE, _NAMES = 0xE000, 0xE001, 0xE002, 0xE100
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 
