@@ -120,7 +120,7 @@ def text_keys(df: DataFrame, key: str, text: str) -> DataFrame:
             keep = pa.array(~blank)
             yield pa.RecordBatch.from_arrays([batch.column("key").filter(keep), pa.array(one).filter(keep), pa.array(two).filter(keep), pa.array(size, pa.int64()).filter(keep)], ["key", "k1", "k2", "size"])
 
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
     return rows.mapInArrow(run, "key bigint, k1 bigint, k2 bigint, size bigint")
 
 
@@ -155,7 +155,7 @@ def json_keys(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
                 rows = [(k, _signed(_json_key(r, a, 0)), _signed(_json_key(r, b, 1)), len(r)) for k, r in held]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["key", "k1", "k2", "size"])
 
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(value).alias("text")).filter(F.col("text").isNotNull())
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(value).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
     return rows.mapInArrow(run, "key bigint, k1 bigint, k2 bigint, size bigint")
 
 

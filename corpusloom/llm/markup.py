@@ -30,8 +30,8 @@ from .arrow import need_columns
 
 MARKUPS = ("html", "markdown", "wiki", "latex")
 CERTAIN = 1000
-PLAIN = 4
-SMOOTH_NEXT, SMOOTH_SECTION, SMOOTH_ELEMENT = 2, 1, 3
+PLAIN = 11
+SMOOTH_NEXT, SMOOTH_SECTION, SMOOTH_ELEMENT = 8, 4, 9
 
 # Element names of HTML.
 ELEMENTS = (
@@ -91,23 +91,24 @@ SURE = {
     ],
 }
 
-# Ambiguous constructs and the capacity with which they speak for a markup.
+# Ambiguous constructs and the capacity with which they speak for a markup: most a
+# little under PLAIN, so that alone they are plain and beside certain ones they are not.
 MAYBE = {
     "html": [],
     "markdown": [
-        (re.compile(r"^\s*[-*+] +\S"), 3),
-        (re.compile(r"^\s*\d{1,3}[.)] +\S"), 2),
-        (re.compile(r"^\s*\|.*\|\s*$"), 3),
-        (re.compile(r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$"), 3),
-        (re.compile(r"(?<![\w*])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])"), 5),
-        (re.compile(r"(?<![\w_])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_])"), 5),
+        (re.compile(r"^\s*[-*+] +\S"), 10),
+        (re.compile(r"^\s*\d{1,3}[.)] +\S"), 8),
+        (re.compile(r"^\s*\|.*\|\s*$"), 10),
+        (re.compile(r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$"), 10),
+        (re.compile(r"(?<![\w*])\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*(?![\w*])"), 13),
+        (re.compile(r"(?<![\w_])_(?=[^\s_])[^_\n]+(?<=[^\s_])_(?![\w_])"), 13),
     ],
     "wiki": [
-        (re.compile(r"^[*#:;]+ *\S"), 3),
-        (re.compile(r"^\s*(?:\|-|\||!)"), 3),
-        (re.compile(r"\}\}\s*$"), 3),
+        (re.compile(r"^[*#:;]+ *\S"), 10),
+        (re.compile(r"^\s*(?:\|-|\||!)"), 10),
+        (re.compile(r"\}\}\s*$"), 10),
     ],
-    "latex": [(re.compile(r"(?<!\\)~\\|\s&\s.*\\\\"), 3), (re.compile(r"^\s*%"), 1)],
+    "latex": [(re.compile(r"(?<!\\)~\\|\s&\s.*\\\\"), 10), (re.compile(r"^\s*%"), 4)],
 }
 
 #: One pass that every text with a construct passes; texts without any are done.
@@ -181,7 +182,7 @@ def classify(blocks: list[Block]) -> None:
             b.sure["html"] = any(m[0][1] == "#" or m[0][1:-1].lower() in _ENTITIES for m in ENTITY.finditer(b.text))
         if UNDERLINE.match(b.text) and i and not UNDERLINE.match(blocks[i - 1].text) and blocks[i - 1].start + len(blocks[i - 1].text) + 1 == b.start:
             b.sure["markdown"] = b.sure["markdown"] or (b.text[0] == "=" and len(blocks[i - 1].text) <= 120)
-            b.maybe["markdown"] += 3
+            b.maybe["markdown"] += 10
 
 
 class Cut:
@@ -249,7 +250,7 @@ def label(blocks: list[Block], yes: list[int], no: list[int]) -> list[bool]:
     last: dict[tuple, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            near = b.start <= blocks[i - 1].start + len(blocks[i - 1].text) + 2
+            near = b.start == blocks[i - 1].start + len(blocks[i - 1].text) + 1
             graph.edge(i - 1, i, SMOOTH_NEXT * near + 1, SMOOTH_NEXT * near + 1)
         for key, weight in ((("section", b.section), SMOOTH_SECTION), *((("element", e), SMOOTH_ELEMENT) for e in b.element[-1:])):
             if key in last and last[key] != i - 1:

@@ -341,6 +341,8 @@ def _bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members(key, cls, n, fold)`` and ``links(a, b, shared)`` between classes.
 
+    Rows of null key take no part; repeated rows are members each.
+
     A link stands for a pair of different n-gram sets whose Jaccard similarity
     is at least ``threshold``; rows of one class have similarity 1.  Null and
     empty texts and texts of fewer than ``ngram`` words have no n-grams and
@@ -351,7 +353,7 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
     if not 0 < threshold <= 1 or ngram < 1:
         raise ValueError("threshold must be in (0, 1] and ngram at least 1")
     spark: SparkSession = df.sparkSession
-    base = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    base = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
     cells, members = first_pass(base, ngram, bits)
     order = spark.sparkContext.broadcast(cells)
     posted = float(cells.sum(dtype=np.float64)) * float(1 - threshold)
@@ -384,7 +386,7 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
     sent = salted.unionByName(own).join(sets, F.col("member") == F.col("cls")).select("home", "salt", "member", "grams", (F.col("member") != F.col("home")).alias("other"))
     together = sent.repartition(parallelism(spark), "home", "salt").sortWithinPartitions("home", "salt", "other")
     links = together.mapInArrow(functools.partial(_verify, num=threshold.numerator, den=threshold.denominator), "a bigint, b bigint, shared bigint")
-    return members.withColumnRenamed("key", key), cut(links)
+    return members, cut(links)
 
 
 def found_pairs(df: DataFrame, key: str, text: str, *, ngram: int = 3, threshold: float | Fraction = Fraction(3, 5)) -> DataFrame:
@@ -398,8 +400,8 @@ def found_pairs(df: DataFrame, key: str, text: str, *, ngram: int = 3, threshold
     mixed = members.groupBy("cls").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi")).filter("lo <> hi")
     inner = mixed.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     whole = links.select("a", "b").unionByName(inner)
-    left = members.select(F.col(key).alias("ka"), F.col("cls").alias("a"), F.col("fold").alias("fa"))
-    right = members.select(F.col(key).alias("kb"), F.col("cls").alias("b"), F.col("fold").alias("fb"))
+    left = members.select(F.col("key").alias("ka"), F.col("cls").alias("a"), F.col("fold").alias("fa"))
+    right = members.select(F.col("key").alias("kb"), F.col("cls").alias("b"), F.col("fold").alias("fb"))
     both = whole.join(left, "a").join(right, "b").filter("fa <> fb and (a <> b or ka < kb)")
     return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
 
@@ -410,8 +412,9 @@ def grouped(df: DataFrame, key: str, text: str, *, ngram: int = 5, threshold: fl
     Rows without n-grams get a class of their own and no links.
     """
     members, links = similar_classes(df, key, text, ngram=ngram, threshold=threshold)
-    first = members.groupBy("cls").agg(F.min(key).alias("class_id"))
+    first = members.groupBy("cls").agg(F.min("key").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    rows = members.join(first, "cls").join(degree, "cls", "left")
-    every = df.select(F.col(key).cast("bigint").alias(key))
-    return every.join(rows.select(key, "class_id", "links"), key, "left").select(key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = members.join(first, "cls").join(degree, "cls", "left").groupBy("key").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+    every = df.select(F.col(key).cast("bigint").alias("key"))
+    out = every.join(rows, "key", "left").select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.withColumnRenamed("key", key)

@@ -72,6 +72,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return name(texts, "clean_corpus").unionByName(name(records, "raw_records"))
 
 
+def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return folddup.collapsed(_read(spark, sf, "clean_corpus"), "pos", "text")
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.grouped(_read(spark, sf, "clean_corpus"), "pos", "text")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.found_pairs(_read(spark, sf, "clean_corpus"), "pos", "text")
 
@@ -131,7 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_text_pieces": p4_text_pieces,
         "p4_token_pieces": p4_token_pieces,
         "p5_found": p5_found,
+        "p5_collapsed": p5_collapsed,
         "p6_found": p6_found,
+        "p6_groups": p6_groups,
         "p7_found": p7_found,
         "p7_containers": p7_containers,
         "p7_report": p7_report,
