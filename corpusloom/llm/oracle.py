@@ -1,7 +1,41 @@
-"""SQL of the training-data queries that SQL can state on whole tables."""
+"""SQL of the training-data queries that SQL can state on whole tables.
+
+The near-duplicate queries join all n-grams of all texts here, which is what
+the operators avoid; it is quick enough at the scale of the comparison.
+"""
 
 from __future__ import annotations
 
+from corpusloom.plans.oracle import KINDS, _normalized, _tokens
+
+FOLD = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+NORM = f"norm AS (SELECT pos, split, {_normalized('text')} AS t FROM clean_corpus WHERE text IS NOT NULL)"
+FOLDED = f"{NORM}, folded AS (SELECT pos, split, {FOLD.format('t')} AS f FROM norm WHERE t IS NOT NULL)"
+GRAMS = rf"""{FOLDED}, words AS (SELECT pos, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM norm WHERE t IS NOT NULL),
+ grams AS (SELECT DISTINCT pos, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT pos, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+ sizes AS (SELECT pos, count(*) AS n FROM grams GROUP BY pos),
+ shared AS (SELECT a.pos AS pa, b.pos AS pb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.pos < b.pos GROUP BY ALL),
+ alike AS (SELECT pa, pb FROM shared JOIN sizes x ON x.pos = pa JOIN sizes y ON y.pos = pb WHERE 5 * k >= 3 * (x.n + y.n - k))"""
+
+RECORDS = f"""{KINDS}, objects AS (SELECT line_number, value FROM kinds WHERE kind = 'text' AND length({_normalized("json_extract_string(value, '$.text')")}) >= 20),
+ nodes AS (SELECT line_number, fullkey, type, atom FROM objects, json_tree(value)),
+ leaves AS (SELECT line_number, fullkey, CASE WHEN type = 'VARCHAR' THEN 's' || {FOLD.format("coalesce(" + _normalized("json_extract_string(atom, '$')") + ", '')")}
+   WHEN type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(atom AS DOUBLE) AS VARCHAR) WHEN atom IS NULL THEN type ELSE 'o' || CAST(atom AS VARCHAR) END AS leaf FROM nodes),
+ canon AS (SELECT line_number, string_agg(fullkey || '=' || leaf, chr(10) ORDER BY fullkey) AS c FROM leaves GROUP BY line_number)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    listed = r"regexp_replace(lower(source), '^\s+|\s+$', '', 'g')"
+    return {
+        "p3_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM (SELECT pa, pb FROM alike UNION SELECT a.pos, b.pos FROM folded a JOIN folded b ON a.f = b.f AND a.f <> '' AND a.pos < b.pos) JOIN clean_corpus x ON x.pos = pa JOIN clean_corpus y ON y.pos = pb WHERE (x.split = 'train') <> (y.split = 'train')",
+        "p4_found": "SELECT 'clean_corpus' AS table_name, pos FROM clean_corpus WHERE length(text) > 2000 UNION ALL SELECT DISTINCT 'token_store', pos FROM token_store WHERE end_offset - start_offset > 510",
+        "p5_found": f"""WITH {FOLDED}, {RECORDS}, texts AS (SELECT min(pos) OVER (PARTITION BY f) AS first_no, pos AS copy_no FROM folded),
+ records AS (SELECT min(line_number) OVER (PARTITION BY c) AS first_no, line_number AS copy_no FROM canon)
+ SELECT 'clean_corpus' AS table_name, * FROM texts WHERE first_no <> copy_no UNION ALL SELECT 'raw_records', * FROM records WHERE first_no <> copy_no""",
+        "p5_collapsed": f"WITH {FOLDED}, groups AS (SELECT min(pos) AS pos, count(*) AS copies FROM folded GROUP BY f) SELECT pos, copies FROM groups UNION ALL SELECT pos, 1 FROM norm WHERE t IS NULL",
+        "p6_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM alike JOIN folded x ON x.pos = pa JOIN folded y ON y.pos = pb WHERE x.f <> y.f",
+        "p7_found": f"SELECT doc_id FROM documents WHERE len({_tokens('text')}) > 512",
+        "p8_found": f"""WITH sized AS (SELECT {listed} AS name, coalesce(len({_tokens('text')}), 0) AS n FROM documents),
+ held AS (SELECT s.source, any_value(s.target_share) AS share, any_value(s.max_repeats) AS most, coalesce(sum(z.n), 0) AS n FROM source_targets s LEFT JOIN sized z ON z.name = {listed.replace('source', 's.source')} GROUP BY s.source)
+ SELECT source FROM held WHERE share * (SELECT sum(n) FROM held) > most * n""",
+    }
