@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors as V
 from corpusloom.functions.text import SPECIAL_TOKENS, basic_tokens, document_id, normalize_document
 from corpusloom.operators import clean, encode, model, segment, sequences, training, vocabulary
+from corpusloom.plans.scan import table
 from corpusloom.sources.io import Vocabulary
 from corpusloom.sources.store import document_offsets, store_checks
 
@@ -20,10 +21,6 @@ WEIGHT = ((0.5, -0.25, 0.125, 1.0), (-1.0, 0.75, 0.5, 0.25), (0.0, 1.5, -0.5, -0
 BIAS = (0.1, -0.2, 0.3)
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _joined(ids: str):
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
 
