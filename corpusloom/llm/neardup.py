@@ -357,7 +357,7 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
     cells, members = first_pass(base, ngram, bits)
     order = spark.sparkContext.broadcast(cells)
     posted = float(cells.sum(dtype=np.float64)) * float(1 - threshold)
-    buckets = max(parallelism(spark), int(posted // BUCKET_POSTINGS) + 1)
+    buckets = max(spark.sparkContext.defaultParallelism, int(posted // BUCKET_POSTINGS) + 1)
     pairs = cut(candidates(postings(base, ngram, threshold, order, bits, buckets), threshold, buckets))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()

@@ -34,9 +34,10 @@ from .kernel import BASE_A, BMP, mix, powers
 CHUNK = 1 << 16
 WINDOW = 128
 FAN_IN = 64
-#: A window is prose when one word in 20 or more is a common word; single ASCII letters do not count.
-WINDOW_COMMON, WINDOW_SHARE = 1, 20
-PROSE_SHARE = 0.4
+#: A window is prose when one word in 20 or more is a common word and a word takes 12
+#: visible characters or less; single ASCII letters are no common words.
+WINDOW_COMMON, WINDOW_SHARE, WINDOW_LENGTH = 1, 20, 12
+PROSE_SHARE = 0.33
 MOST_SYMBOLS, MOST_DIGITS = 0.25, 0.3
 
 SUMS = ("chars", "visible", "words", "word_chars", "common", "symbols", "digits", "lines", "ended_lines")
@@ -100,7 +101,7 @@ def common_hashes(words: Iterable[str]) -> np.ndarray:
 
 
 def _is_prose(cell: np.ndarray) -> np.ndarray:
-    return (cell[..., 2] >= WINDOW_COMMON) & (cell[..., 2] * WINDOW_SHARE >= cell[..., 1])
+    return (cell[..., 2] >= WINDOW_COMMON) & (cell[..., 2] * WINDOW_SHARE >= cell[..., 1]) & (cell[..., 0] <= cell[..., 1] * WINDOW_LENGTH)
 
 
 def measure(texts: list[str], common: np.ndarray, places: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[Partial]]:

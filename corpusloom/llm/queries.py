@@ -8,11 +8,16 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.scan import table
+
 from . import folddup, language, leakage, markup, mixing, neardup, packing, pieces, quality
 
 
+FIXED = ("vocabulary", "source_targets", "common_words")
+
+
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.parquet(f"{sf}/{name}.parquet") if name in FIXED else table(spark, sf, name)
 
 
 def p1_stats(spark: SparkSession, sf: str) -> DataFrame:
