@@ -46,7 +46,7 @@ _BY_NAME = {name: code for code, names in NAMES.items() for name in names.split(
 
 def read_label(label: str | None) -> str | None:
     """The language a label names; None where it is missing or names none of the project's."""
-    first = re.split(r"[-_ (]", (label or "").strip().lower(), maxsplit=1)[0]
+    first = re.split(r"[-_\s(]", (label or "").strip().lower(), maxsplit=1)[0]
     return _BY_NAME.get(first)
 
 
@@ -293,7 +293,7 @@ def fit_from(df: DataFrame, key: str, text: str, label: str, frequent: DataFrame
 
     The sample is the only part that is bounded; every row is labelled.
     """
-    known = F.regexp_extract(F.lower(F.trim(F.col(label))), r"^[^-_ (]+", 0).isin(*_BY_NAME)
+    known = F.regexp_extract(F.lower(F.col(label)), r"^\s*([^-_\s(]+)", 1).isin(*_BY_NAME)
     rows = df.filter(known & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.col(label).alias("label"))
     taken = rows.orderBy("h", "label").limit(fit_rows).toArrow()
     labels = [read_label(x) or "" for x in taken["label"].to_pylist()]
@@ -304,7 +304,7 @@ def fit_from(df: DataFrame, key: str, text: str, label: str, frequent: DataFrame
 def wrong_or_mixed(df: DataFrame, key: str, text: str, label: str, model: Model) -> DataFrame:
     """(key, lang): rows with a missing or wrong label, and mixed rows, one row per language."""
     known = F.create_map(*[F.lit(x) for pair in _BY_NAME.items() for x in pair])
-    told = known[F.regexp_extract(F.lower(F.trim(F.col(label))), r"^[^-_ (]+", 0)]
+    told = known[F.regexp_extract(F.lower(F.col(label)), r"^\s*([^-_\s(]+)", 1)]
     named = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), told.alias("told"))
     found = documents(named, "key", "text", model, carry=("told",))
     case = found.filter("lang is not null and (size(langs) > 1 or told is null or told <> get(langs, 0))")
