@@ -72,7 +72,9 @@ def classify(parsed: DataFrame, *, position: str = "line_number", min_characters
     long_enough = F.col("status") == KEPT
     rows = rows.withColumn("id", F.when(long_enough, document_id("text")))
     first = rows.filter(long_enough).groupBy("id").agg(F.min("position").alias("first"))
-    joined = rows.join(first, "id", "left")
+    # rows without an id get a key of their own, else all of them would meet in one task
+    keyed = rows.withColumn("__key", F.coalesce("id", F.concat(F.lit("#"), F.col("position").cast("string"))))
+    joined = keyed.join(first.withColumnRenamed("id", "__key"), "__key", "left")
     final = F.when((F.col("status") == KEPT) & (F.col("position") > F.col("first")), DUPLICATE).otherwise(F.col("status"))
     return joined.select("position", final.alias("status"), "id", "text")
 
