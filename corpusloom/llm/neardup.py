@@ -11,12 +11,14 @@ and suffix filters, joined on prefix n-grams, each pair verified once.
    quick.  Its size is a parameter, so its broadcast is bounded.
 3. A class posts the first n - ceil(t n) + 1 n-grams of its order, packed by
    bucket of n-gram; the number of buckets follows the number of postings.
-   Within one n-gram the length filter, the positional filter and a suffix
-   filter choose candidates.  The suffix filter compares parity bitmaps of the
-   whole sets: the bits in which they differ are a lower bound of the
-   symmetric difference, so no pair over the threshold is lost.
-4. Candidates are made distinct, both sets are brought together once per pair
-   and the similarity is computed from the whole sets.
+   Within one n-gram the length filter and the positional filter choose
+   candidates: behind the first common n-gram of a pair each side must have
+   as many n-grams left as the pair must share.
+4. Candidates are made distinct and pass the suffix filter, which compares
+   parity bitmaps of the whole sets: the bits in which they differ are a lower
+   bound of the symmetric difference, so no pair over the threshold is lost.
+5. Both sets are brought together once per pair that is left, and the similarity
+   is computed from the whole sets.
 """
 
 from __future__ import annotations
@@ -76,11 +78,12 @@ def saturating_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, DataFrame]:
-    """One pass over (key, text): the count sketch and (key, cls, n, fold).
+    """One pass over (key, text): the count sketch and (key, cls, n, fold, bits).
 
     The sketch counts the distinct n-grams of every text in ``2**bits`` cells.
     ``cls`` names a text's n-gram set, ``fold`` its letters and digits in
-    order; texts without n-grams are left out of the table.
+    order, ``bits`` is the set's parity bitmap; texts without n-grams are left
+    out of the table.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +100,15 @@ def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.n
             fold = mix(one.view(np.uint64) ^ mix(two.view(np.uint64) + length.astype(np.uint64))).view(np.int64)
             key = batch.column("key").filter(has)
             none = pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())
-            yield pa.RecordBatch.from_arrays([*none, key, *(pa.array(x).filter(has) for x in (set_classes(value, bounds), size, fold))], names)
+            yield pa.RecordBatch.from_arrays([*none, key, *(pa.array(x).filter(has) for x in (set_classes(value, bounds), size, fold)), binaries(*parity_bitmaps(value, bounds)).filter(has)], names)
         block, raw = packed_blocks(cells)
-        none = [pa.nulls(len(block), pa.int64())] * 4
+        none = [*[pa.nulls(len(block), pa.int64())] * 4, pa.nulls(len(block), pa.binary())]
         yield pa.RecordBatch.from_arrays([block, raw, *none], names)
 
-    names = ["block", "cells", "key", "cls", "n", "fold"]
-    both = cut(df.select("key", "text").mapInArrow(run, "block int, cells binary, key bigint, cls bigint, n bigint, fold bigint"))
+    names = ["block", "cells", "key", "cls", "n", "fold", "bits"]
+    both = cut(df.select("key", "text").mapInArrow(run, "block int, cells binary, key bigint, cls bigint, n bigint, fold bigint, bits binary"))
     cells = merged_blocks(both.filter("block is not null").select("block", "cells"), 1 << bits, np.uint32, saturating_sum)
-    return cells, both.filter("block is null").select("key", "cls", "n", "fold")
+    return cells, both.filter("block is null").select("key", "cls", "n", "fold", "bits")
 
 
 def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -166,7 +169,7 @@ def may_share(one: Bitmaps, i: np.ndarray, two: Bitmaps, j: np.ndarray, least: n
 
 
 def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int) -> DataFrame:
-    """(bucket, cls, n, bits, grams): rare-first prefixes, packed by class and bucket; a class once per task chunk."""
+    """(bucket, cls, n, grams): rare-first prefixes, packed by class and bucket; a class once per task chunk."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +196,12 @@ def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits
             packed = np.empty(gram.size, POSTING)
             packed["gram"] = gram.astype(np.uint32)
             packed["at"] = np.minimum(at, 0xFFFF)
-            maps = binaries(*parity_bitmaps(value, bounds))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[row], pa.int32()), pa.array(cls[who[row]]), pa.array(size[who[row]], pa.int64()), maps.take(pa.array(who[row])), binaries(packed.view(np.uint8), np.concatenate((row, [gram.size])) * POSTING.itemsize)],
-                ["bucket", "cls", "n", "bits", "grams"],
+                [pa.array(bucket[row], pa.int32()), pa.array(cls[who[row]]), pa.array(size[who[row]], pa.int64()), binaries(packed.view(np.uint8), np.concatenate((row, [gram.size])) * POSTING.itemsize)],
+                ["bucket", "cls", "n", "grams"],
             )
 
-    return df.select("text").mapInArrow(run, "bucket int, cls bigint, n bigint, bits binary, grams binary")
+    return df.select("text").mapInArrow(run, "bucket int, cls bigint, n bigint, grams binary")
 
 
 class Bucket:
@@ -209,7 +211,6 @@ class Bucket:
         self.num, self.den = num, den
         self.cls = rows["cls"].to_numpy()
         self.n = rows["n"].to_numpy()
-        self.maps = Bitmaps(*_flat(rows["bits"]), self.n)
         raw, at = _flat(rows["grams"])
         packed = np.frombuffer(raw.tobytes(), POSTING)
         row = np.repeat(np.arange(self.cls.size), np.diff(at) // POSTING.itemsize)
@@ -237,12 +238,11 @@ class Bucket:
             index, stop, i, j, n, m = index[near], stop[near], i[near], j[near], n[near], m[near]
             least = -((-(n + m) * self.num) // (self.num + self.den))
             p, q = self.at[index], self.at[index + gap]
-            can = np.minimum(p, q) + np.minimum(n - p, m - q) >= least
+            # the first common n-gram of a pair has enough n-grams behind it on both sides
+            can = (n - p >= least) & (m - q >= least)
             can |= (p == 0xFFFF) | (q == 0xFFFF)
             can &= self.cls[i] != self.cls[j]
-            i, j, least = i[can], j[can], least[can]
-            ok = may_share(self.maps, i, self.maps, j, least)
-            a, b = self.cls[i[ok]], self.cls[j[ok]]
+            a, b = self.cls[i[can]], self.cls[j[can]]
             left.append(np.minimum(a, b))
             right.append(np.maximum(a, b))
             held += a.size
@@ -303,6 +303,24 @@ def candidates(posted: DataFrame, threshold: Fraction, buckets: int) -> DataFram
     return posted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def suffix_filtered(pairs: DataFrame, members: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the threshold; each class sends its bitmap once per pair."""
+    num, den = threshold.numerator, threshold.denominator
+    maps = members.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    side = lambda x: maps.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (Bitmaps(*_flat(pa.chunked_array([batch.column(f"m{x}")])), batch.column(f"n{x}").to_numpy()) for x in "ab")
+            row = np.arange(len(batch))
+            least = -((-(one.size + two.size) * num) // (num + den))
+            keep = pa.array(may_share(one, row, two, row, least))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "na", "ma", "b", "nb", "mb")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def _verify(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (home, salt, own first): compare every partner with the home's set."""
     home = salt = None
@@ -339,7 +357,7 @@ def _bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members(key, cls, n, fold)`` and ``links(a, b, shared)`` between classes.
+    """(members, links): ``members(key, cls, n, fold, bits)`` and ``links(a, b, shared)`` between classes.
 
     Rows of null key take no part; repeated rows are members each.
 
@@ -358,7 +376,8 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
     order = spark.sparkContext.broadcast(cells)
     posted = float(cells.sum(dtype=np.float64)) * float(1 - threshold)
     buckets = max(spark.sparkContext.defaultParallelism, int(posted // BUCKET_POSTINGS) + 1)
-    pairs = cut(candidates(postings(base, ngram, threshold, order, bits, buckets), threshold, buckets))
+    found = candidates(postings(base, ngram, threshold, order, bits, buckets), threshold, buckets)
+    pairs = cut(suffix_filtered(found, members, threshold))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = cut(members.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi"))
