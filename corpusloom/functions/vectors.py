@@ -22,6 +22,11 @@ def doubles(x: Column | str) -> Column:
     return _col(x).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, not once per element of a vector."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column | str) -> Column:
     return F.aggregate(doubles(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -59,9 +64,13 @@ def layer_norm(x: Column | str, *, scale: Column | None = None, shift: Column |
     """(x - mean) / sqrt(biased variance + epsilon), then scale and shift."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
-    own, middle = doubles(x), mean(x)
-    variance = total(F.transform(own, lambda v: (v - middle) * (v - middle))) / F.size(own)
-    out = F.transform(own, lambda v: (v - middle) / F.sqrt(variance + epsilon))
+    own = doubles(x)
+
+    def scaled(centred: Column) -> Column:
+        spread = F.sqrt(dot(centred, centred) / F.size(centred) + epsilon)
+        return let(spread, lambda d: F.transform(centred, lambda v: v / d))
+
+    out = let(let(mean(own), lambda m: F.transform(own, lambda v: v - m)), scaled)
     out = out if scale is None else F.zip_with(out, scale, lambda a, b: a * b)
     return out if shift is None else add(out, shift)
 
@@ -74,15 +83,13 @@ def gelu(x: Column | str) -> Column:
 
 def softmax(x: Column | str) -> Column:
     own = doubles(x)
-    top = F.array_max(own)
-    weight = F.transform(own, lambda v: F.exp(v - top))
-    return F.transform(weight, lambda v: v / total(weight))
+    weight = let(F.array_max(own), lambda top: F.transform(own, lambda v: F.exp(v - top)))
+    return let(weight, lambda w: let(total(w), lambda t: F.transform(w, lambda v: v / t)))
 
 
 def log_sum_exp(x: Column | str) -> Column:
     own = doubles(x)
-    top = F.array_max(own)
-    return top + F.log(total(F.transform(own, lambda v: F.exp(v - top))))
+    return let(F.array_max(own), lambda top: top + F.log(total(F.transform(own, lambda v: F.exp(v - top)))))
 
 
 def attention(query: Column | str, keys: Column | str, values: Column | str, mask: Column | str) -> Column:
@@ -90,9 +97,8 @@ def attention(query: Column | str, keys: Column | str, values: Column | str, mas
     q, ks, vs, m = doubles(query), _col(keys), _col(values), _col(mask)
     scores = F.transform(ks, lambda k: dot(q, k) / F.sqrt(F.size(q).cast("double")))
     scores = F.transform(scores, lambda s, i: F.when(F.get(m, i) == 1, s).otherwise(F.lit(-1.7976931348623157e308)))
-    weight = softmax(scores)
     place = F.sequence(F.lit(0), F.size(F.get(vs, F.lit(0))) - 1)
-    return F.transform(place, lambda d: total(F.transform(weight, lambda w, i: w * F.get(F.get(vs, i), d))))
+    return let(softmax(scores), lambda weight: F.transform(place, lambda d: total(F.transform(weight, lambda w, i: w * F.get(F.get(vs, i), d)))))
 
 
 def token_loss(logits: Column | str, label: Column | str) -> Column:

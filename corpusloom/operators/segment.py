@@ -31,7 +31,7 @@ def line_documents(lines: DataFrame, *, strict: bool = True, block: int = BLOCK)
     once = lines.groupBy("shard", "row_index").agg(F.min("line").alias("line"))
     rows = once.select("shard", "row_index", strip_blanks(line).alias("own"))
     rows = rows.filter("own <> ''").withColumn("title", article_title("own"))
-    numbered = running_totals(rows, "shard", "row_index", F.col("title").isNotNull().cast("int"), "doc_no", block=block)
+    numbered = running_totals(rows, "shard", "row_index", {"doc_no": F.col("title").isNotNull().cast("int")}, block=block)
     part = F.struct("shard", "row_index", F.coalesce("title", "own").alias("own"))
     grouped = numbered.groupBy("doc_no").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return grouped.select("doc_no", F.array_join(F.transform("parts", lambda p: p["own"]), " ").alias("text"))

@@ -29,7 +29,7 @@ def training_sequences(documents: DataFrame, max_length: int, *, major: str | No
     wrap = lambda i: F.array(F.lit(i)).cast(LONGS)
     out = cut.select("major", "doc_index", "chunk", F.concat(wrap(CLS_ID), F.slice("ids", F.col("start") + 1, F.lit(body)), wrap(SEP_ID)).alias("input_ids"))
     before = rows.select("major", "doc_index", F.ceil(F.size("ids") / body).alias("__n"))
-    placed = running_totals(before, "major", "doc_index", F.col("__n"), "__first", inclusive=False).select("major", "doc_index", "__first")
+    placed = running_totals(before, "major", "doc_index", {"__first": F.col("__n")}, inclusive=False).select("major", "doc_index", "__first")
     joined = out.join(placed, ["major", "doc_index"])
     kept = ["seq_index", *(["major"] if major else []), "doc_index", "chunk", "input_ids"]
     done = joined.withColumn("seq_index", F.col("__first") + F.col("chunk")).select(*kept)

@@ -62,12 +62,27 @@ def evaluate_batches(masked: DataFrame, parameters: M.Parameters, shape: M.Shape
     """(batch_id, loss, masked) of every batch; a batch without labels is an error."""
     sent = masked.sparkSession.sparkContext.broadcast(parameters)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        value, n = M.loss(sent.value, shape, *_arrays(rows))
-        return pd.DataFrame({"batch_id": [rows["batch_id"].iloc[0]], "loss": [value], "masked": [n]})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_batches(parts):
+            value, n = M.loss(sent.value, shape, *_arrays(rows))
+            yield pd.DataFrame({"batch_id": [rows["batch_id"].iloc[0]], "loss": [value], "masked": [n]})
 
     needed = masked.select("batch_id", "seq_index", "input_ids", "attention_mask", "labels")
-    return needed.groupBy("batch_id").applyInPandas(run, METRICS)
+    return needed.repartition("batch_id").sortWithinPartitions("batch_id").mapInPandas(run, METRICS)
+
+
+def _whole_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by batch, whatever the parts they come in."""
+    held: pd.DataFrame | None = None
+    for part in parts:
+        part = part if held is None else pd.concat([held, part])
+        ids = part["batch_id"].to_numpy()
+        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for s, e in zip(edges[:-2], edges[1:-1]):
+            yield part.iloc[s:e]
+        held = part.iloc[edges[-2] :] if len(ids) else None
+    if held is not None and len(held):
+        yield held
 
 
 def evaluate_epoch(masked: DataFrame, parameters: M.Parameters, shape: M.Shape) -> EpochMetrics:

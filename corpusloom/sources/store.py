@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from corpusloom.operators.positions import dense_index, running_totals
+from corpusloom.operators.positions import running_totals
 from corpusloom.sources.io import Vocabulary
 
 MAX_VOCABULARY = 65_536
@@ -39,7 +39,7 @@ def document_offsets(documents: DataFrame, *, order: str = "pos", ids: str = "to
     """(doc_index, start, length, token_ids) in the order given; empty documents are skipped."""
     rows = documents.filter(F.size(ids) > 0).select(F.lit(0).alias("__major"), F.col(order).alias("__order"), F.col(ids).alias("token_ids"))
     rows = rows.withColumn("length", F.size("token_ids").cast("bigint"))
-    placed = running_totals(dense_index(rows, "__major", "__order", "doc_index"), "__major", "__order", F.col("length"), "start", inclusive=False)
+    placed = running_totals(rows, "__major", "__order", {"doc_index": F.lit(1), "start": F.col("length")}, inclusive=False)
     return placed.select("doc_index", "start", "length", "token_ids")
 
 

@@ -147,7 +147,7 @@ def test_running_totals(spark):
     rng = random.Random(1)
     keys = sorted({(rng.randrange(4), rng.randrange(200)) for _ in range(150)})
     df = spark.createDataFrame([(a, b, rng.randrange(5)) for a, b in keys], "a int, b bigint, v int").repartition(5)
-    rows = sorted((r.a, r.b, r.v, r.t, r.i) for r in dense_index(running_totals(df, "a", "b", F.col("v"), "t", block=16), "a", "b", "i", block=7).collect())
+    rows = sorted((r.a, r.b, r.v, r.t, r.i) for r in dense_index(running_totals(df, "a", "b", {"t": F.col("v")}, block=16), "a", "b", "i", block=7).collect())
     total = 0
     for i, (_, _, v, t, index) in enumerate(rows):
         total += v
