@@ -32,6 +32,10 @@ def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 
 
+# A filter on the result would otherwise be pushed below and evaluate the function twice.
+_normalized = _normalized.asNondeterministic()
+
+
 def normalize_document(text: Column | str) -> Column:
     """Canonical text of a document: NFKC, single spaces, no controls; null when nothing is left.
 

@@ -37,6 +37,10 @@ def _parsed(values: pd.Series, fields: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(v, f) for v, f in zip(values, fields)], columns=["kind", "text"])
 
 
+# A filter on the kind would otherwise be pushed below and parse every line twice.
+_parsed = _parsed.asNondeterministic()
+
+
 def parse_records(lines: DataFrame, *, value: str = "value", field: str = "text") -> DataFrame:
     """Add ``kind`` and ``text``: blank, invalid, not_object, no_text or text.
 
@@ -112,6 +116,7 @@ def deduplicate_splits(splits: DataFrame, *, strict: bool = True) -> DataFrame:
 
 def split_stats(splits: DataFrame, *, strict: bool = True) -> DataFrame:
     """(split, input, kept, removed) for every split."""
+    splits = splits.select("split", "split_ord", "line_number", "id")
     kept = deduplicate_splits(splits, strict=strict).groupBy("split").agg(F.count("*").alias("kept"))
     rows = splits if strict else splits.filter("id is not null")
     counts = rows.groupBy("split").agg(F.count("*").alias("input")).join(kept, "split", "left").fillna(0, ["kept"])

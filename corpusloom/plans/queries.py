@@ -40,7 +40,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "clean_corpus").select("pos", "split", "split_ord", "line_number", "id", "text", "source")
+    return table(spark, sf, "clean_corpus").select("pos", "split", "split_ord", "line_number", "id", "source")
 
 
 def _store(spark: SparkSession, sf: str) -> DataFrame:
