@@ -40,7 +40,7 @@ from .kernel import Chunk, mix, unique_per_document
 SKETCH_BITS = 20
 BLOCK = 1 << 14
 SALTS = 8
-BUCKET_POSTINGS = 250_000
+BUCKET_POSTINGS = 500_000
 BLOOM_BITS = 23
 PAIR_BLOCK = 1 << 17
 POSTING = np.dtype([("gram", "<u4"), ("at", "<u2")])
