@@ -12,7 +12,6 @@ inside a sentence, so a foreign phrase does not become a segment of its own.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -100,46 +99,44 @@ def fit(texts: list[str], labels: list[str], frequent: list[tuple[str, str]], la
     Texts whose frequent words speak for another language than their label are
     left out, so wrong labels do not teach.
     """
+    k = len(languages)
     index = {code: i for i, code in enumerate(languages)}
-    lists = [{w for code, w in frequent if code == own} for own in languages]
-    counts: Counter[tuple[int, int]] = Counter()
-    frequent_hash: dict[int, set[int]] = {}
-    for i, own in enumerate(lists):
-        ordered = sorted(own)
-        if ordered:
-            hashes, doc, _, _ = Chunk(ordered).words()
-            for h, d in zip(hashes.tolist(), doc.tolist()):
-                frequent_hash.setdefault(h, set()).add(i)
-                counts[h, i] += 20
+    given = sorted({(index[code], w) for code, w in frequent if code in index})
+    value, kind, weight = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    often, speaks = np.zeros(0, np.uint64), np.zeros((1, k))
+    if given:
+        hashes, doc, _, _ = Chunk([w for _, w in given]).words()
+        own = np.array([i for i, _ in given])[doc]
+        often, at = np.unique(hashes, return_inverse=True)
+        speaks = np.zeros((often.size + 1, k))
+        speaks[at, own] = 1
+        value, kind, weight = [hashes], [own], [np.full(own.size, 20.0)]
     for s in range(0, len(texts), 256):
-        chunk = Chunk(texts[s : s + 256])
+        part = texts[s : s + 256]
+        told = np.array([index.get(x, -1) for x in labels[s : s + 256]])
+        chunk = Chunk(part)
         word, doc, start, end = chunk.words()
-        tail = np.zeros(word.size, np.uint64)
-        long = end - start > ENDING + 1
-        tail[long] = ending_hash(chunk.codes, end[long])
-        votes = np.zeros((len(texts[s : s + 256]), len(languages)))
-        for h, d in zip(word.tolist(), doc.tolist()):
-            for i in frequent_hash.get(h, ()):
-                votes[d, i] += 1
-        for h, t, d in zip(word.tolist(), tail.tolist(), doc.tolist()):
-            i = index.get(labels[s + d])
-            if i is None or (votes[d].any() and votes[d].argmax() != i):
-                continue
-            counts[h, i] += 1
-            if t:
-                counts[t, i] += 1
-    total = np.ones(len(languages))
-    by_hash: dict[int, np.ndarray] = {}
-    for (h, i), n in counts.items():
-        by_hash.setdefault(h, np.zeros(len(languages)))[i] += n
-        total[i] += n
-    kept = sorted(h for h, c in by_hash.items() if c.sum() >= 3)
-    rate = np.array([(by_hash[h] + 0.5) / (total + 1000) for h in kept]).reshape(-1, len(languages))
+        votes = np.zeros((len(part), k))
+        if often.size:
+            at = np.minimum(np.searchsorted(often, word), often.size - 1)
+            np.add.at(votes, doc, speaks[np.where(often[at] == word, at, often.size)])
+        trusted = (told >= 0) & (~votes.any(axis=1) | (votes.argmax(axis=1) == told))
+        keep = trusted[doc]
+        tail = np.flatnonzero(keep & (end - start > ENDING + 1))
+        value += [word[keep], ending_hash(chunk.codes, end[tail])]
+        kind += [told[doc[keep]], told[doc[tail]]]
+        weight += [np.ones(int(keep.sum())), np.ones(tail.size)]
+    known, at = np.unique(np.concatenate(value), return_inverse=True)
+    counts = np.bincount(at * k + np.concatenate(kind), np.concatenate(weight), known.size * k).reshape(-1, k)
+    enough = counts.sum(axis=1) >= 3
+    total = counts.sum(axis=0) + 1
+    known, counts = known[enough], counts[enough]
+    rate = (counts + 0.5) / (total + 1000)
     score = np.log(rate)
-    if len(kept):
+    if known.size:
         score -= np.sort(score, axis=1)[:, -2:].mean(axis=1, keepdims=True)
         score = np.clip(score, -CLIP, CLIP)
-    return Model(tuple(languages), np.array(kept, np.uint64), score.astype(np.float32), np.array([c in CYRILLIC for c in languages]))
+    return Model(tuple(languages), known, score.astype(np.float32), np.array([c in CYRILLIC for c in languages]))
 
 
 def _switch_costs(chunk: Chunk, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
