@@ -291,7 +291,11 @@ def fit_from(df: DataFrame, key: str, text: str, label: str, frequent: DataFrame
     The sample is the only part that is bounded; every row is labelled.
     """
     known = F.regexp_extract(F.lower(F.col(label)), r"^\s*([^-_\s(]+)", 1).isin(*_BY_NAME)
-    rows = df.filter(known & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.col(label).alias("label"))
+    told = df.filter(known & F.col(text).isNotNull())
+    share = min(1.0, 2 * fit_rows / max(1, told.count()))
+    # twice the rows wanted are left to sort, whatever the table's size
+    most = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    rows = told.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.col(label).alias("label")).filter(F.col("h") <= most)
     taken = rows.orderBy("h", "label").limit(fit_rows).toArrow()
     labels = [read_label(x) or "" for x in taken["label"].to_pylist()]
     words = [(r["lang"], r["word"]) for r in frequent.select("lang", "word").filter("lang is not null and word is not null").collect()]

@@ -299,8 +299,7 @@ def candidates(posted: DataFrame, threshold: Fraction, buckets: int) -> DataFram
         if held:
             yield close()
 
-    n = min(buckets, parallelism(posted.sparkSession))
-    return posted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
+    return posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def suffix_filtered(pairs: DataFrame, members: DataFrame, threshold: Fraction) -> DataFrame:
