@@ -16,6 +16,14 @@ GRAMS = rf"""{FOLDED}, words AS (SELECT pos, regexp_extract_all(lower(t), '[\p{{
  sizes AS (SELECT pos, count(*) AS n FROM grams GROUP BY pos),
  shared AS (SELECT a.pos AS pa, b.pos AS pb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.pos < b.pos GROUP BY ALL),
  alike AS (SELECT pa, pb FROM shared JOIN sizes x ON x.pos = pa JOIN sizes y ON y.pos = pb WHERE 5 * k >= 3 * (x.n + y.n - k))"""
+CROSS = f"""{GRAMS}, either_way AS (SELECT pa, pb FROM alike UNION SELECT a.pos, b.pos FROM folded a JOIN folded b ON a.f = b.f AND a.f <> '' AND a.pos < b.pos),
+ crossed AS (SELECT CASE WHEN x.split = 'train' THEN pb ELSE pa END AS pos, CAST(fx.f = fy.f AND fx.f <> '' AS BIGINT) AS copy FROM either_way JOIN clean_corpus x ON x.pos = pa JOIN clean_corpus y ON y.pos = pb JOIN folded fx ON fx.pos = pa JOIN folded fy ON fy.pos = pb WHERE (x.split = 'train') <> (y.split = 'train'))"""
+FIVES = rf"""{NORM}, words AS (SELECT pos, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM norm WHERE t IS NOT NULL),
+ grams AS (SELECT DISTINCT pos, hash(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS g FROM (SELECT pos, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+ sets AS (SELECT pos, list(g ORDER BY g) AS s, count(*) AS n FROM grams GROUP BY pos), classes AS (SELECT pos, n, min(pos) OVER (PARTITION BY s) AS class_id FROM sets),
+ heads AS (SELECT g.pos, g.g, c.n FROM grams g JOIN classes c ON c.pos = g.pos AND c.class_id = c.pos),
+ shared AS (SELECT a.pos AS pa, b.pos AS pb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM heads a JOIN heads b ON a.g = b.g AND a.pos <> b.pos GROUP BY ALL),
+ degree AS (SELECT pa AS class_id, count(*) AS links FROM shared WHERE 5 * k >= 4 * (na + nb - k) GROUP BY pa)"""
 
 RECORDS = f"""{KINDS}, objects AS (SELECT line_number, value FROM kinds WHERE kind = 'text' AND length({_normalized("json_extract_string(value, '$.text')")}) >= 20),
  nodes AS (SELECT line_number, fullkey, type, atom FROM objects, json_tree(value)),
@@ -28,12 +36,14 @@ def oracle_sql() -> dict[str, str]:
     listed = r"regexp_replace(lower(source), '^\s+|\s+$', '', 'g')"
     return {
         "p3_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM (SELECT pa, pb FROM alike UNION SELECT a.pos, b.pos FROM folded a JOIN folded b ON a.f = b.f AND a.f <> '' AND a.pos < b.pos) JOIN clean_corpus x ON x.pos = pa JOIN clean_corpus y ON y.pos = pb WHERE (x.split = 'train') <> (y.split = 'train')",
+        "p3_report": f"WITH {CROSS}, per AS (SELECT pos, count(*) AS pairs, sum(copy) AS copies FROM crossed GROUP BY pos) SELECT split, source, count(*) AS records, count(pairs) AS leaked, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(copies), 0) AS BIGINT) AS copies FROM clean_corpus LEFT JOIN per USING (pos) WHERE split <> 'train' GROUP BY ALL",
         "p4_found": "SELECT 'clean_corpus' AS table_name, pos FROM clean_corpus WHERE length(text) > 2000 UNION ALL SELECT DISTINCT 'token_store', pos FROM token_store WHERE end_offset - start_offset > 510",
         "p5_found": f"""WITH {FOLDED}, {RECORDS}, texts AS (SELECT min(pos) OVER (PARTITION BY f) AS first_no, pos AS copy_no FROM folded),
  records AS (SELECT min(line_number) OVER (PARTITION BY c) AS first_no, line_number AS copy_no FROM canon)
  SELECT 'clean_corpus' AS table_name, * FROM texts WHERE first_no <> copy_no UNION ALL SELECT 'raw_records', * FROM records WHERE first_no <> copy_no""",
         "p5_collapsed": f"WITH {FOLDED}, groups AS (SELECT min(pos) AS pos, count(*) AS copies FROM folded GROUP BY f) SELECT pos, copies FROM groups UNION ALL SELECT pos, 1 FROM norm WHERE t IS NULL",
         "p6_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM alike JOIN folded x ON x.pos = pa JOIN folded y ON y.pos = pb WHERE x.f <> y.f",
+        "p6_groups": f"WITH {FIVES} SELECT pos, coalesce(c.class_id, pos) AS class_id, coalesce(links, 0) AS links FROM clean_corpus LEFT JOIN classes c USING (pos) LEFT JOIN degree d ON d.class_id = c.class_id",
         "p7_found": f"SELECT doc_id FROM documents WHERE len({_tokens('text')}) > 512",
         "p8_found": f"""WITH sized AS (SELECT {listed} AS name, coalesce(len({_tokens('text')}), 0) AS n FROM documents),
  held AS (SELECT s.source, any_value(s.target_share) AS share, any_value(s.max_repeats) AS most, coalesce(sum(z.n), 0) AS n FROM source_targets s LEFT JOIN sized z ON z.name = {listed.replace('source', 's.source')} GROUP BY s.source)
