@@ -105,14 +105,14 @@ def with_special_tokens(ids: Column | str) -> Column:
 def tokens_to_ids(tokens: DataFrame, vocabulary: DataFrame, *, token: str = "token") -> DataFrame:
     """Add ``id`` by a join with (id, token); unknown tokens get the unknown id."""
     table = vocabulary.select(F.col("token").alias(token), F.col("id"))
-    return tokens.join(F.broadcast(table), token, "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
+    return tokens.join(table, token, "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
 
 
 def ids_to_tokens(ids: DataFrame, vocabulary: DataFrame, *, identifier: str = "id") -> DataFrame:
     """Add ``token``; an id outside the vocabulary is an error at the action."""
     table = vocabulary.select(F.col("id").alias(identifier), F.col("token"))
     wrong = F.raise_error(F.concat(F.lit("token id is outside the vocabulary: "), F.col(identifier)))
-    return ids.join(F.broadcast(table), identifier, "left").withColumn("token", F.when(F.col("token").isNull(), wrong).otherwise(F.col("token")))
+    return ids.join(table, identifier, "left").withColumn("token", F.when(F.col("token").isNull(), wrong).otherwise(F.col("token")))
 
 
 def first_documents(texts: DataFrame, n: int, *, position: str = "pos", start: int = 0) -> DataFrame:

@@ -49,7 +49,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_number, value) of one text file, numbered from 1, blank lines included."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
     first = rows.groupBy("__block").agg(F.min("__id").alias("__first"))
-    placed = rows.join(F.broadcast(first), "__block").withColumn("__row", F.col("__id") - F.col("__first"))
+    placed = rows.join(first, "__block").withColumn("__row", F.col("__id") - F.col("__first"))
     return dense_index(placed, "__block", "__row", "__n").select((F.col("__n") + 1).alias("line_number"), "value")
 
 
@@ -74,6 +74,10 @@ def write_texts(df: DataFrame, path: str, *, mode: str = "overwrite") -> int:
     return seen.get["records"]
 
 
+#: What a driver and every task may be asked to hold.
+MAX_TOKENS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Immutable ordered tokens; a token's id is its place."""
@@ -114,8 +118,10 @@ class Vocabulary:
 
     @classmethod
     def from_frame(cls, df: DataFrame) -> Vocabulary:
-        """From (id, token); ids must run from 0 without gaps."""
-        rows = sorted((r["id"], r["token"]) for r in df.select("id", "token").collect())
+        """From (id, token) of at most ``MAX_TOKENS`` rows; ids must run from 0 without gaps."""
+        rows = sorted((r["id"], r["token"]) for r in df.select("id", "token").limit(MAX_TOKENS + 1).collect())
+        if len(rows) > MAX_TOKENS:
+            raise ValueError(f"a vocabulary holds at most {MAX_TOKENS} tokens")
         if [i for i, _ in rows] != list(range(len(rows))):
             raise ValueError("vocabulary ids must be dense from 0")
         return cls(tuple(t for _, t in rows))
