@@ -33,5 +33,13 @@ def need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def bounded(df: DataFrame, most: int) -> list:
+    """All rows of a table that is small by definition; one over the bound is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows")
+    return rows
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

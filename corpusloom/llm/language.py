@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import need_columns, text_groups
+from .arrow import bounded, need_columns, text_groups
 from .kernel import Chunk, mix
 
 FIT_ROWS = 4_000
+MAX_FREQUENT = 100_000
 SENTENCE, LINE, INSIDE = 3.0, 6.0, 14.0
 CLIP = 4.0
 ENDING = 3
@@ -298,7 +299,7 @@ def fit_from(df: DataFrame, key: str, text: str, label: str, frequent: DataFrame
     rows = told.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"), F.col(label).alias("label")).filter(F.col("h") <= most)
     taken = rows.orderBy("h", "label").limit(fit_rows).toArrow()
     labels = [read_label(x) or "" for x in taken["label"].to_pylist()]
-    words = [(r["lang"], r["word"]) for r in frequent.select("lang", "word").filter("lang is not null and word is not null").collect()]
+    words = [(r["lang"], r["word"]) for r in bounded(frequent.select("lang", "word").filter("lang is not null and word is not null"), MAX_FREQUENT)]
     return fit(taken["text"].to_pylist(), labels, words)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import cut
 
-from .arrow import need_columns
+from .arrow import bounded, need_columns
 from .tokens import with_counts
 
 CLASSES_PER_OCTAVE = 4
@@ -38,8 +38,7 @@ def sized_rows(df: DataFrame, targets: DataFrame, key: str, text: str, source: s
     """(key, source, tokens) of the rows that belong to a listed source, as spelled there."""
     need_columns(df, key, text, source)
     need_columns(targets, "source", "target_share", "max_repeats")
-    if targets.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    bounded(targets.select("source"), MAX_SOURCES)
     listed = targets.filter("source is not null").select(_name("source").alias("name"), F.col("source").alias("listed"))
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), _name(source).alias("name"))
     kept = rows.join(F.broadcast(listed), "name").select("key", F.col("listed").alias("source"), "text")

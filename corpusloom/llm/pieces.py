@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import need_columns
+from .arrow import bounded, need_columns
 
 HEADINGS = 6
 BLANK_LINE, LIST_ITEM, LINE, SENTENCE, CLAUSE, WORD = range(HEADINGS, HEADINGS + 6)
@@ -217,9 +217,7 @@ def token_pieces(df: DataFrame, vocabulary: DataFrame, *, limit: int = 510, over
     need_columns(df, "store", "doc_index", "pos", "start_offset", "end_offset", "token_ids")
     need_columns(vocabulary, "id", "token")
     _check(limit, overlap)
-    rows = vocabulary.filter("id is not null and token is not null").limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError("vocabulary is larger than 65,536 tokens")
+    rows = bounded(vocabulary.filter("id is not null and token is not null"), MAX_VOCABULARY)
     sent = df.sparkSession.sparkContext.broadcast({r["id"]: r["token"] for r in rows})
     keys = ["store", "doc_index", "pos", "start_offset", "end_offset"]
     names = ["store", "doc_index", "pos", "piece", "start", "new_start", "end"]

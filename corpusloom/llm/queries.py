@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans.scan import table
 
 from . import folddup, language, leakage, markup, mixing, neardup, packing, pieces, quality
+from .arrow import bounded
 
 
 FIXED = ("vocabulary", "source_targets", "common_words")
@@ -21,7 +22,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_stats(spark: SparkSession, sf: str) -> DataFrame:
-    words = [r["word"] for r in _read(spark, sf, "common_words").filter("word is not null").collect()]
+    words = [r["word"] for r in bounded(_read(spark, sf, "common_words").filter("word is not null"), language.MAX_FREQUENT)]
     return quality.statistics(_read(spark, sf, "clean_corpus"), "pos", "text", words)
 
 
