@@ -32,6 +32,7 @@ from .kernel import Chunk, chunks
 
 M = (1 << 64) - 1
 SALTS = 16
+MAX_DEPTH = 200
 
 
 def _fold_stream(text: str) -> Iterator[str]:
@@ -125,12 +126,18 @@ def text_keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def load_object(line: str) -> dict | None:
-    """The JSON object of a line; None for anything else."""
+    """The JSON object of a line; None for anything else, or one nested deeper than ``MAX_DEPTH``."""
     try:
         value = json.loads(line)
     except (ValueError, RecursionError):
         return None
-    return value if isinstance(value, dict) else None
+    if not isinstance(value, dict):
+        return None
+    level, depth = [value], 0
+    while level and depth <= MAX_DEPTH:
+        level = [v for x in level for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, (dict, list))]
+        depth += 1
+    return None if level else value
 
 
 def json_keys(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
@@ -218,8 +225,9 @@ def text_copies(df: DataFrame, key: str, text: str) -> DataFrame:
 def record_copies(df: DataFrame, key: str, value: str, *, min_characters: int = 20) -> DataFrame:
     """(first_no, copy_no) of JSON lines with the same fields in any order.
 
-    Repeats of one key count once.  Null, broken and non-object lines, lines
-    without a string ``text`` and short texts are left out.
+    Repeats of one key count once.  Null, broken and non-object lines, objects
+    nested deeper than ``MAX_DEPTH``, lines without a string ``text`` and short
+    texts are left out.
     """
     need_columns(df, key, value)
     once = df.select(key, value).filter(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(value))

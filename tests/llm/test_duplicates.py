@@ -96,6 +96,9 @@ def test_records(spark):
     got = sorted((r.first_no, r.copy_no) for r in folddup.record_copies(df, "line_number", "value").collect())
     assert got == [(0, 1), (12, 13)]
     assert folddup.record_copies(df.limit(0), "line_number", "value").count() == 0
+    nested = lambda n: '{"text": "A text that is long enough.", "x": ' + "[" * n + "]" * n + "}"
+    deep = spark.createDataFrame([(i, nested(n)) for i, n in enumerate((150, 150, 5_000, 5_000, 500_000))], "line_number bigint, value string")
+    assert [tuple(r) for r in folddup.record_copies(deep, "line_number", "value").collect()] == [(0, 1)]
 
 
 @pytest.mark.parametrize("seed, ngram, threshold", [(1, 3, Fraction(3, 5)), (2, 5, Fraction(4, 5)), (3, 2, Fraction(1, 3)), (4, 3, Fraction(1))])
