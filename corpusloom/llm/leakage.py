@@ -7,8 +7,11 @@ of any n - ceil(t n) + 1 of them.  Those taken, rarest first, are the record's
 count as taken but need no search; a record with enough of them has no partner.
 Passages of one shard of evaluation records form an Aho-Corasick automaton over
 hashed words; every training text is run through the automaton of every shard.
-Matched passages name candidate pairs, whose whole n-gram sets are compared;
-matched intervals are merged into the coverage of each evaluation record.
+Matched passages name candidate pairs, whose whole n-gram sets are compared.
+
+Coverage asks for every place of every evaluation record, not for passages: the
+n-grams of all places meet the distinct n-grams of the training texts in a join
+on their 64-bit hashes, and the intervals that match are merged.
 
 A shard holds at most ``SHARD_WORDS`` words of evaluation text (or one longer
 record), so what is broadcast is bounded whatever the evaluation splits hold;
@@ -65,7 +68,7 @@ def training_grams(train: DataFrame, ngram: int, bits: int) -> tuple[np.ndarray,
 
 
 def _records(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int) -> DataFrame:
-    """(key, words, grams, passages, at, k1, k2, size) of evaluation rows, arrays packed as binary.
+    """(key, words, grams, passages, k1, k2, size) of evaluation rows, arrays packed as binary.
 
     Records that cannot have a similar training text come without grams and passages.
     """
@@ -88,18 +91,18 @@ def _records(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits
                 there = np.flatnonzero((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                 take = n + (-n * num) // den + 1 - (n - there.size)
                 if not n or take <= 0:
-                    out.append((own.size, b"", b"", b""))
+                    out.append((own.size, b"", b""))
                     continue
                 count = cells[(value[there] >> np.uint64(64 - bits)).astype(np.int64)]
                 rare = there[np.lexsort((value[there], count))[:take]]
                 at = np.sort(at[rare])
                 short = (own >> np.uint64(32)).astype(np.uint32)
                 passage = np.stack([short[at + k] for k in range(ngram)], 1)
-                out.append((own.size, value.tobytes(), passage.tobytes(), at.astype(np.uint32).tobytes()))
-            columns = [batch.column("key"), pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)), pa.array(k1), pa.array(k2), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "words", "grams", "passages", "at", "k1", "k2", "size"])
+                out.append((own.size, value.tobytes(), passage.tobytes()))
+            columns = [batch.column("key"), pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)), pa.array(k1), pa.array(k2), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "words", "grams", "passages", "k1", "k2", "size"])
 
-    return df.mapInArrow(run, "key bigint, words bigint, grams binary, passages binary, at binary, k1 bigint, k2 bigint, size bigint")
+    return df.mapInArrow(run, "key bigint, words bigint, grams binary, passages binary, k1 bigint, k2 bigint, size bigint")
 
 
 def grams_of(word: np.ndarray, ngram: int) -> np.ndarray:
@@ -145,11 +148,10 @@ class Shard:
     """Automaton and sets of one shard of evaluation records.
 
     Records with one n-gram set form a class and are searched once, as are
-    records with the same letters and digits.  For coverage every record keeps
-    its own passages.
+    records with the same letters and digits.
     """
 
-    def __init__(self, data: dict, ngram: int, coverage: bool) -> None:
+    def __init__(self, data: dict, ngram: int) -> None:
         import ahocorasick
 
         self.keys = np.array(data["keys"], np.int64)
@@ -166,14 +168,11 @@ class Shard:
         self.fold_of = folds
         self.first_key = np.unique(self.fold[:, 0])
         first = np.unique(label, return_index=True)[1].tolist()
-        searched = range(len(label)) if coverage else first
-        own = [np.frombuffer(data["passages"][i], np.uint32).reshape(-1, ngram) for i in searched]
-        at = [np.frombuffer(data["at"][i], np.uint32) for i in searched]
+        own = [np.frombuffer(data["passages"][i], np.uint32).reshape(-1, ngram) for i in first]
         owner = np.repeat(np.arange(len(own)), [len(p) for p in own])
         flat = np.concatenate([np.zeros((0, ngram), np.uint32), *own])
-        place = np.concatenate([np.zeros(0, np.uint32), *at])
         order = np.lexsort([flat[:, k] for k in range(ngram - 1, -1, -1)])
-        flat, self.owner, self.place = flat[order], owner[order], place[order]
+        flat, self.owner = flat[order], owner[order]
         new = np.concatenate(([True], (flat[1:] != flat[:-1]).any(1))) if len(flat) else np.zeros(0, np.bool_)
         start = np.flatnonzero(new)
         self.bounds = np.concatenate((start, [len(flat)]))
@@ -186,7 +185,7 @@ class Shard:
             self.machine.add_word(passage, i)
         of = np.repeat(number, np.diff(self.bounds))
         order = np.argsort(of, kind="stable")
-        self.owner, self.place = self.owner[order], self.place[order]
+        self.owner = self.owner[order]
         self.bounds = np.searchsorted(of[order], np.arange(len(numbers) + 1))
         if len(start):
             self.machine.make_automaton()
@@ -239,28 +238,23 @@ class Shard:
 _held: dict[str, Shard] = {}
 
 
-def _shard(name: str, sent: object, ngram: int, coverage: bool) -> Shard:
+def _shard(name: str, sent: object, ngram: int) -> Shard:
     """The shard's automaton, built once in a Python worker."""
     if name not in _held:
         _held.clear()
-        _held[name] = Shard(sent.value, ngram, coverage)
+        _held[name] = Shard(sent.value, ngram)
     return _held[name]
 
 
-def _scan(train: DataFrame, name: str, sent: object, ngram: int, num: int, den: int, coverage: bool) -> DataFrame:
+def _scan(train: DataFrame, name: str, sent: object, ngram: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
-        seen = np.zeros(0, np.bool_)
         for batch, group in text_groups(batches, "text"):
             if shard is None:
-                shard = _shard(name, sent, ngram, coverage)
-                seen = np.zeros(max(0, len(shard.bounds) - 1), np.bool_)
+                shard = _shard(name, sent, ngram)
             chunk = Chunk(group)
             word, owner, _, _ = chunk.words()
             hits, where = shard.matches(word, np.searchsorted(owner, np.arange(len(group) + 1)))
-            if coverage:
-                seen[hits] = True
-                continue
             keys, fold = batch.column("key"), np.stack(chunk.fold_keys(), 1)
 
             def rows(i: np.ndarray, e: np.ndarray, copy: int, shared: np.ndarray) -> pa.RecordBatch:
@@ -273,22 +267,21 @@ def _scan(train: DataFrame, name: str, sent: object, ngram: int, num: int, den:
             for at, i, e in shard.classes.pairs(*found[:2]):
                 other = (fold[i] != shard.fold[e]).any(axis=1)
                 yield rows(i[other], e[other], 0, found[2][at][other])
-        if coverage and shard is not None:
-            which = np.repeat(seen, np.diff(shard.bounds))
-            own, at = shard.owner[which], shard.place[which].astype(np.int64)
-            zero = np.zeros(own.size, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(shard.keys[own]), pa.array(zero), pa.array(at)], NAMES)
 
     return train.mapInArrow(run, "train bigint, eval bigint, copy bigint, shared bigint")
 
 
-def _scans(df: DataFrame, key: str, text: str, split: str, train: str, ngram: int, threshold: Fraction, shard_words: int, bits: int, coverage: bool) -> tuple[DataFrame, DataFrame]:
+def _sides(df: DataFrame, key: str, text: str, split: str, train: str) -> tuple[DataFrame, DataFrame]:
+    """(key, text) of the training rows and of the evaluation rows."""
     need_columns(df, key, text, split)
-    spark = df.sparkSession
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(split).alias("split")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
-    ours = rows.filter(F.col("split") == train).select("key", "text")
+    return rows.filter(F.col("split") == train).select("key", "text"), rows.filter(F.col("split") != train).select("key", "text")
+
+
+def _scans(df: DataFrame, key: str, text: str, split: str, train: str, ngram: int, threshold: Fraction, shard_words: int, bits: int) -> DataFrame:
+    spark = df.sparkSession
+    ours, theirs = _sides(df, key, text, split, train)
     order = spark.sparkContext.broadcast(training_grams(ours, ngram, bits))
-    theirs = rows.filter(F.col("split") != train).select("key", "text")
     records = cut(_records(theirs, ngram, threshold, order, bits))
     total = records.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
@@ -296,11 +289,11 @@ def _scans(df: DataFrame, key: str, text: str, split: str, train: str, ngram: in
     for s in range(shards):
         part = records.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s) if shards > 1 else records
         table = part.toArrow()
-        data = {"keys": table["key"].to_pylist(), **{c: table[c].to_pylist() for c in ("grams", "passages", "at", "k1", "k2", "size")}}
+        data = {"keys": table["key"].to_pylist(), **{c: table[c].to_pylist() for c in ("grams", "passages", "k1", "k2", "size")}}
         sent = spark.sparkContext.broadcast(data)
-        found = _scan(ours, uuid.uuid4().hex, sent, ngram, threshold.numerator, threshold.denominator, coverage)
+        found = _scan(ours, uuid.uuid4().hex, sent, ngram, threshold.numerator, threshold.denominator)
         out = found if out is None else out.unionByName(found)
-    return out, records
+    return out
 
 
 def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
@@ -311,16 +304,60 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train:
     least ``threshold``.  Rows of null text or null split take no part; a text
     without letters and digits is no copy; empty splits give no rows.
     """
-    found, _ = _scans(df, key, text, split, train, ngram, Fraction(threshold).limit_denominator(10_000), shard_words, bits, False)
-    return found
+    return _scans(df, key, text, split, train, ngram, Fraction(threshold).limit_denominator(10_000), shard_words, bits)
+
+
+def _places(df: DataFrame, ngram: int) -> DataFrame:
+    """(key, at, gram): every n-gram of every row with the word at which it begins."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, group in text_groups(batches, "text"):
+            chunk = Chunk(group)
+            value, doc = chunk.shingles(ngram)
+            at = np.arange(doc.size) - np.searchsorted(doc, doc)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc)), pa.array(at), pa.array(value.view(np.int64))], ["key", "at", "gram"])
+
+    return df.mapInArrow(run, "key bigint, at bigint, gram bigint")
+
+
+def _word_counts(df: DataFrame) -> DataFrame:
+    """(key, words) of every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, group in text_groups(batches, "text"):
+            owner = Chunk(group).words()[1]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.bincount(owner, minlength=len(group)), pa.int64())], ["key", "words"])
+
+    return df.mapInArrow(run, "key bigint, words bigint")
+
+
+def _known_grams(df: DataFrame, ngram: int, order: object) -> DataFrame:
+    """(gram): n-grams of the rows that the Bloom filter does not rule out, each once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = order.value
+        for _, group in text_groups(batches, "text"):
+            value = np.unique(Chunk(group).shingles(ngram)[0])
+            bit = _known_bits(value)
+            value = value[((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(np.bool_)]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], ["gram"])
+
+    return df.mapInArrow(run, "gram bigint").distinct()
 
 
 def coverage(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
-    """(key, words, covered): words of each evaluation record inside passages found in training texts."""
-    found, records = _scans(df, key, text, split, train, ngram, Fraction(threshold).limit_denominator(10_000), shard_words, bits, True)
-    starts = found.select(F.col("eval").alias("key"), F.col("shared").alias("at")).distinct()
-    runs = starts.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    """(key, words, covered): words of each evaluation record inside n-grams that training texts hold.
+
+    All places of a record count, however little of it recurs, so ``threshold``
+    and ``shard_words``, which bound the search for pairs, change nothing here.
+    Rows of null text or null split take no part; records shorter than ``ngram``
+    words are not covered.
+    """
+    ours, theirs = _sides(df, key, text, split, train)
+    order = df.sparkSession.sparkContext.broadcast(training_grams(theirs, ngram, bits)[1])
+    found = _places(theirs, ngram).join(_known_grams(ours, ngram, order), "gram", "left_semi")
+    runs = found.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
     step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(ngram).cast("bigint"), x + ngram - acc["end"])).alias("n"), (x + ngram).alias("end"))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
     merged = runs.select("key", F.aggregate("at", start, lambda acc, x: step(acc, x))["n"].alias("covered"))
-    return records.select("key", "words").join(merged, "key", "left").select(F.col("key").alias(key), "words", F.coalesce("covered", F.lit(0).cast("bigint")).alias("covered"))
+    return _word_counts(theirs).join(merged, "key", "left").select(F.col("key").alias(key), "words", F.coalesce("covered", F.lit(0).cast("bigint")).alias("covered"))

@@ -148,6 +148,24 @@ def test_coverage(spark):
     assert got[2] == (8, 0) and got[1][0] == 12 and 3 <= got[1][1] <= 10
 
 
+@pytest.mark.parametrize("seed, n", [(1, 3), (2, 2)])
+def test_coverage_is_whole(spark, seed, n):
+    words = lambda t: re.findall(r"[^\W_]+", (normalize_text(t) or "").lower())
+    half = " ".join(f"own{i}" for i in range(30)) + " " + " ".join(f"w{i}" for i in range(20))
+    again = " ".join(["w3 w4 w5 other"] * 4)
+    rows = corpus(seed) + [(900, "train", " ".join(f"w{i}" for i in range(20))), (901, "test", half), (902, "validation", again), (903, "test", "w1")]
+    held = set().union(*(shingles(t, n) for _, s, t in rows if s == "train" and t))
+    expected = {}
+    for i, s, t in rows:
+        if s != "train" and t is not None:
+            w = words(t)
+            inside = {j + k for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in held for k in range(n)}
+            expected[i] = (len(w), len(inside))
+    assert expected[901] == (50, 20) and expected[902] == (16, 12)
+    got = [(r.pos, (r.words, r.covered)) for r in leakage.coverage(frame(spark, rows), "pos", "text", "split", ngram=n, threshold=0.6).collect()]
+    assert len(got) == len(expected) and dict(got) == expected
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [(0, "train", None)])
     for df in (empty, empty.limit(0)):
