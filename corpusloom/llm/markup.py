@@ -1,7 +1,7 @@
 r"""Problem 2: markup residue in texts, and clean text that keeps their structure.
 
-Method: a text is cut into blocks (lines; fenced, tabular and environment blocks
-stay whole), which are the nodes of a graph.  For each markup a classifier puts a
+Method: a text is cut into blocks (lines; code, scripts, comments, tables,
+formulas and environments stay whole over all their lines), which are the nodes of a graph.  For each markup a classifier puts a
 cost on either label of every block; adjacent blocks, blocks under the same
 heading or inside the same element are joined by smoothness edges.  The minimum
 cut between the two terminals is the labelling of least total cost.  Certain
@@ -85,7 +85,7 @@ SURE = {
         re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{"),
         re.compile(rf"\\(?:{'|'.join(BARE.split())})(?![A-Za-z])"),
         re.compile(r"\$\$[^$]+\$\$"),
-        re.compile(r"\\\[.*\\\]|\\\(.*\\\)"),
+        re.compile(r"\\\[.*\\\]|\\\(.*\\\)", re.S),
         re.compile(r"\$(?=[^\s$])[^$\n]*[\\^_=][^$\n]*(?<=[^\s$])\$"),
         re.compile(r"\\\\(?:\s*$|\s)"),
     ],
@@ -118,7 +118,7 @@ UNDERLINE = re.compile(r"^(?:={3,}|-{3,})\s*$")
 
 @dataclass
 class Block:
-    """A node: one line or one whole fenced, tabular or environment block."""
+    """A node: one line, or all lines of a construct that spans several (see ``_reach``)."""
 
     text: str
     start: int
@@ -129,14 +129,95 @@ class Block:
     maybe: dict[str, int] = field(default_factory=dict)
 
 
+# Constructs that may span lines: code and formulas are kept as they are, comments and scripts go.
+OPEN = re.compile(r"<!--|<(pre|script|style|table)\b[^<>]*>|\\begin\{([A-Za-z]+\*?)\}|\$\$|\\\[|(?:^|(?<=\n))[ \t]*\{\|", re.I)
+CLOSE = {
+    "<!--": re.compile("-->"),
+    "$$": re.compile(r"\$\$"),
+    "\\[": re.compile(r"\\\]"),
+    "{|": re.compile(r"(?:^|(?<=\n))[ \t]*\|\}"),
+    **{n: re.compile(rf"</{n}\s*>", re.I) for n in ("pre", "script", "style", "table")},
+}
+ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
+PARAGRAPH = re.compile(r"\n[ \t]*\n")
+GONE = r"<!--.*?-->|<(?P<gone>script|style)\b[^<>]*>.*?</(?P=gone)\s*>"
+CODE = (
+    r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(?P<pre>.*?)(?:</code>\s*)?</pre\s*>"
+    r"|\\begin\{(?P<env>[vVB]?[vV]erbatim\*?|lstlisting|minted|alltt)\}(?:\[[^\]\n]*\])?(?P<verbatim>.*?)\\end\{(?P=env)\}"
+)
+FORMULA = (
+    r"(?P<math>\$\$[^$]+\$\$|\\\[.*?\\\])"
+    r"|\\begin\{(?P<display>(?:equation|align|alignat|gather|multline|eqnarray|displaymath|flalign)\*?)\}(?P<body>.*?)\\end\{(?P=display)\}"
+)
+WHOLE = re.compile(f"{GONE}|{CODE}|{FORMULA}", re.S | re.I)
+
+
+def _environments(text: str) -> dict[int, int]:
+    """Where each environment that begins at a place ends; ``document`` holds a text and is none."""
+    begun: dict[str, list[int]] = {}
+    ends = {}
+    for m in ENVIRONMENT.finditer(text):
+        if m[1] == "begin":
+            begun.setdefault(m[2], []).append(m.start())
+        elif begun.get(m[2]):
+            ends[begun[m[2]].pop()] = m.end()
+    return {a: b for a, b in ends.items() if not text.startswith("\\begin{document}", a)}
+
+
+def _reach(text: str, start: int, end: int, ends: dict[int, int], missing: set[str]) -> int:
+    """End of the last line of the constructs that begin in the line from start to end.
+
+    A construct without an end is none; a formula lies within a paragraph.
+    ``missing``: constructs known to have no end in the rest of the text.
+    """
+    at = start
+    while m := OPEN.search(text, at, end):
+        at = m.end()
+        name = (m[1] or m[0]).strip().lower()
+        if m[2]:
+            closed = ends.get(m.start(), 0)
+        elif name in missing:
+            continue
+        else:
+            found = CLOSE[name].search(text, at)
+            closed = found.end() if found else 0
+            if not found:
+                missing.add(name)
+            elif name in ("$$", "\\[") and PARAGRAPH.search(text, at, found.start()):
+                continue
+        if closed:
+            # tables and other environments may hold constructs, which end within them
+            at = closed
+            if closed > end:
+                end = text.find("\n", closed)
+                end = len(text) if end < 0 else end
+    return end
+
+
+def _outside(text: str) -> str:
+    """The text with the constructs in it, but not what code, scripts and comments hold."""
+
+    def hollow(m: re.Match) -> str:
+        if m["math"] or m["display"]:
+            return m[0]
+        if m["env"]:
+            return f"\\begin{{{m['env']}}}\\end{{{m['env']}}}"
+        return "<pre></pre>" if m["pre"] is not None else f"<{m['gone']}></{m['gone']}>" if m["gone"] else "<!---->"
+
+    return WHOLE.sub(hollow, text)
+
+
 def blocks_of(text: str) -> list[Block]:
     """Blocks in order, with their section and the stack of open elements."""
     out: list[Block] = []
     section, depth, at, serial = 0, [], 0, 0
     fence = None
     lines = text.split("\n")
+    ends, missing, reached = _environments(text), set(), 0
     for i, line in enumerate(lines):
         start, at = at, at + len(line) + 1
+        if start < reached:
+            continue
         mark = re.match(r" {0,3}(```|~~~)", line)
         if fence:
             out[-1].text += "\n" + line
@@ -151,8 +232,10 @@ def blocks_of(text: str) -> list[Block]:
             continue
         if SURE["markdown"][0].match(line) or any(p.match(line) for p in SURE["wiki"][:3]) or line.lstrip().startswith(("\\section", "\\subsection")):
             section += 1
-        block = Block(line, start, section, tuple(depth))
-        for m in TAG.finditer(line):
+        reached = _reach(text, start, start + len(line), ends, missing)
+        block = Block(text[start:reached], start, section, tuple(depth))
+        outside = _outside(block.text)
+        for m in TAG.finditer(outside):
             name = re.match(r"</?(\w+)", m[0])[1].lower()
             if m[0].startswith("</"):
                 if depth:
@@ -160,7 +243,7 @@ def blocks_of(text: str) -> list[Block]:
             elif not m[0].endswith("/>") and name not in ("br", "hr", "img", "meta", "link", "input"):
                 serial += 1
                 depth.append(serial)
-        for m in re.finditer(r"\\(begin|end)\{", line):
+        for m in re.finditer(r"\\(begin|end)\{", outside):
             if m[1] == "begin":
                 serial += 1
                 depth.append(serial)
@@ -174,12 +257,13 @@ def blocks_of(text: str) -> list[Block]:
 def classify(blocks: list[Block]) -> None:
     """Evidence of every block for every markup."""
     for i, b in enumerate(blocks):
+        text = b.text.split("\n", 1)[0] if b.fenced else _outside(b.text)
+        lines = text.split("\n")
         for kind in MARKUPS:
-            lines = [b.text] if not b.fenced else [b.text.split("\n", 1)[0]]
-            b.sure[kind] = any(p.search(x) for x in lines for p in SURE[kind])
-            b.maybe[kind] = sum(w for p, w in MAYBE[kind] for x in lines if p.search(x))
+            b.sure[kind] = any(p.search(x) for x in [*lines, *([text] if len(lines) > 1 else [])] for p in SURE[kind])
+            b.maybe[kind] = max(sum(w for p, w in MAYBE[kind] if p.search(x)) for x in lines)
         if not b.sure["html"]:
-            b.sure["html"] = any(m[0][1] == "#" or m[0][1:-1].lower() in _ENTITIES for m in ENTITY.finditer(b.text))
+            b.sure["html"] = any(m[0][1] == "#" or m[0][1:-1].lower() in _ENTITIES for m in ENTITY.finditer(b.text if b.fenced else text))
         if UNDERLINE.match(b.text) and i and not UNDERLINE.match(blocks[i - 1].text) and blocks[i - 1].start + len(blocks[i - 1].text) + 1 == b.start:
             b.sure["markdown"] = b.sure["markdown"] or (b.text[0] == "=" and len(blocks[i - 1].text) <= 120)
             b.maybe["markdown"] += 10
@@ -289,11 +373,14 @@ def markups(text: str | None) -> list[str]:
 
 
 def _is_boilerplate(b: Block) -> int:
-    """How strongly a block looks like boilerplate, 0 to 12."""
-    plain = re.sub(r"\s+", " ", TAG.sub(" ", COMMENT.sub(" ", b.text))).strip()
+    """How strongly a block looks like boilerplate, 0 to 12; scripts go wherever they stand."""
+    if b.fenced:
+        return 0
+    text = re.sub(r"<(script|style)></\1>", " ", _outside(b.text), flags=re.I)
+    plain = re.sub(r"\s+", " ", TAG.sub(" ", COMMENT.sub(" ", text))).strip()
     if re.match(r"\[\[(?:category|file|image|kategorie|datei|catégorie|fichier)\s*:", plain, re.I) or re.match(r"\{\{", plain) and not re.search(r"[.!?] ", plain):
         return 12
-    if re.search(r"<(?:script|style|nav|footer|header|form)\b", b.text, re.I):
+    if re.search(r"<(?:script|style|nav|footer|header|form)\b", text, re.I):
         return 12
     links = sum(len(m[0]) for m in re.finditer(r"<a\b[^<>]*>.*?</a>|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", b.text, re.I))
     return 6 if plain and links > 0.7 * len(b.text) and len(plain) < 80 and not re.match(r"\s*[*#-]", b.text) else 0
@@ -336,12 +423,52 @@ def _inline(text: str) -> str:
     return re.sub(r"[ \t]+", " ", "".join(parts)).strip()
 
 
+def _fenced(body: str) -> str:
+    """Code between fences that it does not hold itself, without the line ends next to them."""
+    body = re.sub(r"^[ \t]*\n|\n[ \t]*$", "", body)
+    fence = "```"
+    while fence in body:
+        fence += "`"
+    return f"{fence}\n{body}\n{fence}"
+
+
 def _render(b: Block, kinds: set[str]) -> str:
-    """One block in plain notation: ``# heading``, ``- item``, fenced code, ``a | b`` rows, ``$$`` formulas."""
-    line = b.text
+    """One block in plain notation: ``# heading``, ``- item``, fenced code, ``a | b`` rows, ``$$`` formulas.
+
+    Code and formulas over several lines are kept as they are; of HTML code the
+    tags go and the entities are read.
+    """
     if b.fenced:
-        body = line.split("\n")[1:]
+        body = b.text.split("\n")[1:]
         return "\n".join(["```", *(body[:-1] if body and body[-1].strip().startswith(("```", "~~~")) else body), "```"])
+    kept: list[str] = []
+
+    def keep(m: re.Match) -> str:
+        if m["pre"] is not None:
+            own = _fenced(html.unescape(TAG.sub("", m["pre"])).replace("\xa0", " "))
+        elif m["env"]:
+            own = _fenced(m["verbatim"])
+        elif m["display"]:
+            own = "$$\n" + m["body"].strip("\n") + "\n$$"
+        elif m["math"]:
+            if "\n" not in m["math"]:
+                return m[0]
+            own = m["math"]
+        else:
+            return ""
+        kept.append(own)
+        return "\n\0\n"
+
+    out = []
+    for line in WHOLE.sub(keep, b.text.replace("\0", "")).split("\n"):
+        own = kept.pop(0) if line == "\0" else _render_line(line, kinds) if line.strip() else ""
+        if own:
+            out.append(own)
+    return "\n".join(out)
+
+
+def _render_line(line: str, kinds: set[str]) -> str:
+    """One line outside code and formulas; ``_render`` describes the notation."""
     if "html" in kinds:
         line = re.sub(r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?", "\n```\n", line, flags=re.I)
         line = re.sub(r"(?:</code>\s*)?</pre>", "\n```\n", line, flags=re.I)

@@ -122,6 +122,32 @@ def test_clean_text():
     assert markup.to_text("plain  text * as is") == "plain  text * as is" and markup.to_text(None) is None and markup.to_text("") == ""
 
 
+LONG = [
+    ("a b.\n<pre><code>x = [\n    1,  2 * 3 * 4,\n]</code></pre>\nc d.", "a b.\n```\nx = [\n    1,  2 * 3 * 4,\n]\n```\nc d.", ["html"]),
+    ("<pre>\n  if a &lt; b:\n\n    - [x](y) **z**\n</pre>", "```\n  if a < b:\n\n    - [x](y) **z**\n```", ["html"]),
+    ("a\n\\begin{verbatim}\n  \\emph{x} & <b>y</b>\n\\end{verbatim}\nb", "a\n```\n  \\emph{x} & <b>y</b>\n```\nb", ["latex"]),
+    ("a<!-- one\n\n**two** [[x]]\n--> b", "a b", ["html"]),
+    ("A is.<script>\nvar x = 1;\nvar y;\n</script> B was.", "A is. B was.", ["html"]),
+    ("a\n$$\nx + *y* * z\n$$\nb", "a\n$$\nx + *y* * z\n$$\nb", ["latex"]),
+    ("a\n\\[\n x  = 1\n\\]\nb", "a\n\\[\n x  = 1\n\\]\nb", ["latex"]),
+    ("\\begin{align}\na &= b \\\\\n  c &= d\n\\end{align}", "$$\na &= b \\\\\n  c &= d\n$$", ["latex"]),
+    ("\\begin{tabular}{ll}\na & b \\\\ \\hline\nc & d \\\\\n\\end{tabular}", "a | b\nc | d", ["latex"]),
+    ("Paid $$ then.\n\nNot $$ now.", "Paid $$ then.\n\nNot $$ now.", []),
+]
+
+
+@pytest.mark.parametrize("text, clean, kinds", LONG)
+def test_constructs_over_several_lines(text, clean, kinds):
+    assert markup.to_text(text) == clean
+    assert markup.markups(text) == kinds
+    assert not kinds or any(b.text.count("\n") for b in markup.blocks_of(text))
+
+
+def test_unclosed_constructs_take_linear_time():
+    text = "<!-- <pre> $$ \\begin{a} \\[ {|\n" * 20_000
+    assert len(markup.blocks_of(text)) <= 20_000
+
+
 def test_markup_rows(spark):
     rows = [(1, "<b>x</b> and [[y]]", "z"), (1, "<b>x</b> and [[y]]", "z"), (2, None, "z"), (3, "", "z"), (4, "plain " * 50_000, "z"), (5, "# h\n" * 3_000, "z")]
     df = spark.createDataFrame(rows, "pos bigint, text string, markup string")
