@@ -37,7 +37,8 @@ FAN_IN = 64
 #: A window is prose when one word in 20 or more is a common word and a word takes 12
 #: visible characters or less; single ASCII letters are no common words.
 WINDOW_COMMON, WINDOW_SHARE, WINDOW_LENGTH = 1, 20, 12
-PROSE_SHARE = 0.33
+#: A text is mostly sentences when half of its visible characters lie in such windows.
+PROSE_SHARE = 0.5
 MOST_SYMBOLS, MOST_DIGITS = 0.25, 0.3
 
 SUMS = ("chars", "visible", "words", "word_chars", "common", "symbols", "digits", "lines", "ended_lines")

@@ -51,6 +51,18 @@ def test_statistics(spark):
         quality.statistics(df, "pos", "body", COMMON)
 
 
+def test_mostly_no_sentences(spark):
+    """A list stays one beside an intro and a stray common word; prose stays prose beside a short list."""
+    items = [f"Gluonon{i} porto" for i in range(60)]
+    listed = PROSE + "\n" + " · ".join([*items[:20], "where", *items[20:24]])
+    rows = [(0, listed), (1, PROSE * 8 + "\n" + " · ".join(items[:24]))]
+    df = spark.createDataFrame(rows, "pos int, text string")
+    stats = quality.statistics(df, "pos", "text", COMMON)
+    share = {r.pos: r.prose_share for r in stats.collect()}
+    assert 0.33 <= share[0] < 0.5 < share[1]
+    assert [r.pos for r in quality.not_prose(stats, "pos").collect()] == [0]
+
+
 CASES = [
     ("A <b>bold</b> word", ["html"]), ("x<!-- c -->", ["html"]), ("a &nbsp; b", ["html"]), ("a <unk> b 3 < 4 and 7 > 2", []), ("The R&D room; AT&T", []),
     ("## Heading\n\ntext", ["markdown"]), ("Title\n=====\n\ntext", ["markdown"]), ("see [here](#there) now", ["markdown"]), ("| a | b |\n|---|:--|\n| 1 | 2 |", ["markdown"]),
