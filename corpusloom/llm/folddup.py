@@ -235,10 +235,29 @@ def record_copies(df: DataFrame, key: str, value: str, *, min_characters: int =
     return _groups(once, key, value, json_keys(once, key, value, min_characters), True)
 
 
-def collapsed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, copies): the first record of every group with its number of records."""
-    found = cut(text_copies(df, key, text))
+def _first_of_groups(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """(key, copies): rows that are no copy of an earlier one, with the size of their group."""
     counts = found.groupBy(F.col("first_no").alias(key)).agg((F.count("*") + 1).alias("copies"))
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias(key))
     kept = rows.join(found.select(F.col("copy_no").alias(key)), key, "left_anti")
     return kept.join(counts, key, "left").select(key, F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def collapsed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, copies): the first record of every group with its number of records.
+
+    Rows of null text are left out; blank texts are kept with one copy each.
+    """
+    found = cut(text_copies(df, key, text))
+    return _first_of_groups(df.filter(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias(key)), key, found)
+
+
+def collapsed_records(df: DataFrame, key: str, value: str, *, min_characters: int = 20) -> DataFrame:
+    """(key, copies): the first line of every group of JSON records with its number of lines.
+
+    Groups are those of ``record_copies``: repeats of one key count once.  Lines
+    that take no part in them are kept with one copy each; null keys and lines
+    are left out.
+    """
+    found = cut(record_copies(df, key, value, min_characters=min_characters))
+    rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast("bigint").alias(key)).distinct()
+    return _first_of_groups(rows, key, found)

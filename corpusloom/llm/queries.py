@@ -82,6 +82,10 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return folddup.collapsed(_read(spark, sf, "clean_corpus"), "pos", "text")
 
 
+def p5_collapsed_records(spark: SparkSession, sf: str) -> DataFrame:
+    return folddup.collapsed_records(_read(spark, sf, "raw_records"), "line_number", "value")
+
+
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.grouped(_read(spark, sf, "clean_corpus"), "pos", "text")
 
@@ -146,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_token_pieces": p4_token_pieces,
         "p5_found": p5_found,
         "p5_collapsed": p5_collapsed,
+        "p5_collapsed_records": p5_collapsed_records,
         "p6_found": p6_found,
         "p6_groups": p6_groups,
         "p7_found": p7_found,

@@ -101,6 +101,15 @@ def test_records(spark):
     assert [tuple(r) for r in folddup.record_copies(deep, "line_number", "value").collect()] == [(0, 1)]
 
 
+def test_collapsed_records(spark):
+    one, two = '{"text": "A text that is long enough.", "n": 1}', '{"n": 1.0, "text": "a TEXT that is long, enough"}'
+    rows = [(5, one), (3, two), (9, one), (9, one), (4, '{"text": "A text that is long enough.", "n": 2}'), (1, "not json"), (2, "not json"), (7, None)]
+    df = spark.createDataFrame(rows, "line_number bigint, value string").repartition(3)
+    got = sorted(map(tuple, folddup.collapsed_records(df, "line_number", "value").collect()))
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 1)]
+    assert folddup.collapsed_records(df.limit(0), "line_number", "value").count() == 0
+
+
 @pytest.mark.parametrize("seed, ngram, threshold", [(1, 3, Fraction(3, 5)), (2, 5, Fraction(4, 5)), (3, 2, Fraction(1, 3)), (4, 3, Fraction(1))])
 def test_near_duplicates(spark, seed, ngram, threshold):
     rows = corpus(seed)
