@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
@@ -19,6 +19,11 @@ TINY = model.Shape(vocab_size=2111, max_positions=MAX_LENGTH, hidden_size=24, nu
 # A small projection used by the numeric queries.
 WEIGHT = ((0.5, -0.25, 0.125, 1.0), (-1.0, 0.75, 0.5, 0.25), (0.0, 1.5, -0.5, -0.125))
 BIAS = (0.1, -0.2, 0.3)
+#: Weights and positions for whole embeddings: multiples of an eighth and a quarter, other ones in each row.
+PLACES, HEAD = 64, 8
+WHOLE_WEIGHT = tuple(tuple(((31 * i + 17 * j + i * j) % 13 - 6) / 8 for j in range(PLACES)) for i in range(HEAD))
+WHOLE_BIAS = tuple((i - 3) / 4 for i in range(HEAD))
+POSITIONS = tuple(tuple(((5 * i + 3 * j) % 9 - 4) / 4 for j in range(HEAD)) for i in range(PLACES // HEAD))
 
 
 def _joined(ids: str):
@@ -254,6 +259,30 @@ def attention(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select("vec_id", F.posexplode(out).alias("place", "y")).select("vec_id", "place", F.round("y", 6).alias("y"))
 
 
+def _heads() -> Column:
+    """All places of a vector as consecutive vectors of ``HEAD`` places."""
+    return F.array(*[F.slice("v", HEAD * i + 1, HEAD) for i in range(PLACES // HEAD)])
+
+
+def linear_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``linear`` over all places; the SQL of ``linear`` writes out the first four."""
+    return _vectors(spark, sf).select("vec_id", F.posexplode(V.linear("v", WHOLE_WEIGHT, WHOLE_BIAS)).alias("place", "y")).select("vec_id", "place", F.round("y", 6).alias("y"))
+
+
+def position_add_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place of every row, taken as eight vectors, plus its position."""
+    places = F.array(*[F.array(*[F.lit(x) for x in row]) for row in POSITIONS])
+    rows = _vectors(spark, sf).select("vec_id", F.posexplode(F.flatten(V.position_add(_heads(), places))).alias("place", "y"))
+    return rows.select("vec_id", "place", F.round("y", 6).alias("y"))
+
+
+def attention_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """One head over all places as eight vectors, each of them a query, the last one masked as a key."""
+    mask = F.array(*[F.lit(int(i < PLACES // HEAD - 1)) for i in range(PLACES // HEAD)])
+    out = V.let(_heads(), lambda parts: F.flatten(F.transform(parts, lambda q: V.attention(q, parts, parts, mask))))
+    return _vectors(spark, sf).select("vec_id", F.posexplode(out).alias("place", "y")).select("vec_id", "place", F.round("y", 6).alias("y"))
+
+
 def mlm_loss(spark: SparkSession, sf: str) -> DataFrame:
     label = F.pmod(F.col("label"), F.size("v"))
     return _vectors(spark, sf).select("vec_id", F.round(V.token_loss("v", label), 6).alias("loss"))
@@ -281,5 +310,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         vocabulary_checks, word_segments, encoded_documents, encoded_offsets, first_encoded, stored_token_counts, word_ids, stored_checks, store_summary,
         training_sequences, padded_batches, batch_shapes, mlm_masks, mlm_label_counts, evaluation,
         layer_norm, gelu, linear, softmax, position_add, attention, mlm_loss, loss_metrics,
+        linear_whole, position_add_whole, attention_whole,
     ]
     return {f.__name__: f for f in own}
