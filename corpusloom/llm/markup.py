@@ -8,15 +8,24 @@ cut between the two terminals is the labelling of least total cost.  Certain
 constructs (a tag, a ``\section{``) outweigh any cut; ambiguous ones (a hyphen
 list, a row of pipes, a rule of dashes) take the side of their neighbourhood.
 
-A second cut of the same graph separates content from boilerplate (category
-links, navigation, templates, scripts); ``to_text`` renders the content blocks
-with headings, lists, code, tables and formulas kept in one plain notation.
+The capacities of ambiguous constructs are fitted (``fit_costs``): how much more
+often a construct stands in texts that hold a certain one of its markup than
+elsewhere, counted on a bounded sample; the weights below are what is used
+without a sample.
+
+A second cut of the same graph separates content from boilerplate.  Blocks in
+which nothing but category links, navigation, templates, comments or scripts is
+left are boilerplate, blocks that say anything else are content, whatever stands
+beside them; the cut settles lines of mere links.  ``to_text`` renders every
+content block by its own labels, with headings, nested lists, code, tables and
+formulas kept in one plain notation, and leaves unlabelled blocks as they are.
 """
 
 from __future__ import annotations
 
 import html
 import html.entities
+import math
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -30,7 +39,8 @@ from .arrow import need_columns
 
 MARKUPS = ("html", "markdown", "wiki", "latex")
 CERTAIN = 1000
-PLAIN = 11
+#: What an ambiguous block pays for being labelled in a text without, and with, a certain construct.
+PLAIN, MARKED = 11, 7
 SMOOTH_NEXT, SMOOTH_SECTION, SMOOTH_ELEMENT = 8, 4, 9
 
 # Element names of HTML.
@@ -130,16 +140,17 @@ class Block:
 
 
 # Constructs that may span lines: code and formulas are kept as they are, comments and scripts go.
-OPEN = re.compile(r"<!--|<(pre|script|style|table)\b[^<>]*>|\\begin\{([A-Za-z]+\*?)\}|\$\$|\\\[|(?:^|(?<=\n))[ \t]*\{\|", re.I)
+OPEN = re.compile(r"<!--|<(pre|script|style|table|nav|footer|form)\b[^<>]*>|\\begin\{([A-Za-z]+\*?)\}|\$\$|\\\[|\{\{|(?:^|(?<=\n))[ \t]*\{\|", re.I)
 CLOSE = {
     "<!--": re.compile("-->"),
     "$$": re.compile(r"\$\$"),
     "\\[": re.compile(r"\\\]"),
     "{|": re.compile(r"(?:^|(?<=\n))[ \t]*\|\}"),
-    **{n: re.compile(rf"</{n}\s*>", re.I) for n in ("pre", "script", "style", "table")},
+    **{n: re.compile(rf"</{n}\s*>", re.I) for n in ("pre", "script", "style", "table", "nav", "footer", "form")},
 }
 ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
+BRACES = re.compile(r"\{\{|\}\}")
 GONE = r"<!--.*?-->|<(?P<gone>script|style)\b[^<>]*>.*?</(?P=gone)\s*>"
 CODE = (
     r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(?P<pre>.*?)(?:</code>\s*)?</pre\s*>"
@@ -164,6 +175,28 @@ def _environments(text: str) -> dict[int, int]:
     return {a: b for a, b in ends.items() if not text.startswith("\\begin{document}", a)}
 
 
+def _templates(text: str) -> dict[int, int]:
+    """Where each pair of double braces that opens at a place closes."""
+    begun: list[int] = []
+    ends = {}
+    for m in BRACES.finditer(text):
+        if m[0] == "{{":
+            begun.append(m.start())
+        elif begun:
+            ends[begun.pop()] = m.end()
+    return ends
+
+
+def _without_templates(text: str) -> str:
+    """The text without what stands in double braces, nested ones included."""
+    out, at = [], 0
+    for a, b in sorted(_templates(text).items()):
+        if a >= at:
+            out.append(text[at:a])
+            at = b
+    return "".join([*out, text[at:]])
+
+
 def _reach(text: str, start: int, end: int, ends: dict[int, int], missing: set[str]) -> int:
     """End of the last line of the constructs that begin in the line from start to end.
 
@@ -174,7 +207,7 @@ def _reach(text: str, start: int, end: int, ends: dict[int, int], missing: set[s
     while m := OPEN.search(text, at, end):
         at = m.end()
         name = (m[1] or m[0]).strip().lower()
-        if m[2]:
+        if m[2] or name == "{{":
             closed = ends.get(m.start(), 0)
         elif name in missing:
             continue
@@ -213,7 +246,7 @@ def blocks_of(text: str) -> list[Block]:
     section, depth, at, serial = 0, [], 0, 0
     fence = None
     lines = text.split("\n")
-    ends, missing, reached = _environments(text), set(), 0
+    ends, missing, reached = _environments(text) | _templates(text), set(), 0
     for i, line in enumerate(lines):
         start, at = at, at + len(line) + 1
         if start < reached:
@@ -254,14 +287,15 @@ def blocks_of(text: str) -> list[Block]:
     return out
 
 
-def classify(blocks: list[Block]) -> None:
-    """Evidence of every block for every markup."""
+def classify(blocks: list[Block], costs: dict[str, list[int]] | None = None) -> None:
+    """Evidence of every block for every markup; ``costs``: fitted capacities of the ambiguous constructs."""
+    costs = costs or {kind: [w for _, w in MAYBE[kind]] for kind in MARKUPS}
     for i, b in enumerate(blocks):
         text = b.text.split("\n", 1)[0] if b.fenced else _outside(b.text)
         lines = text.split("\n")
         for kind in MARKUPS:
             b.sure[kind] = any(p.search(x) for x in [*lines, *([text] if len(lines) > 1 else [])] for p in SURE[kind])
-            b.maybe[kind] = max(sum(w for p, w in MAYBE[kind] if p.search(x)) for x in lines)
+            b.maybe[kind] = max(sum(w for (p, _), w in zip(MAYBE[kind], costs[kind]) if p.search(x)) for x in lines)
         if not b.sure["html"]:
             b.sure["html"] = any(m[0][1] == "#" or m[0][1:-1].lower() in _ENTITIES for m in ENTITY.finditer(b.text if b.fenced else text))
         if UNDERLINE.match(b.text) and i and not UNDERLINE.match(blocks[i - 1].text) and blocks[i - 1].start + len(blocks[i - 1].text) + 1 == b.start:
@@ -343,15 +377,16 @@ def label(blocks: list[Block], yes: list[int], no: list[int]) -> list[bool]:
     return graph.source_side(n, n + 1)[:n]
 
 
-def labelled(text: str) -> tuple[list[Block], dict[str, list[bool]]]:
+def labelled(text: str, costs: dict[str, list[int]] | None = None) -> tuple[list[Block], dict[str, list[bool]]]:
     """Blocks of a text and, per markup, which of them hold it."""
     blocks = blocks_of(text)
-    classify(blocks)
+    classify(blocks, costs)
     labels = {}
     for kind in MARKUPS:
         yes = [CERTAIN if b.sure[kind] else b.maybe[kind] for b in blocks]
         if any(yes):
-            no = [0 if b.sure[kind] else PLAIN if b.maybe[kind] else CERTAIN for b in blocks]
+            plain = MARKED if any(b.sure[kind] for b in blocks) else PLAIN
+            no = [0 if b.sure[kind] else plain if b.maybe[kind] else CERTAIN for b in blocks]
             labels[kind] = label(blocks, yes, no)
     return blocks, labels
 
@@ -363,63 +398,99 @@ def _plain_blanks(text: str | None) -> str | None:
     return re.sub(r"[^\S\n]", " ", re.sub("[\u00ad\u200b-\u200f\u2060\ufeff]", "", text))
 
 
-def markups(text: str | None) -> list[str]:
+def markups(text: str | None, costs: dict[str, list[int]] | None = None) -> list[str]:
     """Markups of which at least one block holds a construct, in a fixed order."""
     text = _plain_blanks(text)
     if not text or not HINT.search(text):
         return []
-    _, labels = labelled(text)
+    _, labels = labelled(text, costs)
     return [k for k in MARKUPS if any(labels.get(k, ()))]
 
 
+# Prefixes of category and file links, and options of file links.
+_CATEGORY = re.compile(r"\[\[\s*(?:category|kategorie|catégorie|categoría|categoria|категория)\s*:[^\[\]]*\]\]", re.I)
+_FILE = re.compile(r"\[\[\s*(?:file|image|datei|bild|fichier|archivo|файл)\s*:[^\[\]|]*((?:\|[^\[\]|]*)*)\]\]", re.I)
+_OPTION = re.compile(r"\s*(?:thumb|thumbnail|frame|frameless|border|left|right|center|none|upright(?:=.*)?|\d*x?\d+px|(?:alt|link|class)=.*)\s*", re.I)
+_PARTS = re.compile(r"<(?P<part>nav|footer|form)\b[^<>]*>.*?</(?P=part)\s*>", re.S | re.I)
+_LINK = re.compile(r"<a\b[^<>]*>.*?</a>|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", re.I)
+
+
 def _is_boilerplate(b: Block) -> int:
-    """How strongly a block looks like boilerplate, 0 to 12; scripts go wherever they stand."""
+    """12 where nothing but boilerplate is in a block, 6 where hardly more than links is, else 0."""
     if b.fenced:
         return 0
-    text = re.sub(r"<(script|style)></\1>", " ", _outside(b.text), flags=re.I)
-    plain = re.sub(r"\s+", " ", TAG.sub(" ", COMMENT.sub(" ", text))).strip()
-    if re.match(r"\[\[(?:category|file|image|kategorie|datei|catégorie|fichier)\s*:", plain, re.I) or re.match(r"\{\{", plain) and not re.search(r"[.!?] ", plain):
-        return 12
-    if re.search(r"<(?:script|style|nav|footer|header|form)\b", text, re.I):
+    text = _outside(b.text)
+    if "<pre></pre>" in text or re.search(r"\\begin\{(\w+\*?)\}\\end\{\1\}", text):
+        return 0
+    rest = _CATEGORY.sub(" ", _PARTS.sub(" ", COMMENT.sub(" ", re.sub(r"<(script|style)></\1>", " ", text, flags=re.I))))
+    if b.sure.get("wiki"):
+        rest = _without_templates(rest)
+    plain = re.sub(r"\s+", " ", TAG.sub(" ", rest)).strip()
+    if rest != text and not re.search(r"\w|\$\$|<img\b", rest if "<img" in rest else plain):
         return 12
-    links = sum(len(m[0]) for m in re.finditer(r"<a\b[^<>]*>.*?</a>|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)", b.text, re.I))
+    links = sum(len(m[0]) for m in _LINK.finditer(b.text))
     return 6 if plain and links > 0.7 * len(b.text) and len(plain) < 80 and not re.match(r"\s*[*#-]", b.text) else 0
 
 
 def content(blocks: list[Block]) -> list[bool]:
-    """The second cut: true for content, false for boilerplate."""
+    """The second cut: true for content, false for boilerplate; both are settled but for lines of links."""
     weight = [_is_boilerplate(b) for b in blocks]
     words = [len(re.findall(r"\w+", b.text)) for b in blocks]
-    return label(blocks, [0 if w >= 12 else 2 + min(10, n) for w, n in zip(weight, words)], [CERTAIN if w >= 12 else w for w in weight])
+    yes = [CERTAIN if not w else 0 if w >= 12 else 2 + min(10, n) for w, n in zip(weight, words)]
+    return label(blocks, yes, [0 if not w else CERTAIN if w >= 12 else w for w in weight])
 
 
-_INLINE = [
+def _caption(m: re.Match) -> str:
+    """The caption of a file link, if it has one."""
+    own = [x.strip() for x in m[1].split("|")[1:] if not _OPTION.fullmatch(x)]
+    return own[-1] if own else ""
+
+
+# LaTeX commands whose argument is no text.
+_NO_TEXT = "cite citep citet label ref eqref pageref includegraphics usepackage documentclass bibliography bibliographystyle vspace hspace input include setlength pagestyle thispagestyle"
+_WIKI = [
+    (_CATEGORY, ""),
+    (_FILE, _caption),
+    (re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]"), r"\1"),
+    (re.compile(r"'{2,5}(?=\S)([^\n]*?\S)'{2,5}"), r"\1"),
+]
+_HTML = [
     (COMMENT, ""),
     (re.compile(r"<script\b.*?</script>|<style\b.*?</style>", re.S | re.I), ""),
+    (_PARTS, " "),
     (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.S | re.I), ""),
+    (re.compile(r"<img\b[^<>]*?\balt\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)')[^<>]*>", re.I), lambda m: m[1] or m[2] or ""),
+]
+_MARKDOWN = [
     (re.compile(r"!\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
     (re.compile(r"(?<!\[)\[([^\[\]^\n]+)\]\([^)\n]*\)"), r"\1"),
     (re.compile(r"\[\^[\w-]+\]:?"), ""),
-    (re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]"), r"\1"),
-    (re.compile(r"\{\{[^{}\n]*\}\}"), ""),
-    (re.compile(r"'{2,5}(?=\S)([^\n]*?\S)'{2,5}"), r"\1"),
     (re.compile(r"(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?!\w)"), r"\2"),
+    (re.compile(r"(?<![\w_])(_{1,3})(?=[^\s_])([^_\n]+?)(?<=[^\s_])\1(?![\w_])"), r"\2"),
     (re.compile(r"~~(?=\w)([^~\n]+)~~"), r"\1"),
     (re.compile(r"(?<![`\w])`([^`\n]+)`(?![`\w])"), r"\1"),
-    (re.compile(r"~?\\(?:cite|label|ref|footnote)\{[^{}]*\}"), ""),
-    (re.compile(r"\\(?:textbf|textit|emph|texttt|underline|text)\{([^{}]*)\}"), r"\1"),
+]
+_LATEX = [
+    (re.compile(rf"~?\\(?:{'|'.join(_NO_TEXT.split())})\*?(?:\[[^\]\n]*\])?\{{[^{{}}]*\}}"), ""),
+    (re.compile(r"\s*\\footnote\{([^{}]*)\}"), r" (\1)"),
+    (re.compile(r"\\(?!begin|end)[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}"), r"\1"),
     (re.compile(r"\\noindent\s*|\\\\\s*$", re.M), ""),
 ]
 
 
-def _inline(text: str) -> str:
-    """One line without inline markup; formulas stay as they are."""
+def _inline(text: str, kinds: set[str] = frozenset(MARKUPS)) -> str:
+    """One line without inline markup of its kinds; formulas stay as they are."""
     parts = re.split(r"(\$\$[^$]+\$\$|\$(?=[^\s$])[^$\n]*[\\^_=][^$\n]*\$|\\\[.*?\\\])", text)
     for i in range(0, len(parts), 2):
-        for pattern, new in _INLINE:
-            parts[i] = pattern.sub(new, parts[i])
+        for kind, rules in (("html", _HTML), ("wiki", _WIKI), ("markdown", _MARKDOWN), ("latex", _LATEX)):
+            if kind in kinds or kind == "html" and "wiki" in kinds:
+                for pattern, new in rules:
+                    parts[i] = pattern.sub(new, parts[i])
+        if "wiki" in kinds:
+            parts[i] = _without_templates(parts[i])
         parts[i] = TAG.sub("", parts[i])
-        parts[i] = html.unescape(parts[i]).replace("\xa0", " ")
+        if "html" in kinds:
+            parts[i] = html.unescape(parts[i]).replace("\xa0", " ")
     return re.sub(r"[ \t]+", " ", "".join(parts)).strip()
 
 
@@ -432,120 +503,214 @@ def _fenced(body: str) -> str:
     return f"{fence}\n{body}\n{fence}"
 
 
-def _render(b: Block, kinds: set[str]) -> str:
-    """One block in plain notation: ``# heading``, ``- item``, fenced code, ``a | b`` rows, ``$$`` formulas.
+INDENT = "\1"
+
+
+class Renderer:
+    """Blocks in plain notation: ``# heading``, ``- item``, fenced code, ``a | b`` rows, ``$$`` formulas.
 
     Code and formulas over several lines are kept as they are; of HTML code the
-    tags go and the entities are read.
+    tags go and the entities are read.  ``depth``: lists open at this place, as
+    nested items are set in by two blanks a level.
     """
-    if b.fenced:
-        body = b.text.split("\n")[1:]
-        return "\n".join(["```", *(body[:-1] if body and body[-1].strip().startswith(("```", "~~~")) else body), "```"])
-    kept: list[str] = []
-
-    def keep(m: re.Match) -> str:
-        if m["pre"] is not None:
-            own = _fenced(html.unescape(TAG.sub("", m["pre"])).replace("\xa0", " "))
-        elif m["env"]:
-            own = _fenced(m["verbatim"])
-        elif m["display"]:
-            own = "$$\n" + m["body"].strip("\n") + "\n$$"
-        elif m["math"]:
-            if "\n" not in m["math"]:
-                return m[0]
-            own = m["math"]
-        else:
+
+    def __init__(self) -> None:
+        self.depth = 0
+
+    def block(self, b: Block, kinds: set[str]) -> str:
+        if b.fenced:
+            body = b.text.split("\n")[1:]
+            return "\n".join(["```", *(body[:-1] if body and body[-1].strip().startswith(("```", "~~~")) else body), "```"])
+        if not kinds:
+            return b.text
+        kept: list[str] = []
+
+        def keep(m: re.Match) -> str:
+            if m["pre"] is not None:
+                own = _fenced(html.unescape(TAG.sub("", m["pre"])).replace("\xa0", " "))
+            elif m["env"]:
+                own = _fenced(m["verbatim"])
+            elif m["display"]:
+                own = "$$\n" + m["body"].strip("\n") + "\n$$"
+            elif m["math"]:
+                if "\n" not in m["math"]:
+                    return m[0]
+                own = m["math"]
+            else:
+                return ""
+            kept.append(own)
+            return "\n\0\n"
+
+        text = WHOLE.sub(keep, b.text.replace("\0", ""))
+        if "html" in kinds:
+            text = _PARTS.sub(" ", text)
+        if "wiki" in kinds:
+            text = _without_templates(text)
+        out = []
+        for line in text.split("\n"):
+            own = kept.pop(0) if line == "\0" else self.line(line, kinds) if line.strip() else ""
+            if own:
+                out.append(own.replace(INDENT, "  "))
+        return "\n".join(out)
+
+    def _list_tag(self, m: re.Match) -> str:
+        name = m[1].lower()
+        if name == "li":
+            return "\n" + INDENT * max(0, self.depth - 1) + "- "
+        self.depth = max(0, self.depth + (-1 if m[0][1] == "/" else 1))
+        return "\n"
+
+    def line(self, line: str, kinds: set[str]) -> str:
+        """One line outside code and formulas."""
+        line = line.replace(INDENT, "")
+        if "html" in kinds:
+            line = re.sub(r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?", "\n```\n", line, flags=re.I)
+            line = re.sub(r"(?:</code>\s*)?</pre>", "\n```\n", line, flags=re.I)
+            line = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1>", lambda m: f"\n{'#' * int(m[1])} {m[2]}\n", line, flags=re.I)
+            line = re.sub(r"</?(ul|ol)\b[^<>]*>|<(li)\b[^<>]*>", lambda m: self._list_tag(re.match(r"</?(\w+)", m[0])), line, flags=re.I)
+            line = re.sub(r"</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", line, flags=re.I)
+            line = re.sub(r"</?(?:p|div|table|tr|br|blockquote|html|body|section|article|header|dl|dt|dd|caption)\b[^<>]*>|</li\b[^<>]*>", "\n", line, flags=re.I)
+            if "\n" in line:
+                return "\n".join(x for x in (_inline(y, kinds) for y in line.split("\n")) if x)
+        m = re.match(r"\s*(={2,6})([^=]+)\1\s*$", line) or re.match(r"\s*(=(?: =)*) ([^=]+) =(?: =)*\s*$", line)
+        if m and "wiki" in kinds:
+            return f"{'#' * m[1].count('=')} {_inline(m[2], kinds)}"
+        m = re.match(r"\s*\\(chapter|(?:sub)*section|paragraph)\*?\{([^{}]*)\}", line)
+        if m and "latex" in kinds:
+            level = 1 + m[1].count("sub") if "section" in m[1] else 1 if m[1] == "chapter" else 4
+            rest = _inline(line[m.end() :], kinds)
+            return f"{'#' * level} {_inline(m[2], kinds)}" + (f"\n{rest}" if rest else "")
+        if "latex" in kinds and (m := re.match(r"\s*\\(begin|end)\{(itemize|enumerate|description)\}", line)):
+            self.depth = max(0, self.depth + (1 if m[1] == "begin" else -1))
+            return ""
+        m = re.match(r"(\s*)([*#]+|[-+]|\\item)\s+(\S.*)", line)
+        if m and not re.match(r"#{1,6} ", line.lstrip() if "markdown" in kinds else ""):
+            level = len(m[2]) - 1 if m[2][0] in "*#" and "wiki" in kinds else self.depth - 1 if m[2][0] == "\\" else len(m[1].expandtabs(4)) // 2
+            return INDENT * max(0, level) + f"- {_inline(m[3], kinds)}"
+        if re.match(r"\s*\\(?:begin|end)\{|\s*\\hline\s*$|\s*\{\||\s*\|\}|\s*\|-|\s*\|?\s*:?-{3,}", line):
             return ""
-        kept.append(own)
-        return "\n\0\n"
+        if "latex" in kinds and re.search(r"\s&\s.*\\\\", line):
+            return " | ".join(_inline(x, kinds) for x in re.sub(r"\\\\.*", "", line).split("&"))
+        if re.match(r"\s*[|!]", line) and kinds & {"markdown", "wiki"}:
+            return " | ".join(_inline(x, kinds) for x in re.split(r"\|\|?|!!", line.strip().strip("|!").strip()))
+        if "markdown" in kinds:
+            line = re.sub(r"^> ?", "", line)
+        return _inline(line, kinds)
 
-    out = []
-    for line in WHOLE.sub(keep, b.text.replace("\0", "")).split("\n"):
-        own = kept.pop(0) if line == "\0" else _render_line(line, kinds) if line.strip() else ""
-        if own:
-            out.append(own)
-    return "\n".join(out)
 
+def to_text(text: str | None, costs: dict[str, list[int]] | None = None) -> str | None:
+    """Clean text: boilerplate gone, structure kept; blocks without markup as they are.
 
-def _render_line(line: str, kinds: set[str]) -> str:
-    """One line outside code and formulas; ``_render`` describes the notation."""
-    if "html" in kinds:
-        line = re.sub(r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?", "\n```\n", line, flags=re.I)
-        line = re.sub(r"(?:</code>\s*)?</pre>", "\n```\n", line, flags=re.I)
-        line = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1>", lambda m: f"\n{'#' * int(m[1])} {m[2]}\n", line, flags=re.I)
-        line = re.sub(r"<li\b[^<>]*>", "\n- ", line, flags=re.I)
-        line = re.sub(r"</t[dh]>\s*<t[dh]\b[^<>]*>", " | ", line, flags=re.I)
-        line = re.sub(r"</?(?:p|div|ul|ol|table|tr|br|blockquote|html|body|li)\b[^<>]*>", "\n", line, flags=re.I)
-        if "\n" in line:
-            return "\n".join(x for x in (_inline(y) for y in line.split("\n")) if x)
-    m = re.match(r"\s*(={2,6})([^=]+)\1\s*$", line) or re.match(r"\s*(=(?: =)*) ([^=]+) =(?: =)*\s*$", line)
-    if m and "wiki" in kinds:
-        return f"{'#' * m[1].count('=')} {_inline(m[2])}"
-    m = re.match(r"\s*\\(sub)*section\*?\{([^{}]*)\}", line)
-    if m:
-        return f"{'#' * (1 + line.count('sub', 0, m.end(0)))} {_inline(m[2])}"
-    m = re.match(r"\s*(?:[*#]+|[-+]|\\item)\s+(?:\[[ xX]\] )?(\S.*)", line)
-    if m and kinds and not re.match(r"#{1,6} ", line.lstrip() if "markdown" in kinds else ""):
-        return f"- {_inline(m[1])}"
-    if re.match(r"\s*\\(?:begin|end)\{|\s*\\hline\s*$|\s*\{\||\s*\|\}|\s*\|-|\s*\|?\s*:?-{3,}", line) and kinds:
-        return ""
-    if "latex" in kinds and re.search(r"\s&\s.*\\\\", line):
-        return " | ".join(_inline(x) for x in re.sub(r"\\\\.*", "", line).split("&"))
-    if re.match(r"\s*[|!]", line) and kinds & {"markdown", "wiki"}:
-        return " | ".join(_inline(x) for x in re.split(r"\|\|?|!!", line.strip().strip("|!").strip()))
-    return _inline(re.sub(r"^> ?", "", line)) if kinds else line
-
-
-def to_text(text: str | None) -> str | None:
-    """Clean text: boilerplate gone, structure kept; a text without markup as it is.
-
-    Null stays null.  Texts that are all markup may become empty.
+    Null stays null.  Texts that are all boilerplate become empty.  Of content
+    only what names nothing visible goes: tags, link targets, marks, labels and
+    citations; footnotes and captions stay.
     """
     if not text or not HINT.search(text):
         return text
-    blocks, labels = labelled(text)
+    blocks, labels = labelled(text, costs)
     if not any(any(x) for x in labels.values()):
         return text
-    kinds = {k for k, x in labels.items() if any(x)}
     keep = content(blocks)
-    out, before = [], -1
+    out, before, render = [], -1, Renderer()
+    code = False
     for i, b in enumerate(blocks):
-        if not keep[i]:
-            continue
-        if UNDERLINE.match(b.text) and labels.get("markdown", [False] * len(blocks))[i]:
+        kinds = {k for k, x in labels.items() if x[i]}
+        if UNDERLINE.match(b.text) and "markdown" in kinds:
             if out and b.text[0] in "=-":
                 out[-1] = f"{'#' if b.text[0] == '=' else '##'} {out[-1]}"
             continue
-        own = _render(b, kinds)
+        # an indented block after a blank line is code, and stays code
+        gap = before < 0 or b.start > before + 1
+        code = bool(labels.get("markdown")) and any(labels["markdown"]) and re.match(r"(?: {4}|\t)", b.text) is not None and (gap or code) and not re.match(r"\s*(?:[-*+]|\d+[.)])\s", b.text)
+        own = b.text if code else render.block(b, kinds)
+        if not keep[i]:
+            continue
         if own:
-            if out and before >= 0 and b.start > before + 1:
+            if out and before >= 0 and gap:
                 out.append("")
             out.append(own)
         before = b.start + len(b.text)
     return "\n".join(out)
 
 
-def _apply(df: DataFrame, key: str, text: str, schema: str, make) -> DataFrame:
+FIT_ROWS = 4_000
+
+
+def fit_costs(df: DataFrame, key: str, text: str, *, fit_rows: int = FIT_ROWS) -> dict[str, list[int]]:
+    """Capacities of the ambiguous constructs, fitted on about ``fit_rows`` rows of smallest key hash.
+
+    Of every construct those blocks are counted that stand in texts with a
+    certain construct of its markup in another block, and those that do not.
+    The capacity is ``PLAIN`` plus the log-odds of the two in half nats, kept
+    within 1 and ``PLAIN`` - 1: one ambiguous block alone never outweighs being
+    plain, several evidences of one block and neighbours may.
+    """
     need_columns(df, key, text)
+    rows = df.select(F.xxhash64(key).alias("h"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    share = min(1.0, fit_rows / max(1, df.count()))
+    most = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    names = ["kind", "construct", "within", "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int, bool], int] = {}
         for batch in batches:
-            rows = [r for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) for r in make(k, t)]
-            names = [c.split()[0] for c in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if not i else pa.string()) for i in range(len(names))], names)
+            for t in batch.column("text").to_pylist():
+                blocks = blocks_of(_plain_blanks(t))
+                classify(blocks)
+                for kind in MARKUPS:
+                    certain = [b.sure[kind] for b in blocks]
+                    total = sum(certain)
+                    for b, own in zip(blocks, certain):
+                        if not b.maybe[kind]:
+                            continue
+                        lines = (b.text.split("\n", 1)[0] if b.fenced else _outside(b.text)).split("\n")
+                        for k, (p, _) in enumerate(MAYBE[kind]):
+                            if any(p.search(x) for x in lines):
+                                cell = (kind, k, total - own > 0)
+                                seen[cell] = seen.get(cell, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in seen], pa.string()), pa.array([c[1] for c in seen], pa.int32()), pa.array([c[2] for c in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names)
+
+    counted = rows.filter(F.col("h") <= most).select("text").mapInArrow(run, "kind string, construct int, within boolean, n bigint")
+    found = {(r["kind"], r["construct"], r["within"]): r["n"] for r in counted.groupBy("kind", "construct", "within").agg(F.sum("n").alias("n")).collect()}
+    costs = {}
+    for kind in MARKUPS:
+        costs[kind] = []
+        for k, (_, given) in enumerate(MAYBE[kind]):
+            inside, outside = found.get((kind, k, True), 0), found.get((kind, k, False), 0)
+            fitted = PLAIN + round(2 * math.log((inside + 1) / (outside + 1)))
+            costs[kind].append(given if inside + outside < 20 else max(1, min(PLAIN - 1, fitted)))
+    return costs
 
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+#: A superset of ``HINT`` before odd blanks are read: texts without any of it stay in the JVM.
+_JVM_HINT = "(?m)[<&\\\\`$\\[{*_~=|#>+]|'[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]*'|-[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]*-|(?:^|\\R)[\\s\\h\\u00ad\\u200b-\\u200f\\u2060\\ufeff]*-"
+
+
+def _apply(df: DataFrame, key: str, text: str, kind: str, make) -> DataFrame:
+    need_columns(df, key, text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, v) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) for v in make(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["key", kind])
+
+    return df.mapInArrow(run, f"key bigint, {kind} string")
+
+
+def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    need_columns(df, key, text)
+    return df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
 
 
-def found(df: DataFrame, key: str, text: str) -> DataFrame:
+def found(df: DataFrame, key: str, text: str, costs: dict[str, list[int]] | None = None) -> DataFrame:
     """(key, markup): one row for every markup of which a text holds a construct.
 
     Null, empty and plain texts have no rows; other columns are ignored.
     """
-    return _apply(df, key, text, "key bigint, markup string", lambda k, t: [(k, m) for m in markups(t)])
+    rows = _rows(df, key, text).filter(F.col("text").rlike(_JVM_HINT))
+    return _apply(rows, "key", "text", "markup", lambda t: markups(t, costs)).withColumnRenamed("key", key)
 
 
-def cleaned(df: DataFrame, key: str, text: str) -> DataFrame:
+def cleaned(df: DataFrame, key: str, text: str, costs: dict[str, list[int]] | None = None) -> DataFrame:
     """(key, text): every row's clean text (see ``to_text``)."""
-    return _apply(df, key, text, "key bigint, text string", lambda k, t: [(k, to_text(t))])
+    return _apply(_rows(df, key, text), "key", "text", "text", lambda t: [to_text(t, costs)]).withColumnRenamed("key", key)

@@ -31,11 +31,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return markup.found(_read(spark, sf, "clean_corpus"), "pos", "text")
+    rows = _read(spark, sf, "clean_corpus")
+    return markup.found(rows, "pos", "text", markup.fit_costs(rows, "pos", "text"))
 
 
 def p2_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return markup.cleaned(_read(spark, sf, "clean_corpus"), "pos", "text")
+    rows = _read(spark, sf, "clean_corpus")
+    return markup.cleaned(rows, "pos", "text", markup.fit_costs(rows, "pos", "text"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
