@@ -32,6 +32,26 @@ RECORDS = f"""{KINDS}, objects AS (SELECT line_number, value FROM kinds WHERE ki
  canon AS (SELECT line_number, string_agg(fullkey || '=' || leaf, chr(10) ORDER BY fullkey) AS c FROM leaves GROUP BY line_number)"""
 
 
+LISTED = r"regexp_replace(lower(source), '^\s+|\s+$', '', 'g')"
+#: Budgets in SQL: sources by the level at which they are used up, the first that holds out sets the level of the rest.
+MIXED = f"""sized AS (SELECT doc_id, {LISTED} AS name, coalesce(len({_tokens('text')}), 0) AS n FROM documents),
+ own AS (SELECT z.doc_id, s.source, z.n FROM sized z JOIN source_targets s ON z.name = {LISTED.replace('source', 's.source')}),
+ held AS (SELECT s.source, any_value(s.target_share) AS target_share, any_value(s.max_repeats) AS max_repeats, count(o.doc_id) AS documents, CAST(coalesce(sum(o.n), 0) AS BIGINT) AS tokens FROM source_targets s LEFT JOIN own o USING (source) GROUP BY s.source),
+ total AS (SELECT CAST(sum(tokens) AS BIGINT) AS total FROM held),
+ levels AS (SELECT *, (total - coalesce(sum(max_repeats * tokens) OVER (ORDER BY max_repeats * tokens / target_share, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(target_share) OVER (ORDER BY max_repeats * tokens / target_share, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY max_repeats * tokens / target_share, source) AS turn FROM held, total WHERE target_share > 0),
+ water AS (SELECT arg_min(level, turn) FILTER (WHERE level * target_share < max_repeats * tokens) AS level FROM levels),
+ budgets AS (SELECT held.*, total, CASE WHEN target_share <= 0 THEN 0 WHEN water.level IS NULL OR water.level * target_share >= max_repeats * tokens THEN max_repeats * tokens ELSE CAST(floor(water.level * target_share + 1e-6) AS BIGINT) END AS budget FROM held, total, water),
+ classes AS (SELECT source, CAST(floor(log2(n) * 4 + 1e-9) AS INTEGER) AS k, CAST(sum(n) AS BIGINT) AS t FROM own WHERE n > 0 GROUP BY ALL),
+ parts AS (SELECT source, budget // tokens AS whole, budget % tokens AS rest FROM budgets WHERE tokens > 0),
+ rates AS (SELECT source, k, pow(2.0, k / 8.0) AS w, (rest - coalesce(sum(t) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(pow(2.0, k / 8.0) * t) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM classes JOIN parts USING (source)),
+ scales AS (SELECT source, arg_max(c, k) FILTER (WHERE c * w <= 1) AS c FROM rates GROUP BY source),
+ chances AS (SELECT source, k, CASE WHEN s.c IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, s.c * w)) END AS p FROM rates JOIN scales s USING (source)),
+ drawn AS (SELECT doc_id, o.source, n, whole, rest, p, (('0x' || substr(md5('42|' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM own o JOIN parts USING (source) JOIN chances ch ON ch.source = o.source AND ch.k = CAST(floor(log2(n) * 4 + 1e-9) AS INTEGER) WHERE n > 0),
+ ranked AS (SELECT *, CASE WHEN p >= 1 THEN u * pow(2.0, -61) WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS q FROM drawn),
+ places AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM ranked),
+ mix AS (SELECT doc_id, source, n AS tokens, CAST(whole + CASE WHEN rest > 0 AND q IS NOT NULL AND earlier * 2 + n <= rest * 2 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM places)"""
+
+
 def oracle_sql() -> dict[str, str]:
     listed = r"regexp_replace(lower(source), '^\s+|\s+$', '', 'g')"
     return {
@@ -44,6 +64,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_collapsed": f"WITH {FOLDED}, groups AS (SELECT min(pos) AS pos, count(*) AS copies FROM folded GROUP BY f) SELECT pos, copies FROM groups UNION ALL SELECT pos, 1 FROM norm WHERE t IS NULL",
         "p6_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM alike JOIN folded x ON x.pos = pa JOIN folded y ON y.pos = pb WHERE x.f <> y.f",
         "p6_groups": f"WITH {FIVES} SELECT pos, coalesce(c.class_id, pos) AS class_id, coalesce(links, 0) AS links FROM clean_corpus LEFT JOIN classes c USING (pos) LEFT JOIN degree d ON d.class_id = c.class_id",
+        "p8_mix": f"WITH {MIXED} SELECT doc_id, source, tokens, copies FROM mix WHERE copies > 0",
+        "p8_shares": f"""WITH {MIXED}, got AS (SELECT source, CAST(sum(tokens * copies) AS BIGINT) AS mixed_tokens, max(copies) AS most_copies FROM mix WHERE copies > 0 GROUP BY source)
+ SELECT b.source, target_share, max_repeats, documents, tokens, target_share * total AS target_tokens, target_share * total <= max_repeats * tokens AS reachable, budget, coalesce(mixed_tokens, 0) AS mixed_tokens, coalesce(most_copies, 0) AS most_copies, coalesce(mixed_tokens, 0) / (SELECT sum(mixed_tokens) FROM got) AS mixed_share FROM budgets b LEFT JOIN got USING (source)""",
         "p7_found": f"SELECT doc_id FROM documents WHERE len({_tokens('text')}) > 512",
         "p8_found": f"""WITH sized AS (SELECT {listed} AS name, coalesce(len({_tokens('text')}), 0) AS n FROM documents),
  held AS (SELECT s.source, any_value(s.target_share) AS share, any_value(s.max_repeats) AS most, coalesce(sum(z.n), 0) AS n FROM source_targets s LEFT JOIN sized z ON z.name = {listed.replace('source', 's.source')} GROUP BY s.source)

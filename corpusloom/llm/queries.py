@@ -108,18 +108,20 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p7_containers(spark, sf))
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "text", "source", fill=True)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    targets = _read(spark, sf, "source_targets")
-    sized = mixing.sized_rows(_read(spark, sf, "documents"), targets, "doc_id", "text", "source")
-    return mixing.allocation(sized, targets).filter("not reachable").select("source")
+    return mixing.used_up(_mixed(spark, sf)[1])
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixed(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "text", "source")[0]
+    return _mixed(spark, sf)[0]
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mixed(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "text", "source")[1]
+    return _mixed(spark, sf)[1]
 
 
 def _language_model(spark: SparkSession, sf: str) -> language.Model:
