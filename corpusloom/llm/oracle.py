@@ -58,6 +58,9 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM (SELECT pa, pb FROM alike UNION SELECT a.pos, b.pos FROM folded a JOIN folded b ON a.f = b.f AND a.f <> '' AND a.pos < b.pos) JOIN clean_corpus x ON x.pos = pa JOIN clean_corpus y ON y.pos = pb WHERE (x.split = 'train') <> (y.split = 'train')",
         "p3_report": f"WITH {CROSS}, per AS (SELECT pos, count(*) AS pairs, sum(copy) AS copies FROM crossed GROUP BY pos) SELECT split, source, count(*) AS records, count(pairs) AS leaked, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(copies), 0) AS BIGINT) AS copies FROM clean_corpus LEFT JOIN per USING (pos) WHERE split <> 'train' GROUP BY ALL",
         "p4_found": "SELECT 'clean_corpus' AS table_name, pos FROM clean_corpus WHERE length(text) > 2000 UNION ALL SELECT DISTINCT 'token_store', pos FROM token_store WHERE end_offset - start_offset > 510",
+        "p4_rejoined": "SELECT pos, sha256(text) AS id, TRUE AS fits FROM clean_corpus WHERE length(text) > 2000",
+        "p4_token_cover": "SELECT DISTINCT store, doc_index, pos, end_offset - start_offset AS tokens, TRUE AS fits FROM token_store WHERE end_offset - start_offset > 510",
+        "p7_checks": f"SELECT count(*) AS documents, CAST(sum((n + 511) // 512) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping, CAST(0 AS BIGINT) AS misplaced FROM (SELECT len({_tokens('text')}) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 0",
         "p5_found": f"""WITH {FOLDED}, {RECORDS}, texts AS (SELECT min(pos) OVER (PARTITION BY f) AS first_no, pos AS copy_no FROM folded),
  records AS (SELECT min(line_number) OVER (PARTITION BY c) AS first_no, line_number AS copy_no FROM canon)
  SELECT 'clean_corpus' AS table_name, * FROM texts WHERE first_no <> copy_no UNION ALL SELECT 'raw_records', * FROM records WHERE first_no <> copy_no""",

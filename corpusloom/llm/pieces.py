@@ -5,7 +5,7 @@ sentences, clauses and words of a text are boundaries of rising depth; the spans
 between boundaries of depth d or less are the tree's nodes of depth d.  Only a
 node over the limit is opened; pieces of sibling subtrees are merged bottom-up,
 left to right, as long as they fit.  Where even a word is over the limit it is
-cut at the limit, but not before a combining mark.
+cut at the limit, but not within a cluster of combining marks that fits.
 
 Every piece but the first then begins earlier, at the first sentence or else
 word boundary within the overlap, so pieces stay within the limit and the parts
@@ -37,6 +37,18 @@ _ITEM = re.compile(r"^[^\S\n]*(?:[-*+•–▪»·]|\d{1,3}[.)]|\\item)\s", re.M
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+")
 _CLAUSE = re.compile(r"[,;:]\s+")
 _SPACE = re.compile(r"\s+")
+_LINE_START = re.compile(r"\n[ \t]*")
+
+
+def _within(spans: list[tuple[int, int]]):
+    """A test for places inside one of the sorted spans."""
+    starts = [s for s, _ in spans]
+
+    def test(place: int) -> bool:
+        i = bisect_left(starts, place) - 1
+        return i >= 0 and place < spans[i][1]
+
+    return test
 
 
 @dataclass
@@ -87,12 +99,14 @@ def text_tree(text: str) -> Tree:
     for m in _HEADING.finditer(text):
         level = len(m[1] or m[2] or "") or (m[3] or "").count("=") or int(m[6] or 0) or 1 + bool(m[4]) + bool(m[5])
         put(m.start(), min(level, HEADINGS) - 1)
-    for m in _FENCE.finditer(text):
-        for place in [p for p in depth if m.start() < p < m.end()]:
-            if text[max(0, place - 256) : place].rstrip(" \t").endswith("\n"):
-                depth[place] = max(depth[place], BLANK_LINE)
-            else:
-                depth[place] = WORD
+    fences = [(m.start(), m.end()) for m in _FENCE.finditer(text)]
+    if fences:
+        # after a line feed, or after one and blanks, begins a line
+        lines = {m.end() for m in _LINE_START.finditer(text)}
+        inside = _within(fences)
+        for place in depth:
+            if inside(place):
+                depth[place] = max(depth[place], BLANK_LINE) if place in lines else WORD
     return _tree(len(text), depth)
 
 
@@ -112,7 +126,7 @@ def token_tree(tokens: list[str]) -> Tree:
 
 
 def pack(tree: Tree, limit: int, hard) -> list[tuple[int, int]]:
-    """Consecutive spans of at most ``limit``; ``hard(place)`` moves a forced cut left where it may not be."""
+    """Consecutive spans of at most ``limit``; ``hard(place, start)`` moves a forced cut left where it may not be."""
 
     def open_(start: int, end: int, depth: int) -> list[tuple[int, int]]:
         if end - start <= limit:
@@ -122,7 +136,7 @@ def pack(tree: Tree, limit: int, hard) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         if depth == DEPTHS:
             while end - start > limit:
-                place = max(hard(start + limit), start + 1)
+                place = max(hard(start + limit, start), start + 1)
                 out.append((start, place))
                 start = place
             return [*out, (start, end)]
@@ -163,13 +177,12 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
         return [(0, 0, len(text))] if text else []
     tree = text_tree(text)
 
-    def hard(place: int) -> int:
+    def hard(place: int, start: int) -> int:
+        """The last place up to this one that is not within a cluster; a cluster over the limit is cut at the limit."""
         first = place
-        while place > 1 and (unicodedata.category(text[place])[0] == "M" or text[place] in "‍️" or text[place - 1] == "‍"):
+        while place > start and (unicodedata.category(text[place])[0] == "M" or text[place] in "‍️" or text[place - 1] == "‍"):
             place -= 1
-            if first - place > 32:
-                return first
-        return place
+        return place if place > start else first
 
     return with_overlap(tree, pack(tree, limit - overlap, hard), overlap)
 
@@ -180,7 +193,7 @@ def split_tokens(tokens: list[str] | None, size: int, limit: int, overlap: int)
     if size <= limit:
         return [(0, 0, size)] if size > 0 else []
     tree = token_tree(tokens) if tokens is not None and len(tokens) == size else Tree(size, [list(range(1, size)) if d >= WORD else [] for d in range(DEPTHS)])
-    return with_overlap(tree, pack(tree, limit - overlap, lambda p: p), overlap)
+    return with_overlap(tree, pack(tree, limit - overlap, lambda p, s: p), overlap)
 
 
 def text_pieces(df: DataFrame, key: str, text: str, *, limit: int = 2000, overlap: int = 200) -> DataFrame:
@@ -241,3 +254,22 @@ def token_pieces(df: DataFrame, vocabulary: DataFrame, *, limit: int = 510, over
 def oversized(pieces: DataFrame, key: str) -> DataFrame:
     """Keys of the items that were cut, each once."""
     return pieces.filter("piece = 0").select(key).distinct()
+
+
+def rejoined(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, id, fits) of texts: SHA-256 of the pieces without their overlaps, in order.
+
+    ``fits``: every piece but the first begins where the one before ends or up
+    to 200 characters earlier, and none is over 2,000.  Repeated keys are one text.
+    """
+    own = F.struct("piece", F.expr("substring(piece_text, cast(new_start - start + 1 as int))").alias("own"))
+    fits = (F.col("end") - F.col("start") <= 2000) & (F.col("new_start") - F.col("start") <= 200) & (F.length("piece_text") == F.col("end") - F.col("start"))
+    whole = pieces.groupBy(key).agg(F.array_sort(F.collect_set(own)).alias("parts"), F.min(fits).alias("fits"))
+    return whole.select(key, F.sha2(F.array_join(F.transform("parts", lambda p: p["own"]), ""), 256).alias("id"), "fits")
+
+
+def token_cover(pieces: DataFrame) -> DataFrame:
+    """(store, doc_index, pos, tokens, fits) of documents: tokens of the pieces without their overlaps."""
+    fits = (F.col("end") - F.col("start") <= 510) & (F.col("new_start") - F.col("start") <= 50) & (F.col("end") > F.col("new_start"))
+    whole = pieces.groupBy("store", "doc_index", "pos").agg(F.sum(F.col("end") - F.col("new_start")).alias("tokens"), F.min(fits).alias("fits"), (F.max("end") - F.min("start")).alias("span"))
+    return whole.select("store", "doc_index", "pos", "tokens", (F.col("fits") & (F.col("span") == F.col("tokens"))).alias("fits"))

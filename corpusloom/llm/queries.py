@@ -73,6 +73,16 @@ def p4_token_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.token_pieces(_read(spark, sf, "token_store"), _read(spark, sf, "vocabulary"))
 
 
+def p4_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """(pos, id, fits): the hash of a text's pieces joined without their overlaps, and whether all keep limit and overlap."""
+    return pieces.rejoined(p4_text_pieces(spark, sf), "pos")
+
+
+def p4_token_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """(store, doc_index, pos, tokens, fits): tokens of a document's pieces without their overlaps."""
+    return pieces.token_cover(p4_token_pieces(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = folddup.text_copies(_read(spark, sf, "clean_corpus"), "pos", "text")
     records = folddup.record_copies(_read(spark, sf, "raw_records"), "line_number", "value")
@@ -108,6 +118,11 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p7_containers(spark, sf))
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: what is packed, and counts of overfull containers, overlapping and misplaced pieces."""
+    return packing.checks(p7_containers(spark, sf))
+
+
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixed(_read(spark, sf, "documents"), _read(spark, sf, "source_targets"), "doc_id", "text", "source", fill=True)
 
@@ -152,6 +167,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_text_pieces": p4_text_pieces,
         "p4_token_pieces": p4_token_pieces,
+        "p4_rejoined": p4_rejoined,
+        "p4_token_cover": p4_token_cover,
         "p5_found": p5_found,
         "p5_collapsed": p5_collapsed,
         "p5_collapsed_records": p5_collapsed_records,
@@ -160,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_containers": p7_containers,
         "p7_report": p7_report,
+        "p7_checks": p7_checks,
         "p8_found": p8_found,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
