@@ -118,6 +118,11 @@ class Chunk:
             keys.append(mix((run[last] - run[first]) * down[first]).view(np.int64))
         return keys[0], keys[1], last - first
 
+    def letters(self, i: int) -> bytes:
+        """Letters and digits of one text in order, for whole comparisons."""
+        own = slice(self.starts[i], self.ends[i])
+        return self.codes[own][self.alnum[own]].tobytes()
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, document, start, end) of the runs of letters and digits."""
         edge = np.diff(np.concatenate(([0], self.alnum.view(np.int8), [0])))

@@ -6,21 +6,25 @@ of any n - ceil(t n) + 1 of them.  Those taken, rarest first, are the record's
 *passages*.  N-grams that a Bloom filter of all training n-grams does not know
 count as taken but need no search; a record with enough of them has no partner.
 Passages of one shard of evaluation records form an Aho-Corasick automaton over
-hashed words; every training text is run through the automaton of every shard.
-Matched passages name candidate pairs, whose whole n-gram sets are compared.
+hashed words; matched passages name candidate pairs, whose whole n-gram sets are
+compared.  Copies (problem 5) are found by two hashes and then compared letter
+by letter.
+
+One scan of the training split serves all shards.  A filter of the passages with
+one bit lane per shard (shards beyond 64 share lanes) says which shards a text
+can meet; the text is sent to those only.  Tasks are (shard, part): a shard that
+many texts meet is held by several tasks, so neither a popular record nor a large
+split makes a large task, and nothing but filters of bounded size and one row
+per shard passes through the driver.
 
 Coverage asks for every place of every evaluation record, not for passages: the
 n-grams of all places meet the distinct n-grams of the training texts in a join
 on their 64-bit hashes, and the intervals that match are merged.
-
-A shard holds at most ``SHARD_WORDS`` words of evaluation text (or one longer
-record), so what is broadcast is bounded whatever the evaluation splits hold;
-more shards mean more scans of the training split, not larger tasks.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -31,11 +35,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import cut
 
-from .arrow import need_columns, text_groups
-from .kernel import BASE_B, Chunk, mix, powers, unique_per_document
+from .arrow import need_columns, parallelism, text_groups
+from .kernel import BASE_B, Chunk, chunks, mix, powers, unique_per_document
 from .neardup import SKETCH_BITS, Bitmaps, may_share, merged_blocks, packed_blocks, parity_bitmaps, saturating_sum
 
-SHARD_WORDS = 4_000_000
+#: Words of evaluation text a task holds, characters of training text it meets at most, and cells of the lane filter.
+SHARD_WORDS = 1_000_000
+PART_CHARS, LEAST_CHARS = 48_000_000, 1_000_000
+LANES, LANE_BITS = 64, 23
 KNOWN_BITS = 25
 SYMBOLS = 2
 PAIR_ROWS = 1 << 20
@@ -68,7 +75,9 @@ def training_grams(train: DataFrame, ngram: int, bits: int) -> tuple[np.ndarray,
 
 
 def _records(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int) -> DataFrame:
-    """(key, words, grams, passages, k1, k2, size) of evaluation rows, arrays packed as binary.
+    """(key, text, words, grams, passages, marks, k1, k2, size) of evaluation rows, arrays packed as binary.
+
+    ``marks`` are the hashes that bring a training text here: of the passages and of the letters and digits.
 
     Records that cannot have a similar training text come without grams and passages.
     """
@@ -91,18 +100,69 @@ def _records(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits
                 there = np.flatnonzero((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                 take = n + (-n * num) // den + 1 - (n - there.size)
                 if not n or take <= 0:
-                    out.append((own.size, b"", b""))
+                    out.append((own.size, b"", b"", np.zeros(0, np.uint64)))
                     continue
                 count = cells[(value[there] >> np.uint64(64 - bits)).astype(np.int64)]
                 rare = there[np.lexsort((value[there], count))[:take]]
                 at = np.sort(at[rare])
                 short = (own >> np.uint64(32)).astype(np.uint32)
                 passage = np.stack([short[at + k] for k in range(ngram)], 1)
-                out.append((own.size, value.tobytes(), passage.tobytes()))
-            columns = [batch.column("key"), pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)), pa.array(k1), pa.array(k2), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "words", "grams", "passages", "k1", "k2", "size"])
+                out.append((own.size, value.tobytes(), passage.tobytes(), value[rare]))
+            copy = copy_mark(k1)
+            marks = [np.append(o[3], copy[i] if size[i] else np.zeros(0, np.uint64)).tobytes() for i, o in enumerate(out)]
+            columns = [batch.column("key"), batch.column("text"), pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)), pa.array(marks, pa.binary()), pa.array(k1), pa.array(k2), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "text", "words", "grams", "passages", "marks", "k1", "k2", "size"])
+
+    return df.mapInArrow(run, "key bigint, text string, words bigint, grams binary, passages binary, marks binary, k1 bigint, k2 bigint, size bigint")
+
+
+def copy_mark(k1: np.ndarray) -> np.ndarray:
+    """What a fold hash is in the lane filter, apart from n-grams."""
+    return mix(k1.view(np.uint64) ^ np.uint64(0xC0B1))
+
+
+def _cells(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(value ^ np.uint64(0x1A4E))
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def lane_filter(records: DataFrame, bits: int) -> np.ndarray:
+    """2**bits cells of 64 lanes: the lanes of the shards with a mark at that cell."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, np.uint64)
+        for batch in batches:
+            for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("marks").to_pylist()):
+                for at in _cells(np.frombuffer(raw, np.uint64), bits):
+                    cells[at] |= np.uint64(1 << (shard % LANES))
+        yield pa.RecordBatch.from_arrays([*packed_blocks(cells)], ["block", "cells"])
+
+    return merged_blocks(records.select("shard", "marks").mapInArrow(run, "block int, cells binary"), 1 << bits, np.uint64, np.bitwise_or)
+
+
+def routed(train: DataFrame, ngram: int, sent: object, bits: int, shards: int) -> DataFrame:
+    """(shard, key, text): training texts with every shard they can meet."""
 
-    return df.mapInArrow(run, "key bigint, words bigint, grams binary, passages binary, k1 bigint, k2 bigint, size bigint")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value
+        for batch, group in text_groups(batches, "text"):
+            chunk = Chunk(group)
+            value, doc = chunk.shingles(ngram)
+            k1, _, size = chunk.fold_keys()
+            some = np.flatnonzero(size > 0)
+            value, doc = np.concatenate((value, copy_mark(k1)[some])), np.concatenate((doc, some))
+            one, two = _cells(value, bits)
+            lane = cells[one] & cells[two]
+            hit = np.flatnonzero(lane)
+            lanes = np.zeros(len(group), np.uint64)
+            np.bitwise_or.at(lanes, doc[hit], lane[hit])
+            meets = np.unpackbits(lanes.view(np.uint8).reshape(len(group), 8), axis=1, bitorder="little")[:, :shards]
+            row, at = np.nonzero(meets)
+            for first in range(0, shards, LANES):
+                keep = at + first < shards
+                yield pa.RecordBatch.from_arrays([pa.array(at[keep] + first, pa.int32()), batch.column("key").take(pa.array(row[keep])), batch.column("text").take(pa.array(row[keep]))], ["shard", "key", "text"])
+
+    return train.mapInArrow(run, "shard int, key bigint, text string")
 
 
 def grams_of(word: np.ndarray, ngram: int) -> np.ndarray:
@@ -162,11 +222,18 @@ class Shard:
         self.size = np.array([g.size for g in self.grams], np.int64)
         whole = np.concatenate([np.zeros(0, np.uint64), *self.grams])
         self.maps = Bitmaps(*parity_bitmaps(whole, np.concatenate(([0], np.cumsum(self.size)))), self.size)
-        self.fold = np.array([data["k1"], data["k2"], data["size"]], np.int64).T.reshape(-1, 3)
-        folds: dict[tuple[int, int, int], int] = {}
-        self.copies = Groups(np.array([folds.setdefault(tuple(f), len(folds)) for f in self.fold.tolist()], np.int64), len(folds))
-        self.fold_of = folds
-        self.first_key = np.unique(self.fold[:, 0])
+        keys = np.array([data["k1"], data["k2"], data["size"]], np.int64).T.reshape(-1, 3)
+        self.first_key = np.unique(keys[:, 0])
+        self.fold_of: dict[tuple[int, int, int], list[int]] = {}
+        self.letters: list[bytes] = []
+        self.fold = np.zeros(len(keys), np.int64)
+        at = 0
+        for group in chunks(data["text"]):
+            chunk = Chunk(group)
+            for i in range(len(group)):
+                self.fold[at + i] = self._fold_class(tuple(keys[at + i].tolist()), chunk.letters(i), True)
+            at += len(group)
+        self.copies = Groups(self.fold, len(self.letters))
         first = np.unique(label, return_index=True)[1].tolist()
         own = [np.frombuffer(data["passages"][i], np.uint32).reshape(-1, ngram) for i in first]
         owner = np.repeat(np.arange(len(own)), [len(p) for p in own])
@@ -191,6 +258,18 @@ class Shard:
             self.machine.make_automaton()
         self.some = bool(len(start))
 
+    def _fold_class(self, key: tuple[int, int, int], letters: bytes, add: bool) -> int:
+        """The class of the same letters and digits, compared whole; a new one, or -1, if there is none."""
+        known = self.fold_of.setdefault(key, []) if add else self.fold_of.get(key, [])
+        for c in known:
+            if self.letters[c] == letters:
+                return c
+        if not add:
+            return -1
+        known.append(len(self.letters))
+        self.letters.append(letters)
+        return known[-1]
+
     def matches(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(passage, text) of every occurrence in texts whose words start at ``first``."""
         text = spelled((word >> np.uint64(32)).astype(np.uint32))
@@ -215,11 +294,13 @@ class Shard:
         pair = np.unique(np.repeat(where, size) * np.int64(max(1, self.size.size)) + self.owner[at])
         return np.divmod(pair, max(1, self.size.size))
 
-    def copies_of(self, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, group of copies) of texts with the same letters and digits as records."""
-        near = np.flatnonzero(np.isin(fold[:, 0], self.first_key) & (fold[:, 2] > 0))
-        out = [(i, g) for i in near.tolist() if (g := self.fold_of.get(tuple(fold[i].tolist()))) is not None]
-        return np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
+    def folds(self, chunk: Chunk) -> np.ndarray:
+        """Class of every text's letters and digits among those of the records; -1 if it is none of them."""
+        key = np.stack(chunk.fold_keys(), 1)
+        out = np.full(len(key), -1, np.int64)
+        for i in np.flatnonzero(np.isin(key[:, 0], self.first_key) & (key[:, 2] > 0)).tolist():
+            out[i] = self._fold_class(tuple(key[i].tolist()), chunk.letters(i), False)
+        return out
 
     def alike(self, value: np.ndarray, bounds: np.ndarray, i: np.ndarray, c: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, class, shared) of the pairs that reach num/den."""
@@ -235,40 +316,53 @@ class Shard:
         return i[ok], c[ok], shared[ok]
 
 
-_held: dict[str, Shard] = {}
+def _met(shard: Shard, batch: pa.RecordBatch, ngram: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the training texts of a batch with the records of a shard."""
+    for own, group in text_groups([batch], "text"):
+        chunk = Chunk(group)
+        word, owner, _, _ = chunk.words()
+        hits, where = shard.matches(word, np.searchsorted(owner, np.arange(len(group) + 1)))
+        keys, fold = own.column("key"), shard.folds(chunk)
 
+        def rows(i: np.ndarray, e: np.ndarray, copy: int, shared: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(i)), pa.array(shard.keys[e]), pa.array(np.full(i.size, copy, np.int64)), pa.array(shared)], NAMES)
 
-def _shard(name: str, sent: object, ngram: int) -> Shard:
-    """The shard's automaton, built once in a Python worker."""
-    if name not in _held:
-        _held.clear()
-        _held[name] = Shard(sent.value, ngram)
-    return _held[name]
+        copies = np.flatnonzero(fold >= 0)
+        for _, i, e in shard.copies.pairs(copies, fold[copies]):
+            yield rows(i, e, 1, np.zeros(i.size, np.int64))
+        value, doc = chunk.shingles(ngram)
+        found = shard.alike(*unique_per_document(value, doc, len(group)), *shard.owners(hits, where), num, den)
+        for at, i, e in shard.classes.pairs(*found[:2]):
+            other = fold[i] != shard.fold[e]
+            yield rows(i[other], e[other], 0, found[2][at][other])
 
 
-def _scan(train: DataFrame, name: str, sent: object, ngram: int, num: int, den: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
-        for batch, group in text_groups(batches, "text"):
-            if shard is None:
-                shard = _shard(name, sent, ngram)
-            chunk = Chunk(group)
-            word, owner, _, _ = chunk.words()
-            hits, where = shard.matches(word, np.searchsorted(owner, np.arange(len(group) + 1)))
-            keys, fold = batch.column("key"), np.stack(chunk.fold_keys(), 1)
+RECORD = ["key", "text", "grams", "passages", "k1", "k2", "size"]
 
-            def rows(i: np.ndarray, e: np.ndarray, copy: int, shared: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([keys.take(pa.array(i)), pa.array(shard.keys[e]), pa.array(np.full(i.size, copy, np.int64)), pa.array(shared)], NAMES)
 
-            for _, i, e in shard.copies.pairs(*shard.copies_of(fold)):
-                yield rows(i, e, 1, np.zeros(i.size, np.int64))
-            value, doc = chunk.shingles(ngram)
-            found = shard.alike(*unique_per_document(value, doc, len(group)), *shard.owners(hits, where), num, den)
-            for at, i, e in shard.classes.pairs(*found[:2]):
-                other = (fold[i] != shard.fold[e]).any(axis=1)
-                yield rows(i[other], e[other], 0, found[2][at][other])
+def _meet(both: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Pairs of rows sorted by (part, kind): records (kind 0), then the training texts that meet them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shard = None, [], None
+        for batch in batches:
+            part, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(part)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if part[s] != now:
+                    now, held, shard = part[s], [], None
+                own = batch.slice(s, e - s)
+                if kind[s] == 0:
+                    held.append(own)
+                elif held or shard is not None:
+                    if shard is None:
+                        table = pa.Table.from_batches(held)
+                        shard, held = Shard({"keys": table["key"].to_pylist(), **{c: table[c].to_pylist() for c in RECORD[1:]}}, ngram), []
+                    yield from _met(shard, own, ngram, num, den)
 
-    return train.mapInArrow(run, "train bigint, eval bigint, copy bigint, shared bigint")
+    return both.mapInArrow(run, "train bigint, eval bigint, copy bigint, shared bigint")
 
 
 def _sides(df: DataFrame, key: str, text: str, split: str, train: str) -> tuple[DataFrame, DataFrame]:
@@ -283,17 +377,26 @@ def _scans(df: DataFrame, key: str, text: str, split: str, train: str, ngram: in
     ours, theirs = _sides(df, key, text, split, train)
     order = spark.sparkContext.broadcast(training_grams(ours, ngram, bits))
     records = cut(_records(theirs, ngram, threshold, order, bits))
-    total = records.agg(F.sum("words")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    out = None
-    for s in range(shards):
-        part = records.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s) if shards > 1 else records
-        table = part.toArrow()
-        data = {"keys": table["key"].to_pylist(), **{c: table[c].to_pylist() for c in ("grams", "passages", "k1", "k2", "size")}}
-        sent = spark.sparkContext.broadcast(data)
-        found = _scan(ours, uuid.uuid4().hex, sent, ngram, threshold.numerator, threshold.denominator)
-        out = found if out is None else out.unionByName(found)
-    return out
+    seen = records.agg(F.sum("words").alias("words"), F.sum(F.length("marks")).alias("marks")).first()
+    shards = max(1, -(-(seen["words"] or 0) // shard_words))
+    records = records.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    lane_bits = max(12, min(LANE_BITS, math.ceil(math.log2((seen["marks"] or 0) + 1))))
+    lanes = spark.sparkContext.broadcast(lane_filter(records, lane_bits))
+    texts = cut(routed(ours, ngram, lanes, lane_bits, shards))
+    chars = {r["shard"]: r["chars"] for r in texts.groupBy("shard").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    least = -(-parallelism(spark) // shards)
+    parts, first = [], 0
+    for shard, n in sorted(chars.items()):
+        salts = max(1, -(-n // PART_CHARS), min(least, -(-n // LEAST_CHARS)))
+        parts.append((shard, first, salts))
+        first += salts
+    table = spark.createDataFrame(parts, "shard int, first int, salts int")
+    none = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
+    rows = texts.withColumn("turn", F.monotonically_increasing_id()).join(table, "shard")
+    rows = rows.select((F.col("first") + F.pmod("turn", "salts")).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "text", *none(("grams", "binary"), ("passages", "binary"), ("k1", "bigint"), ("k2", "bigint"), ("size", "bigint")))
+    held = records.join(table, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)).alias("part"), F.lit(0).alias("kind"), *RECORD)
+    both = held.unionByName(rows).repartitionById(max(1, first), "part").sortWithinPartitions("part", "kind")
+    return _meet(both, ngram, threshold.numerator, threshold.denominator)
 
 
 def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS) -> DataFrame:

@@ -57,6 +57,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM (SELECT pa, pb FROM alike UNION SELECT a.pos, b.pos FROM folded a JOIN folded b ON a.f = b.f AND a.f <> '' AND a.pos < b.pos) JOIN clean_corpus x ON x.pos = pa JOIN clean_corpus y ON y.pos = pb WHERE (x.split = 'train') <> (y.split = 'train')",
         "p3_report": f"WITH {CROSS}, per AS (SELECT pos, count(*) AS pairs, sum(copy) AS copies FROM crossed GROUP BY pos) SELECT split, source, count(*) AS records, count(pairs) AS leaked, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(copies), 0) AS BIGINT) AS copies FROM clean_corpus LEFT JOIN per USING (pos) WHERE split <> 'train' GROUP BY ALL",
+        "p3_coverage": rf"""WITH {NORM}, words AS (SELECT pos, split, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM norm WHERE t IS NOT NULL),
+ places AS (SELECT pos, split, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT pos, split, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+ held AS (SELECT DISTINCT g FROM places WHERE split = 'train'),
+ inside AS (SELECT pos, count(DISTINCT i + k) AS covered FROM places JOIN held USING (g), range(0, 3) r(k) WHERE split <> 'train' GROUP BY pos)
+ SELECT c.pos, CAST(coalesce(len(w), 0) AS BIGINT) AS words, coalesce(covered, 0) AS covered FROM clean_corpus c LEFT JOIN words USING (pos) LEFT JOIN inside USING (pos) WHERE c.split <> 'train' AND c.text IS NOT NULL""",
         "p4_found": "SELECT 'clean_corpus' AS table_name, pos FROM clean_corpus WHERE length(text) > 2000 UNION ALL SELECT DISTINCT 'token_store', pos FROM token_store WHERE end_offset - start_offset > 510",
         "p4_rejoined": "SELECT pos, sha256(text) AS id, TRUE AS fits FROM clean_corpus WHERE length(text) > 2000",
         "p4_token_cover": "SELECT DISTINCT store, doc_index, pos, end_offset - start_offset AS tokens, TRUE AS fits FROM token_store WHERE end_offset - start_offset > 510",
