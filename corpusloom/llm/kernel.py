@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from corpusloom.functions.chars import is_dropped_by_normalization, normalize_text
+from corpusloom.functions.chars import is_dropped_by_normalization
 
 CHUNK_CHARS = 1 << 20
 BMP = 1 << 16
@@ -34,36 +34,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+SIGMA, FINAL_SIGMA = 0x3C3, 0x3C2
+
+
 @functools.lru_cache(maxsize=None)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(plain, lower, alnum) over the basic plane, built from ``unicodedata``.
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(plain, lower, alnum, opens) over the basic plane, built from ``unicodedata``.
 
     plain[c]: normalisation leaves c alone wherever it stands (or turns it into
     a blank), and lower-casing maps it to one character without context.
+    opens[c]: c never joins with what stands before it.
     """
     plain = np.zeros(BMP, np.bool_)
     lower = np.arange(BMP, dtype=np.uint32)
     alnum = np.zeros(BMP, np.bool_)
+    opens = np.ones(BMP, np.bool_)
+    for i in range(BMP):
+        parts = unicodedata.decomposition(chr(i)).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and int(parts[1], 16) < BMP:
+            opens[int(parts[1], 16)] = False
+    opens[0x1100:0x1200] = False
     for i in range(BMP):
         if 0xD800 <= i < 0xE000:
             continue
         c = chr(i)
         low = c.lower()
         alnum[i] = c.isalnum()
+        first = unicodedata.normalize("NFKD", c)[:1]
+        if unicodedata.combining(c) or unicodedata.combining(first) or (ord(first) < BMP and not opens[ord(first)]):
+            opens[i] = False
         if len(low) == 1:
             lower[i] = ord(low)
         if c.isspace():
             plain[i] = True
-        elif (
-            len(low) == 1
-            and i != 0x3A3
-            and not is_dropped_by_normalization(c)
-            and not 0x1100 <= i < 0x1200
-            and unicodedata.combining(c) == 0
-            and unicodedata.normalize("NFKC", c) == c
-        ):
+        elif len(low) == 1 and opens[i] and not is_dropped_by_normalization(c) and unicodedata.normalize("NFKC", c) == c:
             plain[i] = True
-    return plain, lower, alnum
+    lower[[0x3A3, FINAL_SIGMA]] = SIGMA
+    return plain, lower, alnum, opens
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _settled(cluster: str) -> np.ndarray:
+    """What normalising and lower-casing makes of a character and the marks behind it."""
+    kept = (" " if c.isspace() else c for c in unicodedata.normalize("NFKC", cluster) if not is_dropped_by_normalization(c))
+    codes = np.array([ord(c) for c in "".join(kept).lower()], np.uint32)
+    codes[codes == FINAL_SIGMA] = SIGMA
+    return codes
 
 
 @functools.lru_cache(maxsize=4)
@@ -89,18 +105,15 @@ class Chunk:
     """Lower-cased normalised code points of consecutive texts, blank-separated."""
 
     def __init__(self, texts: list[str]) -> None:
-        plain, lower, alnum = _tables()
+        plain, lower, alnum, _ = _tables()
         codes, starts, ends = _lay(texts)
-        index = np.minimum(codes, BMP - 1)
-        odd = np.flatnonzero(~plain[index])
-        if odd.size:
-            fixed = list(texts)
-            for i in np.unique(np.searchsorted(ends, odd, side="right")):
-                if i < len(fixed):
-                    fixed[i] = (normalize_text(fixed[i]) or "").lower()
-            codes, starts, ends = _lay(fixed)
-            index = np.minimum(codes, BMP - 1)
-        self.codes = np.where(codes < BMP, lower[index], codes)
+        odd = np.flatnonzero(~plain[np.minimum(codes, BMP - 1)] | (codes >= BMP))
+        settled = odd.size > 0
+        if settled:
+            codes, starts, ends, done = _settle(codes, starts, ends, odd)
+        self.codes = np.where(codes < BMP, lower[np.minimum(codes, BMP - 1)], codes)
+        if settled:
+            self.codes[done] = codes[done]
         self.starts, self.ends = starts, ends
         self.alnum = alnum[np.minimum(self.codes, BMP - 1)]
         for i in np.flatnonzero(self.codes >= BMP):
@@ -123,6 +136,15 @@ class Chunk:
         own = slice(self.starts[i], self.ends[i])
         return self.codes[own][self.alnum[own]].tobytes()
 
+    def pointers(self, i: int) -> np.ndarray:
+        """Places of a text's letters and digits: where a pointer stops that skips all else."""
+        return self.starts[i] + np.flatnonzero(self.alnum[self.starts[i] : self.ends[i]])
+
+    def same(self, i: int, other: Chunk, j: int) -> bool:
+        """Whether two texts agree at all stops of two pointers, compared stretch by stretch."""
+        a, b = self.pointers(i), other.pointers(j)
+        return a.size == b.size and all(np.array_equal(self.codes[a[s : s + BMP]], other.codes[b[s : s + BMP]]) for s in range(0, a.size, BMP))
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, document, start, end) of the runs of letters and digits."""
         edge = np.diff(np.concatenate(([0], self.alnum.view(np.int8), [0])))
@@ -148,6 +170,37 @@ class Chunk:
         return mix(value)[whole], doc[:m][whole]
 
 
+def _settle(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with every cluster that holds an odd character replaced by its normalised, lower-cased form.
+
+    A cluster is a character that opens one and those that may join with it;
+    texts and blanks between them are never joined.  Also returned: the places
+    of what was replaced.
+    """
+    opens = np.where(codes < BMP, _tables()[3][np.minimum(codes, BMP - 1)], True)
+    for i in np.flatnonzero(codes >= BMP).tolist():
+        opens[i] = unicodedata.combining(chr(int(codes[i]))) == 0
+    opens[starts[starts < codes.size]] = True
+    opens[ends] = True
+    first = np.flatnonzero(opens)
+    which = np.unique(np.searchsorted(first, odd, side="right") - 1)
+    begin, end = first[which], np.append(first, codes.size)[which + 1]
+    counts = np.ones(codes.size, np.int64)
+    new = []
+    for a, b in zip(begin.tolist(), end.tolist()):
+        own = _settled(codes[a:b].tobytes().decode("utf-32-le", "surrogatepass"))
+        counts[a:b] = 0
+        counts[a] = own.size
+        new.append(own)
+    offset = np.cumsum(counts) - counts
+    out = np.repeat(codes, counts)
+    size = counts[begin]
+    done = np.repeat(offset[begin] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out[done] = np.concatenate(new)
+    at = np.append(offset, out.size)
+    return out, at[starts], at[ends], done
+
+
 def _lay(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by a line feed; starts and ends."""
     joined = "\n".join(texts) + "\n"

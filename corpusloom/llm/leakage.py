@@ -10,12 +10,13 @@ hashed words; matched passages name candidate pairs, whose whole n-gram sets are
 compared.  Copies (problem 5) are found by two hashes and then compared letter
 by letter.
 
-One scan of the training split serves all shards.  A filter of the passages with
-one bit lane per shard (shards beyond 64 share lanes) says which shards a text
-can meet; the text is sent to those only.  Tasks are (shard, part): a shard that
-many texts meet is held by several tasks, so neither a popular record nor a large
-split makes a large task, and nothing but filters of bounded size and one row
-per shard passes through the driver.
+No training text meets a shard that it cannot match: its n-grams that a Bloom
+filter of all passages lets through are joined with the passages, which names
+the shards of every text, and a text is sent to those only.  Tasks are (shard,
+part): a shard that many texts meet is held by several tasks, so neither a
+popular record nor a large split makes a large task.  The number of scans of the
+training split does not depend on the evaluation text, and nothing but filters of
+bounded size and one row per shard passes through the driver.
 
 Coverage asks for every place of every evaluation record, not for passages: the
 n-grams of all places meet the distinct n-grams of the training texts in a join
@@ -37,13 +38,15 @@ from corpusloom.plans.lineage import cut
 
 from .arrow import need_columns, parallelism, text_groups
 from .kernel import BASE_B, Chunk, chunks, mix, powers, unique_per_document
-from .neardup import SKETCH_BITS, Bitmaps, may_share, merged_blocks, packed_blocks, parity_bitmaps, saturating_sum
+from .neardup import SKETCH_BITS, Bitmaps, bloom, bloom_bits, may_share, merged_blocks, packed_blocks, parity_bitmaps, saturating_sum
 
-#: Words of evaluation text a task holds, characters of training text it meets at most, and cells of the lane filter.
+#: Words of evaluation text a task holds, and characters of training text it meets, at most and at least.
 SHARD_WORDS = 1_000_000
 PART_CHARS, LEAST_CHARS = 48_000_000, 1_000_000
-LANES, LANE_BITS = 64, 23
-KNOWN_BITS = 25
+#: Bits of the filter of passages: 32 for each, within these powers of two; a full filter only filters less.
+#: Those of the filters of training n-grams and of keys are at most these.
+MARK_BITS = (20, 29)
+KNOWN_BITS, KEY_BITS = 25, 25
 SYMBOLS = 2
 PAIR_ROWS = 1 << 20
 NAMES = ["train", "eval", "copy", "shared"]
@@ -117,31 +120,25 @@ def _records(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits
 
 
 def copy_mark(k1: np.ndarray) -> np.ndarray:
-    """What a fold hash is in the lane filter, apart from n-grams."""
+    """What a fold hash is among the marks, apart from n-grams."""
     return mix(k1.view(np.uint64) ^ np.uint64(0xC0B1))
 
 
-def _cells(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(value ^ np.uint64(0x1A4E))
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
-def lane_filter(records: DataFrame, bits: int) -> np.ndarray:
-    """2**bits cells of 64 lanes: the lanes of the shards with a mark at that cell."""
+def _marks(records: DataFrame) -> DataFrame:
+    """(mark, shard) of all records, each once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint64)
         for batch in batches:
-            for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("marks").to_pylist()):
-                for at in _cells(np.frombuffer(raw, np.uint64), bits):
-                    cells[at] |= np.uint64(1 << (shard % LANES))
-        yield pa.RecordBatch.from_arrays([*packed_blocks(cells)], ["block", "cells"])
+            raw = batch.column("marks")
+            size = np.fromiter((len(x) // 8 for x in raw.to_pylist()), np.int64, len(batch))
+            value = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.repeat(batch.column("shard").to_numpy(), size))], ["mark", "shard"])
 
-    return merged_blocks(records.select("shard", "marks").mapInArrow(run, "block int, cells binary"), 1 << bits, np.uint64, np.bitwise_or)
+    return records.select("shard", "marks").mapInArrow(run, "mark bigint, shard int").distinct()
 
 
-def routed(train: DataFrame, ngram: int, sent: object, bits: int, shards: int) -> DataFrame:
-    """(shard, key, text): training texts with every shard they can meet."""
+def _hits(train: DataFrame, ngram: int, sent: object, bits: int) -> DataFrame:
+    """(mark, key, chars): marks of training texts that the filter lets through."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sent.value
@@ -150,19 +147,31 @@ def routed(train: DataFrame, ngram: int, sent: object, bits: int, shards: int) -
             value, doc = chunk.shingles(ngram)
             k1, _, size = chunk.fold_keys()
             some = np.flatnonzero(size > 0)
-            value, doc = np.concatenate((value, copy_mark(k1)[some])), np.concatenate((doc, some))
-            one, two = _cells(value, bits)
-            lane = cells[one] & cells[two]
-            hit = np.flatnonzero(lane)
-            lanes = np.zeros(len(group), np.uint64)
-            np.bitwise_or.at(lanes, doc[hit], lane[hit])
-            meets = np.unpackbits(lanes.view(np.uint8).reshape(len(group), 8), axis=1, bitorder="little")[:, :shards]
-            row, at = np.nonzero(meets)
-            for first in range(0, shards, LANES):
-                keep = at + first < shards
-                yield pa.RecordBatch.from_arrays([pa.array(at[keep] + first, pa.int32()), batch.column("key").take(pa.array(row[keep])), batch.column("text").take(pa.array(row[keep]))], ["shard", "key", "text"])
+            value, doc = np.concatenate((value, copy_mark(k1)[some])).view(np.int64), np.concatenate((doc, some))
+            for probe in range(2):
+                bit = bloom_bits(value, bits)[probe]
+                hit = np.flatnonzero((cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                value, doc = value[hit], doc[hit]
+            value, bounds = unique_per_document(value, doc, len(group))
+            doc = np.repeat(np.arange(len(group)), np.diff(bounds))
+            chars = np.fromiter(map(len, group), np.int64, len(group))
+            yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("key").take(pa.array(doc)), pa.array(chars[doc])], ["mark", "key", "chars"])
+
+    return train.mapInArrow(run, "mark bigint, key bigint, chars bigint")
+
+
+def _likely(train: DataFrame, sent: object, bits: int) -> DataFrame:
+    """(key, text) of the rows whose key a Bloom filter lets through."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value
+        for batch in batches:
+            keep = np.ones(len(batch), np.bool_)
+            for bit in bloom_bits(batch.column("key").to_numpy(), bits):
+                keep &= (cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(keep))
 
-    return train.mapInArrow(run, "shard int, key bigint, text string")
+    return train.mapInArrow(run, "key bigint, text string")
 
 
 def grams_of(word: np.ndarray, ngram: int) -> np.ndarray:
@@ -380,19 +389,23 @@ def _scans(df: DataFrame, key: str, text: str, split: str, train: str, ngram: in
     seen = records.agg(F.sum("words").alias("words"), F.sum(F.length("marks")).alias("marks")).first()
     shards = max(1, -(-(seen["words"] or 0) // shard_words))
     records = records.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    lane_bits = max(12, min(LANE_BITS, math.ceil(math.log2((seen["marks"] or 0) + 1))))
-    lanes = spark.sparkContext.broadcast(lane_filter(records, lane_bits))
-    texts = cut(routed(ours, ngram, lanes, lane_bits, shards))
-    chars = {r["shard"]: r["chars"] for r in texts.groupBy("shard").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    marks = cut(_marks(records))
+    mark_bits = max(MARK_BITS[0], min(MARK_BITS[1], math.ceil(math.log2(4 * (seen["marks"] or 0) + 1))))
+    passages = spark.sparkContext.broadcast(bloom(marks.select(F.col("mark").alias("key")), mark_bits))
+    routes = cut(_hits(ours, ngram, passages, mark_bits).join(marks, "mark").groupBy("key", "shard").agg(F.max("chars").alias("chars")))
+    sent = {r["shard"]: (r["chars"], r["n"]) for r in routes.groupBy("shard").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).collect()}
+    key_bits = max(MARK_BITS[0], min(KEY_BITS, math.ceil(math.log2(32 * sum(n for _, n in sent.values()) + 1))))
+    wanted = spark.sparkContext.broadcast(bloom(routes.select("key"), key_bits))
+    texts = _likely(ours, wanted, key_bits).withColumn("turn", F.monotonically_increasing_id()).join(routes.select("key", "shard"), "key")
     least = -(-parallelism(spark) // shards)
     parts, first = [], 0
-    for shard, n in sorted(chars.items()):
+    for shard, (n, _) in sorted(sent.items()):
         salts = max(1, -(-n // PART_CHARS), min(least, -(-n // LEAST_CHARS)))
         parts.append((shard, first, salts))
         first += salts
     table = spark.createDataFrame(parts, "shard int, first int, salts int")
     none = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
-    rows = texts.withColumn("turn", F.monotonically_increasing_id()).join(table, "shard")
+    rows = texts.join(table, "shard")
     rows = rows.select((F.col("first") + F.pmod("turn", "salts")).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "text", *none(("grams", "binary"), ("passages", "binary"), ("k1", "bigint"), ("k2", "bigint"), ("size", "bigint")))
     held = records.join(table, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)).alias("part"), F.lit(0).alias("kind"), *RECORD)
     both = held.unionByName(rows).repartitionById(max(1, first), "part").sortWithinPartitions("part", "kind")

@@ -337,20 +337,20 @@ def _verify(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["a", "b", "shared"])
 
 
-def _bloom(keys: DataFrame, bits: int) -> np.ndarray:
+def bloom(keys: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of fixed size over the keys; a full one only filters less."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            for bit in _bloom_bits(batch.column("key").to_numpy(), bits):
+            for bit in bloom_bits(batch.column("key").to_numpy(), bits):
                 np.bitwise_or.at(cells, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([*packed_blocks(cells)], ["block", "cells"])
 
     return merged_blocks(keys.mapInArrow(run, "block int, cells binary"), 1 << (bits - 3), np.uint8, np.bitwise_or)
 
 
-def _bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+def bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(keys.astype(np.int64).view(np.uint64))
     return [(h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)]
 
@@ -380,7 +380,7 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = cut(members.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi"))
-    maybe = spark.sparkContext.broadcast(_bloom(chosen.select("key"), BLOOM_BITS))
+    maybe = spark.sparkContext.broadcast(bloom(chosen.select("key"), BLOOM_BITS))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = maybe.value
@@ -388,7 +388,7 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
         def likely() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), np.bool_)
-                for bit in _bloom_bits(batch.column("key").to_numpy(), BLOOM_BITS):
+                for bit in bloom_bits(batch.column("key").to_numpy(), BLOOM_BITS):
                     keep &= (cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                 yield batch.filter(pa.array(keep))
 
