@@ -85,7 +85,7 @@ def p4_token_cover(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = folddup.text_copies(_read(spark, sf, "clean_corpus"), "pos", "text")
-    records = folddup.record_copies(_read(spark, sf, "raw_records"), "line_number", "value")
+    records = folddup.record_copies(_read(spark, sf, "raw_records"), "line_number", "value", max_depth=None)
     name = lambda d, n: d.select(F.lit(n).alias("table_name"), "first_no", "copy_no")
     return name(texts, "clean_corpus").unionByName(name(records, "raw_records"))
 
@@ -95,7 +95,7 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_collapsed_records(spark: SparkSession, sf: str) -> DataFrame:
-    return folddup.collapsed_records(_read(spark, sf, "raw_records"), "line_number", "value")
+    return folddup.collapsed_records(_read(spark, sf, "raw_records"), "line_number", "value", max_depth=None)
 
 
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
