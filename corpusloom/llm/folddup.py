@@ -323,6 +323,11 @@ def _groups(df: DataFrame, key: str, text: str, keys: DataFrame, is_json: bool)
     return checked.filter("ok").select("first_no", "copy_no").unionByName(rest.select("first_no", "copy_no"))
 
 
+def groups_of_keys(df: DataFrame, key: str, text: str, keys: DataFrame) -> DataFrame:
+    """(first_no, copy_no) of the texts that ``keys(key, k1, k2, size)`` holds."""
+    return _groups(df, key, text, keys, False)
+
+
 def text_copies(df: DataFrame, key: str, text: str) -> DataFrame:
     """(first_no, copy_no) of texts equal but for case, blanks, punctuation and symbols.
 

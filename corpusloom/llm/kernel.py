@@ -158,16 +158,20 @@ class Chunk:
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, document) of every run of ``size`` consecutive words."""
+        return self.placed_shingles(size)[:2]
+
+    def placed_shingles(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, document, first word) of every run of ``size`` consecutive words, and the hashes of all words."""
         word, doc, _, _ = self.words()
         if word.size < size:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), word
         up, _ = powers(BASE_B, size + 1)
         m = word.size - size + 1
         value = np.zeros(m, np.uint64)
         for k in range(size):
             value += word[k : k + m] * up[k + 1]
-        whole = doc[:m] == doc[size - 1 :]
-        return mix(value)[whole], doc[:m][whole]
+        whole = np.flatnonzero(doc[:m] == doc[size - 1 :])
+        return mix(value)[whole], doc[whole], whole, word
 
 
 def _settle(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

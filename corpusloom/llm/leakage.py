@@ -1,31 +1,33 @@
 """Problem 3: records of evaluation splits that recur in the training split.
 
-Method: a training text of similarity t or more shares at least ceil(t n) of
-the n distinct word n-grams of an evaluation record, so it holds at least one
-of any n - ceil(t n) + 1 of them.  Those taken, rarest first, are the record's
-*passages*.  N-grams that a Bloom filter of all training n-grams does not know
-count as taken but need no search; a record with enough of them has no partner.
-Passages of one shard of evaluation records form an Aho-Corasick automaton over
-hashed words; matched passages name candidate pairs, whose whole n-gram sets are
-compared.  Copies (problem 5) are found by two hashes and then compared letter
-by letter.
-
-No training text meets a shard that it cannot match: its n-grams that a Bloom
-filter of all passages lets through are joined with the passages, which names
-the shards of every text, and a text is sent to those only.  Tasks are (shard,
-part): a shard that many texts meet is held by several tasks, so neither a
-popular record nor a large split makes a large task.  The number of scans of the
-training split does not depend on the evaluation text, and nothing but filters of
-bounded size and one row per shard passes through the driver.
+Method: Aho-Corasick automata over sharded evaluation passages.  Texts of
+similarity t share at least ceil(t n) of the n distinct word n-grams of either,
+so each of them holds a common one among its n - ceil(t n) + 1 rarest.  Those of
+an evaluation record are its *passages*; they are dealt to shards by their hash,
+and the passages of a shard form an automaton over hashed words.  All training
+texts are scanned: of every text the stretches of words at its own rarest n-grams
+are sent to the shards of these n-grams and run through the automaton there, once
+whatever the number of shards.  Matches name candidate pairs, which must pass
+length, positional and suffix filters before whole n-gram sets are compared.
+
+N-grams are ordered by a count sketch of the whole collection; where its counts
+say that an n-gram is hot, its stretches are dealt to several tasks, each of
+which holds the passages once.  Records and texts with one n-gram set form a
+class and take part once; pairs are expanded to rows at the end.
+
+Copies (problem 5) are groups of rows in both splits with equal fold hashes,
+compared letter by letter with the first row of their group.
 
 Coverage asks for every place of every evaluation record, not for passages: the
 n-grams of all places meet the distinct n-grams of the training texts in a join
 on their 64-bit hashes, and the intervals that match are merged.
+
+What passes through the driver or is broadcast are the sketch and Bloom filters,
+of fixed size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -36,383 +38,193 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import cut
 
-from .arrow import need_columns, parallelism, text_groups
-from .kernel import BASE_B, Chunk, chunks, mix, powers, unique_per_document
-from .neardup import SKETCH_BITS, Bitmaps, bloom, bloom_bits, may_share, merged_blocks, packed_blocks, parity_bitmaps, saturating_sum
-
-#: Words of evaluation text a task holds, and characters of training text it meets, at most and at least.
-SHARD_WORDS = 1_000_000
-PART_CHARS, LEAST_CHARS = 48_000_000, 1_000_000
-#: Bits of the filter of passages: 32 for each, within these powers of two; a full filter only filters less.
-#: Those of the filters of training n-grams and of keys are at most these.
-MARK_BITS = (20, 29)
-KNOWN_BITS, KEY_BITS = 25, 25
+from .arrow import binaries, need_columns, text_groups
+from .folddup import groups_of_keys, text_keys
+from .kernel import Chunk, mix
+from .neardup import BLOOM_BITS, BUCKET_POSTINGS, SKETCH_BITS, bloom, expanded, flat, likely, merged_blocks, packed_blocks, sealed_pass, set_classes, suffix_filtered, verified
+
+#: Words of evaluation text whose passages one shard holds.
+SHARD_WORDS = 4_000_000
+KNOWN_BITS = 25
 SYMBOLS = 2
 PAIR_ROWS = 1 << 20
-NAMES = ["train", "eval", "copy", "shared"]
+#: Occurrences of an n-gram that one task scans.
+HOT_POSTINGS = 250_000
+TRAIN, EVAL = 1, 0
 
 
 def _known_bits(value: np.ndarray) -> np.ndarray:
     return (mix(value ^ np.uint64(0xB100)) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
 
 
-def training_grams(train: DataFrame, ngram: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(count sketch, Bloom filter) of the n-grams of all training texts, both of fixed size."""
+def known_grams(df: DataFrame, ngram: int) -> np.ndarray:
+    """A Bloom filter of fixed size of the n-grams of all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint32)
         known = np.zeros(1 << KNOWN_BITS, np.bool_)
         for _, group in text_groups(batches, "text"):
-            value, doc = Chunk(group).shingles(ngram)
-            value, _ = unique_per_document(value, doc, len(group))
-            cell, count = np.unique((value >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            cells[cell] = saturating_sum(cells[cell], count.astype(np.uint32))
-            known[_known_bits(value)] = True
-        for kind, own in ((0, cells), (1, np.packbits(known, bitorder="little"))):
-            block, raw = packed_blocks(own)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(block), pa.int32()), block, raw], ["kind", "block", "cells"])
-
-    both = cut(train.select("text").mapInArrow(run, "kind int, block int, cells binary"))
-    part = lambda k: both.filter(F.col("kind") == k).select("block", "cells")
-    return merged_blocks(part(0), 1 << bits, np.uint32, saturating_sum), merged_blocks(part(1), 1 << (KNOWN_BITS - 3), np.uint8, np.bitwise_or)
-
-
-def _records(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int) -> DataFrame:
-    """(key, text, words, grams, passages, marks, k1, k2, size) of evaluation rows, arrays packed as binary.
-
-    ``marks`` are the hashes that bring a training text here: of the passages and of the letters and digits.
-
-    Records that cannot have a similar training text come without grams and passages.
-    """
-    num, den = threshold.numerator, threshold.denominator
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, known = order.value
-        for batch, group in text_groups(batches, "text"):
-            chunk = Chunk(group)
-            k1, k2, size = chunk.fold_keys()
-            word, owner, _, _ = chunk.words()
-            first = np.searchsorted(owner, np.arange(len(group) + 1))
-            out: list[tuple] = []
-            for i in range(len(group)):
-                own = word[first[i] : first[i + 1]]
-                gram = grams_of(own, ngram)
-                value, at = np.unique(gram, return_index=True)
-                n = value.size
-                bit = _known_bits(value)
-                there = np.flatnonzero((known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                take = n + (-n * num) // den + 1 - (n - there.size)
-                if not n or take <= 0:
-                    out.append((own.size, b"", b"", np.zeros(0, np.uint64)))
-                    continue
-                count = cells[(value[there] >> np.uint64(64 - bits)).astype(np.int64)]
-                rare = there[np.lexsort((value[there], count))[:take]]
-                at = np.sort(at[rare])
-                short = (own >> np.uint64(32)).astype(np.uint32)
-                passage = np.stack([short[at + k] for k in range(ngram)], 1)
-                out.append((own.size, value.tobytes(), passage.tobytes(), value[rare]))
-            copy = copy_mark(k1)
-            marks = [np.append(o[3], copy[i] if size[i] else np.zeros(0, np.uint64)).tobytes() for i, o in enumerate(out)]
-            columns = [batch.column("key"), batch.column("text"), pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)), pa.array(marks, pa.binary()), pa.array(k1), pa.array(k2), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "text", "words", "grams", "passages", "marks", "k1", "k2", "size"])
-
-    return df.mapInArrow(run, "key bigint, text string, words bigint, grams binary, passages binary, marks binary, k1 bigint, k2 bigint, size bigint")
-
+            known[_known_bits(Chunk(group).shingles(ngram)[0])] = True
+        yield pa.RecordBatch.from_arrays([*packed_blocks(np.packbits(known, bitorder="little"))], ["block", "cells"])
 
-def copy_mark(k1: np.ndarray) -> np.ndarray:
-    """What a fold hash is among the marks, apart from n-grams."""
-    return mix(k1.view(np.uint64) ^ np.uint64(0xC0B1))
+    return merged_blocks(df.select("text").mapInArrow(run, "block int, cells binary"), 1 << (KNOWN_BITS - 3), np.uint8, np.bitwise_or)
 
 
-def _marks(records: DataFrame) -> DataFrame:
-    """(mark, shard) of all records, each once."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("marks")
-            size = np.fromiter((len(x) // 8 for x in raw.to_pylist()), np.int64, len(batch))
-            value = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.repeat(batch.column("shard").to_numpy(), size))], ["mark", "shard"])
-
-    return records.select("shard", "marks").mapInArrow(run, "mark bigint, shard int").distinct()
-
-
-def _hits(train: DataFrame, ngram: int, sent: object, bits: int) -> DataFrame:
-    """(mark, key, chars): marks of training texts that the filter lets through."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
-        for batch, group in text_groups(batches, "text"):
-            chunk = Chunk(group)
-            value, doc = chunk.shingles(ngram)
-            k1, _, size = chunk.fold_keys()
-            some = np.flatnonzero(size > 0)
-            value, doc = np.concatenate((value, copy_mark(k1)[some])).view(np.int64), np.concatenate((doc, some))
-            for probe in range(2):
-                bit = bloom_bits(value, bits)[probe]
-                hit = np.flatnonzero((cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-                value, doc = value[hit], doc[hit]
-            value, bounds = unique_per_document(value, doc, len(group))
-            doc = np.repeat(np.arange(len(group)), np.diff(bounds))
-            chars = np.fromiter(map(len, group), np.int64, len(group))
-            yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("key").take(pa.array(doc)), pa.array(chars[doc])], ["mark", "key", "chars"])
-
-    return train.mapInArrow(run, "mark bigint, key bigint, chars bigint")
-
-
-def _likely(train: DataFrame, sent: object, bits: int) -> DataFrame:
-    """(key, text) of the rows whose key a Bloom filter lets through."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
-        for batch in batches:
-            keep = np.ones(len(batch), np.bool_)
-            for bit in bloom_bits(batch.column("key").to_numpy(), bits):
-                keep &= (cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(keep))
-
-    return train.mapInArrow(run, "key bigint, text string")
-
-
-def grams_of(word: np.ndarray, ngram: int) -> np.ndarray:
-    """n-gram hashes of one document's words, as ``Chunk.shingles`` makes them."""
-    m = word.size - ngram + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    up, _ = powers(BASE_B, ngram + 1)
-    value = np.zeros(m, np.uint64)
-    for k in range(ngram):
-        value += word[k : k + m] * up[k + 1]
-    return mix(value)
-
-
-def spelled(short: np.ndarray) -> str:
+def spelled(short: np.ndarray) -> np.ndarray:
     """Words as runs of ``SYMBOLS`` letters of a small alphabet, which keeps the automaton's nodes narrow.
 
     Different words may be spelled alike; what an occurrence suggests is verified.
     """
-    letters = np.stack([(short >> np.uint32(8 * k)) & np.uint32(0xFF) for k in range(SYMBOLS)], -1)
-    return letters.astype(np.uint8).tobytes().decode("latin-1")
+    return np.stack([(short >> np.uint64(32 + 8 * k)) & np.uint64(0xFF) for k in range(SYMBOLS)], -1).astype(np.uint8)
 
 
-class Groups:
-    """Records grouped by a label; pairs of texts and groups become pairs of texts and records."""
+def stretches(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, shards: int, salt: int, hot: int = HOT_POSTINGS) -> DataFrame:
+    """(shard, side, cls, n, words, at): the rarest n-grams of every class as stretches of spelled words, with their ranks.
 
-    def __init__(self, label: np.ndarray, count: int) -> None:
-        self.order = np.argsort(label, kind="stable")
-        self.bounds = np.searchsorted(label[self.order], np.arange(count + 1))
+    Evaluation passages of a hot n-gram go to all tasks of it, stretches of a
+    training text to one.  ``df`` has text and side.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    step = ngram * SYMBOLS
 
-    def pairs(self, text: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place of the given pair, text, record), at most about ``PAIR_ROWS`` at a time."""
-        size = self.bounds[group + 1] - self.bounds[group]
-        part = np.cumsum(size) // PAIR_ROWS
-        for p in np.unique(part):
-            own = np.flatnonzero(part == p)
-            n = size[own]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[group[own]], n)
-            yield np.repeat(own, n), np.repeat(text[own], n), self.order[at]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = order.value
+        for batch, group in text_groups(batches, "text"):
+            side = batch.column("side").to_numpy()
+            value, doc, place, word = Chunk(group).placed_shingles(ngram)
+            by = np.lexsort((value, doc))
+            value, doc, place = value[by], doc[by], place[by]
+            new = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))) if value.size else np.zeros(0, np.int64)
+            value, doc, place = value[new], doc[new], place[new]
+            bounds = np.searchsorted(doc, np.arange(len(group) + 1))
+            cls, size = set_classes(value, bounds, salt)[0], np.diff(bounds)
+            _, first = np.unique(np.stack((cls, side)), axis=1, return_index=True)
+            once = np.zeros(len(group), np.bool_)
+            once[first] = True
+            count = cells[(value >> np.uint64(64 - bits)).astype(np.int64)]
+            by = np.lexsort((value, count, doc))
+            at = np.arange(value.size) - bounds[doc]
+            take = size + (-size * num) // den + 1
+            keep = once[doc] & (at < take[doc])
+            by, who, at = by[keep], doc[keep], at[keep]
+            gram, copies = mix(value[by]), 1 + count[by].astype(np.int64) // hot
+            own = np.repeat(np.arange(by.size), np.where(side[who] == EVAL, copies, 1))
+            turn = np.arange(own.size) - np.searchsorted(own, own)
+            turn = np.where(side[who[own]] == EVAL, turn, cls.view(np.uint64)[who[own]].astype(np.int64) % copies[own])
+            shard = ((gram[own] ^ mix(turn.astype(np.uint64) + np.uint64(0x5A17))) % np.uint64(shards)).astype(np.int64)
+            letters = spelled(np.stack([word[place[by] + k] for k in range(ngram)], 1)).reshape(by.size, step)
+            group_by = np.lexsort((own, shard, who[own]))
+            own, shard = own[group_by], shard[group_by]
+            who, at = who[own], np.minimum(at[own], 0xFFFF).astype(np.uint16)
+            row = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (shard[1:] != shard[:-1])))) if who.size else np.zeros(0, np.int64)
+            ends = np.concatenate((row, [who.size]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[row], pa.int32()), pa.array(side[who[row]], pa.int32()), pa.array(cls[who[row]]), pa.array(size[who[row]], pa.int64()), binaries(letters[own].reshape(-1), ends * step), binaries(at.view(np.uint8), ends * 2)],
+                ["shard", "side", "cls", "n", "words", "at"],
+            )
+
+    return df.select("text", "side").mapInArrow(run, "shard int, side int, cls bigint, n bigint, words binary, at binary")
 
 
 class Shard:
-    """Automaton and sets of one shard of evaluation records.
+    """Automaton over the passages of one shard, and who holds each of them, by size."""
 
-    Records with one n-gram set form a class and are searched once, as are
-    records with the same letters and digits.
-    """
-
-    def __init__(self, data: dict, ngram: int) -> None:
+    def __init__(self, rows: pa.Table, ngram: int, num: int, den: int) -> None:
         import ahocorasick
 
-        self.keys = np.array(data["keys"], np.int64)
-        known: dict[bytes, int] = {}
-        label = np.array([known.setdefault(g, len(known)) for g in data["grams"]], np.int64)
-        self.classes = Groups(label, len(known))
-        self.grams = [np.frombuffer(g, np.uint64) for g in known]
-        self.size = np.array([g.size for g in self.grams], np.int64)
-        whole = np.concatenate([np.zeros(0, np.uint64), *self.grams])
-        self.maps = Bitmaps(*parity_bitmaps(whole, np.concatenate(([0], np.cumsum(self.size)))), self.size)
-        keys = np.array([data["k1"], data["k2"], data["size"]], np.int64).T.reshape(-1, 3)
-        self.first_key = np.unique(keys[:, 0])
-        self.fold_of: dict[tuple[int, int, int], list[int]] = {}
-        self.letters: list[bytes] = []
-        self.fold = np.zeros(len(keys), np.int64)
-        at = 0
-        for group in chunks(data["text"]):
-            chunk = Chunk(group)
-            for i in range(len(group)):
-                self.fold[at + i] = self._fold_class(tuple(keys[at + i].tolist()), chunk.letters(i), True)
-            at += len(group)
-        self.copies = Groups(self.fold, len(self.letters))
-        first = np.unique(label, return_index=True)[1].tolist()
-        own = [np.frombuffer(data["passages"][i], np.uint32).reshape(-1, ngram) for i in first]
-        owner = np.repeat(np.arange(len(own)), [len(p) for p in own])
-        flat = np.concatenate([np.zeros((0, ngram), np.uint32), *own])
-        order = np.lexsort([flat[:, k] for k in range(ngram - 1, -1, -1)])
-        flat, self.owner = flat[order], owner[order]
-        new = np.concatenate(([True], (flat[1:] != flat[:-1]).any(1))) if len(flat) else np.zeros(0, np.bool_)
-        start = np.flatnonzero(new)
-        self.bounds = np.concatenate((start, [len(flat)]))
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        text, step = spelled(flat[start].reshape(-1)), ngram * SYMBOLS
-        # passages that are spelled alike share a number
+        self.step, self.num, self.den = ngram * SYMBOLS, num, den
+        self.cls, self.n = rows["cls"].to_numpy(), rows["n"].to_numpy()
+        letters, ends = flat(rows["words"])
+        self.at = np.frombuffer(flat(rows["at"])[0].tobytes(), np.uint16).astype(np.int64)
+        owner = np.repeat(np.arange(self.cls.size), np.diff(ends) // self.step)
+        text = letters.tobytes().decode("latin-1")
         numbers: dict[str, int] = {}
-        number = np.array([numbers.setdefault(text[i : i + step], len(numbers)) for i in range(0, len(text), step)], np.int64)
+        number = np.array([numbers.setdefault(text[i : i + self.step], len(numbers)) for i in range(0, len(text), self.step)], np.int64)
+        order = np.lexsort((self.n[owner], number))
+        self.owner, self.at = owner[order], self.at[order]
+        # passages by number, and by size within a number
+        self.span = int(self.n.max(initial=0)) + 2
+        self.rank = number[order] * self.span + self.n[self.owner]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for passage, i in numbers.items():
             self.machine.add_word(passage, i)
-        of = np.repeat(number, np.diff(self.bounds))
-        order = np.argsort(of, kind="stable")
-        self.owner = self.owner[order]
-        self.bounds = np.searchsorted(of[order], np.arange(len(numbers) + 1))
-        if len(start):
-            self.machine.make_automaton()
-        self.some = bool(len(start))
-
-    def _fold_class(self, key: tuple[int, int, int], letters: bytes, add: bool) -> int:
-        """The class of the same letters and digits, compared whole; a new one, or -1, if there is none."""
-        known = self.fold_of.setdefault(key, []) if add else self.fold_of.get(key, [])
-        for c in known:
-            if self.letters[c] == letters:
-                return c
-        if not add:
-            return -1
-        known.append(len(self.letters))
-        self.letters.append(letters)
-        return known[-1]
-
-    def matches(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, text) of every occurrence in texts whose words start at ``first``."""
-        text = spelled((word >> np.uint64(32)).astype(np.uint32))
-        hits: list[int] = []
-        count: list[int] = []
-        scan = self.machine.iter
-        ends = (first * SYMBOLS).tolist()
-        for s, e in zip(ends, ends[1:]):
-            before = len(hits)
-            if self.some and e > s:
-                hits.extend([i for at, i in scan(text[s:e]) if at % SYMBOLS == SYMBOLS - 1])
-            count.append(len(hits) - before)
-        return np.array(hits, np.int64), np.repeat(np.arange(len(count)), count)
-
-    def owners(self, hits: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, class) of the classes that hold a matched passage."""
-        hit = np.unique(where * np.int64(max(1, len(self.bounds) - 1)) + hits)
-        where, hits = np.divmod(hit, max(1, len(self.bounds) - 1))
-        size = self.bounds[hits + 1] - self.bounds[hits]
-        skip = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) - np.repeat(skip, size) + np.repeat(self.bounds[hits], size)
-        pair = np.unique(np.repeat(where, size) * np.int64(max(1, self.size.size)) + self.owner[at])
-        return np.divmod(pair, max(1, self.size.size))
-
-    def folds(self, chunk: Chunk) -> np.ndarray:
-        """Class of every text's letters and digits among those of the records; -1 if it is none of them."""
-        key = np.stack(chunk.fold_keys(), 1)
-        out = np.full(len(key), -1, np.int64)
-        for i in np.flatnonzero(np.isin(key[:, 0], self.first_key) & (key[:, 2] > 0)).tolist():
-            out[i] = self._fold_class(tuple(key[i].tolist()), chunk.letters(i), False)
-        return out
-
-    def alike(self, value: np.ndarray, bounds: np.ndarray, i: np.ndarray, c: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, class, shared) of the pairs that reach num/den."""
-        size = np.diff(bounds)
-        least = -((-(size[i] + self.size[c]) * num) // (num + den))
-        near = np.minimum(size[i], self.size[c]) >= least
-        i, c, least = i[near], c[near], least[near]
-        near = may_share(Bitmaps(*parity_bitmaps(value, bounds), size), i, self.maps, c, least)
-        i, c, least = i[near], c[near], least[near]
-        count = (np.isin(self.grams[y], value[bounds[x] : bounds[x + 1]], assume_unique=True, kind="sort").sum() for x, y in zip(i.tolist(), c.tolist()))
-        shared = np.fromiter(count, np.int64, i.size)
-        ok = shared >= least
-        return i[ok], c[ok], shared[ok]
-
-
-def _met(shard: Shard, batch: pa.RecordBatch, ngram: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of the training texts of a batch with the records of a shard."""
-    for own, group in text_groups([batch], "text"):
-        chunk = Chunk(group)
-        word, owner, _, _ = chunk.words()
-        hits, where = shard.matches(word, np.searchsorted(owner, np.arange(len(group) + 1)))
-        keys, fold = own.column("key"), shard.folds(chunk)
-
-        def rows(i: np.ndarray, e: np.ndarray, copy: int, shared: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(i)), pa.array(shard.keys[e]), pa.array(np.full(i.size, copy, np.int64)), pa.array(shared)], NAMES)
-
-        copies = np.flatnonzero(fold >= 0)
-        for _, i, e in shard.copies.pairs(copies, fold[copies]):
-            yield rows(i, e, 1, np.zeros(i.size, np.int64))
-        value, doc = chunk.shingles(ngram)
-        found = shard.alike(*unique_per_document(value, doc, len(group)), *shard.owners(hits, where), num, den)
-        for at, i, e in shard.classes.pairs(*found[:2]):
-            other = fold[i] != shard.fold[e]
-            yield rows(i[other], e[other], 0, found[2][at][other])
-
-
-RECORD = ["key", "text", "grams", "passages", "k1", "k2", "size"]
-
-
-def _meet(both: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """Pairs of rows sorted by (part, kind): records (kind 0), then the training texts that meet them."""
+        self.machine.make_automaton()
+
+    def candidates(self, rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(training class, evaluation class) of matches that pass the length and the positional filter."""
+        letters, ends = flat(pa.chunked_array([rows.column("words")]))
+        found = [(end, i) for end, i in self.machine.iter(letters.tobytes().decode("latin-1")) if end % self.step == self.step - 1]
+        if not found:
+            return
+        hit = np.array(found, np.int64)
+        window, number = hit[:, 0] // self.step, hit[:, 1]
+        who = np.searchsorted(ends // self.step, window, side="right") - 1
+        at = np.frombuffer(flat(pa.chunked_array([rows.column("at")]))[0].tobytes(), np.uint16).astype(np.int64)[window]
+        cls, n = rows.column("cls").to_numpy()[who], rows.column("n").to_numpy()[who]
+        low = np.searchsorted(self.rank, number * self.span + np.minimum(-(-n * self.num // self.den), self.span - 1))
+        high = np.searchsorted(self.rank, number * self.span + np.minimum(n * self.den // self.num, self.span - 1), side="right")
+        size = high - low
+        part = np.cumsum(size) // PAIR_ROWS
+        for p in np.unique(part):
+            own = np.flatnonzero((part == p) & (size > 0))
+            count = size[own]
+            x = np.repeat(own, count)
+            y = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[own], count)
+            m, q = self.n[self.owner[y]], self.at[y]
+            least = -(-(n[x] + m) * self.num // (self.num + self.den))
+            # the first common n-gram of a pair has enough n-grams behind it on both sides
+            can = (n[x] - at[x] >= least) & (m - q >= least) | (at[x] == 0xFFFF) | (q == 0xFFFF)
+            other = self.cls[self.owner[y]]
+            can &= cls[x] != other
+            yield np.unique(np.stack((cls[x][can], other[can])), axis=1)
+
+
+def scanned(posted: DataFrame, ngram: int, threshold: Fraction, shards: int) -> DataFrame:
+    """Distinct (a, b): training and evaluation classes that meet in a shard and pass the filters."""
+    num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, shard = None, [], None
         for batch in batches:
-            part, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
-            edges = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(part)]
+            at, side = batch.column("shard").to_numpy(), batch.column("side").to_numpy()
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(at)]
             for s, e in zip(edges, edges[1:]):
                 if s == e:
                     continue
-                if part[s] != now:
-                    now, held, shard = part[s], [], None
+                if at[s] != now:
+                    now, held, shard = at[s], [], None
                 own = batch.slice(s, e - s)
-                if kind[s] == 0:
+                if side[s] == EVAL:
                     held.append(own)
                 elif held or shard is not None:
                     if shard is None:
-                        table = pa.Table.from_batches(held)
-                        shard, held = Shard({"keys": table["key"].to_pylist(), **{c: table[c].to_pylist() for c in RECORD[1:]}}, ngram), []
-                    yield from _met(shard, own, ngram, num, den)
+                        shard, held = Shard(pa.Table.from_batches(held), ngram, num, den), []
+                    for a, b in shard.candidates(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return both.mapInArrow(run, "train bigint, eval bigint, copy bigint, shared bigint")
+    return posted.repartitionById(shards, "shard").sortWithinPartitions("shard", "side").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _sides(df: DataFrame, key: str, text: str, split: str, train: str) -> tuple[DataFrame, DataFrame]:
-    """(key, text) of the training rows and of the evaluation rows."""
+def _rows(df: DataFrame, key: str, text: str, split: str, train: str) -> DataFrame:
+    """(key, text, side) of the rows that take part."""
     need_columns(df, key, text, split)
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.col(split).alias("split")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
-    return rows.filter(F.col("split") == train).select("key", "text"), rows.filter(F.col("split") != train).select("key", "text")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.when(F.col(split) == train, TRAIN).otherwise(EVAL).alias("side"), F.col(split).alias("split"))
+    return rows.filter(F.col("key").isNotNull() & F.col("text").isNotNull() & F.col("split").isNotNull()).drop("split")
 
 
-def _scans(df: DataFrame, key: str, text: str, split: str, train: str, ngram: int, threshold: Fraction, shard_words: int, bits: int) -> DataFrame:
-    spark = df.sparkSession
-    ours, theirs = _sides(df, key, text, split, train)
-    order = spark.sparkContext.broadcast(training_grams(ours, ngram, bits))
-    records = cut(_records(theirs, ngram, threshold, order, bits))
-    seen = records.agg(F.sum("words").alias("words"), F.sum(F.length("marks")).alias("marks")).first()
-    shards = max(1, -(-(seen["words"] or 0) // shard_words))
-    records = records.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    marks = cut(_marks(records))
-    mark_bits = max(MARK_BITS[0], min(MARK_BITS[1], math.ceil(math.log2(4 * (seen["marks"] or 0) + 1))))
-    passages = spark.sparkContext.broadcast(bloom(marks.select(F.col("mark").alias("key")), mark_bits))
-    routes = cut(_hits(ours, ngram, passages, mark_bits).join(marks, "mark").groupBy("key", "shard").agg(F.max("chars").alias("chars")))
-    sent = {r["shard"]: (r["chars"], r["n"]) for r in routes.groupBy("shard").agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).collect()}
-    key_bits = max(MARK_BITS[0], min(KEY_BITS, math.ceil(math.log2(32 * sum(n for _, n in sent.values()) + 1))))
-    wanted = spark.sparkContext.broadcast(bloom(routes.select("key"), key_bits))
-    texts = _likely(ours, wanted, key_bits).withColumn("turn", F.monotonically_increasing_id()).join(routes.select("key", "shard"), "key")
-    least = -(-parallelism(spark) // shards)
-    parts, first = [], 0
-    for shard, (n, _) in sorted(sent.items()):
-        salts = max(1, -(-n // PART_CHARS), min(least, -(-n // LEAST_CHARS)))
-        parts.append((shard, first, salts))
-        first += salts
-    table = spark.createDataFrame(parts, "shard int, first int, salts int")
-    none = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
-    rows = texts.join(table, "shard")
-    rows = rows.select((F.col("first") + F.pmod("turn", "salts")).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "text", *none(("grams", "binary"), ("passages", "binary"), ("k1", "bigint"), ("k2", "bigint"), ("size", "bigint")))
-    held = records.join(table, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)).alias("part"), F.lit(0).alias("kind"), *RECORD)
-    both = held.unionByName(rows).repartitionById(max(1, first), "part").sortWithinPartitions("part", "kind")
-    return _meet(both, ngram, threshold.numerator, threshold.denominator)
-
-
-def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def _copy_groups(rows: DataFrame, sides: DataFrame) -> DataFrame:
+    """(key, copy): the first row of every verified group of copies that has rows of both sides."""
+    keys = cut(text_keys(rows, "key", "text").filter("size > 0"))
+    by = ["k1", "k2", "size"]
+    both = keys.join(sides, "key").groupBy(*by).agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo <> hi").select(*by)
+    kept = cut(keys.join(both, by, "left_semi"))
+    maybe = rows.sparkSession.sparkContext.broadcast(bloom(kept.select("key"), BLOOM_BITS))
+    texts = rows.select("key", "text").mapInArrow(lambda batches: likely(batches, maybe.value, BLOOM_BITS), "key bigint, text string")
+    found = cut(groups_of_keys(texts, "key", "text", kept))
+    firsts = found.select(F.col("first_no").alias("key"), F.col("first_no").alias("copy")).distinct()
+    return found.select(F.col("copy_no").alias("key"), F.col("first_no").alias("copy")).unionByName(firsts)
+
+
+def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS, hot: int = HOT_POSTINGS) -> DataFrame:
     """(train, eval, copy, shared): pairs across splits that are copies or similar enough.
 
     ``copy`` is 1 where letters and digits agree in order (problem 5), and
@@ -420,7 +232,36 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train:
     least ``threshold``.  Rows of null text or null split take no part; a text
     without letters and digits is no copy; empty splits give no rows.
     """
-    return _scans(df, key, text, split, train, ngram, Fraction(threshold).limit_denominator(10_000), shard_words, bits)
+    threshold = Fraction(threshold).limit_denominator(10_000)
+    spark = df.sparkSession
+    rows = _rows(df, key, text, split, train)
+    sides = rows.select("key", "side")
+    groups = cut(_copy_groups(rows, sides))
+
+    cells, members, salt = sealed_pass(rows, ngram, bits)
+    order = spark.sparkContext.broadcast(cells)
+    posted = float(cells.sum(dtype=np.float64))
+    shards = max(spark.sparkContext.defaultParallelism, int(posted * float(1 - threshold) // BUCKET_POSTINGS) + 1, int(posted // shard_words) + 1)
+    pairs = scanned(stretches(rows, ngram, threshold, order, bits, shards, salt, hot), ngram, threshold, shards)
+    links = verified(cut(suffix_filtered(pairs, members, threshold)), rows, members, ngram, threshold)
+
+    # rows that are no copy of any other stand for themselves
+    known = members.select("key", "cls", "n").join(sides, "key").join(groups, "key", "left").select("key", "cls", "n", "side", F.coalesce("copy", F.col("key")).alias("fold"))
+    known = cut(known)
+    ours, theirs = known.filter(F.col("side") == TRAIN), known.filter(F.col("side") == EVAL)
+    same = known.groupBy("cls").agg(F.max("n").alias("shared"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo <> hi")
+    within = same.select(F.col("cls").alias("a"), F.col("cls").alias("b"), "shared")
+    near = expanded(links.unionByName(within), ours, theirs).select(F.col("ka").alias("train"), F.col("kb").alias("eval"), F.lit(0).cast("bigint").alias("copy"), "shared")
+    marked = groups.join(sides, "key")
+    side = lambda s, name: marked.filter(F.col("side") == s).select("copy", F.col("key").alias(name))
+    copies = side(TRAIN, "train").join(side(EVAL, "eval"), "copy").select("train", "eval", F.lit(1).cast("bigint").alias("copy"), F.lit(0).cast("bigint").alias("shared"))
+    return copies.unionByName(near)
+
+
+def _sides(df: DataFrame, key: str, text: str, split: str, train: str) -> tuple[DataFrame, DataFrame]:
+    """(key, text) of the training rows and of the evaluation rows."""
+    rows = _rows(df, key, text, split, train)
+    return rows.filter(F.col("side") == TRAIN).select("key", "text"), rows.filter(F.col("side") == EVAL).select("key", "text")
 
 
 def _places(df: DataFrame, ngram: int) -> DataFrame:
@@ -470,7 +311,7 @@ def coverage(df: DataFrame, key: str, text: str, split: str, *, train: str = "tr
     words are not covered.
     """
     ours, theirs = _sides(df, key, text, split, train)
-    order = df.sparkSession.sparkContext.broadcast(training_grams(theirs, ngram, bits)[1])
+    order = df.sparkSession.sparkContext.broadcast(known_grams(theirs, ngram))
     found = _places(theirs, ngram).join(_known_grams(ours, ngram, order), "gram", "left_semi")
     runs = found.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
     step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(ngram).cast("bigint"), x + ngram - acc["end"])).alias("n"), (x + ngram).alias("end"))

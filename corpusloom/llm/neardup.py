@@ -77,13 +77,13 @@ def saturating_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a + b < a, np.uint32(0xFFFFFFFF), a + b)
 
 
-def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, DataFrame]:
-    """One pass over (key, text): the count sketch and (key, cls, n, fold, bits).
+def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS, salt: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """One pass over (key, text): the count sketch and (key, cls, seal, n, fold, bits).
 
     The sketch counts the distinct n-grams of every text in ``2**bits`` cells.
-    ``cls`` names a text's n-gram set, ``fold`` its letters and digits in
-    order, ``bits`` is the set's parity bitmap; texts without n-grams are left
-    out of the table.
+    ``cls`` names a text's n-gram set, ``seal`` is a second hash of it, ``fold``
+    its letters and digits in order, ``bits`` is the set's parity bitmap; texts
+    without n-grams are left out of the table.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,25 +100,38 @@ def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS) -> tuple[np.n
             fold = mix(one.view(np.uint64) ^ mix(two.view(np.uint64) + length.astype(np.uint64))).view(np.int64)
             key = batch.column("key").filter(has)
             none = pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())
-            yield pa.RecordBatch.from_arrays([*none, key, *(pa.array(x).filter(has) for x in (set_classes(value, bounds), size, fold)), binaries(*parity_bitmaps(value, bounds)).filter(has)], names)
+            yield pa.RecordBatch.from_arrays([*none, key, *(pa.array(x).filter(has) for x in (*set_classes(value, bounds, salt), size, fold)), binaries(*parity_bitmaps(value, bounds)).filter(has)], names)
         block, raw = packed_blocks(cells)
-        none = [*[pa.nulls(len(block), pa.int64())] * 4, pa.nulls(len(block), pa.binary())]
+        none = [*[pa.nulls(len(block), pa.int64())] * 5, pa.nulls(len(block), pa.binary())]
         yield pa.RecordBatch.from_arrays([block, raw, *none], names)
 
-    names = ["block", "cells", "key", "cls", "n", "fold", "bits"]
-    both = cut(df.select("key", "text").mapInArrow(run, "block int, cells binary, key bigint, cls bigint, n bigint, fold bigint, bits binary"))
+    names = ["block", "cells", "key", "cls", "seal", "n", "fold", "bits"]
+    both = cut(df.select("key", "text").mapInArrow(run, "block int, cells binary, key bigint, cls bigint, seal bigint, n bigint, fold bigint, bits binary"))
     cells = merged_blocks(both.filter("block is not null").select("block", "cells"), 1 << bits, np.uint32, saturating_sum)
-    return cells, both.filter("block is null").select("key", "cls", "n", "fold", "bits")
+    return cells, both.filter("block is null").select("key", "cls", "seal", "n", "fold", "bits")
 
 
-def set_classes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit class per n-gram set: order-free sums of two mixes of its members."""
+def set_classes(value: np.ndarray, bounds: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(class, seal) of every n-gram set: order-free sums of two mixes of its members."""
     size = np.diff(bounds).astype(np.uint64)
     out = []
-    for salt in (0x51ED27, 0xC0FFEE11):
-        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)))
+    for k in (0x51ED27 + (salt << 32), 0xC0FFEE11):
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(k)), dtype=np.uint64)))
         out.append(run[bounds[1:]] - run[bounds[:-1]])
-    return mix(out[0] ^ mix(out[1] + size)).view(np.int64)
+    return mix(out[0] ^ mix(size)).view(np.int64), mix(out[1]).view(np.int64)
+
+
+def sealed_pass(df: DataFrame, ngram: int, bits: int) -> tuple[np.ndarray, DataFrame, int]:
+    """``first_pass`` with a salt under which no two sets share a class, and that salt.
+
+    Sets are told apart by both hashes, 128 bits; where two of one class differ
+    in their seals, all classes are made anew.
+    """
+    for salt in range(16):
+        cells, members = first_pass(df, ngram, bits, salt)
+        if not members.groupBy("cls").agg(F.min("seal").alias("a"), F.max("seal").alias("b")).filter("a <> b").limit(1).count():
+            return cells, members.drop("seal"), salt
+    raise RuntimeError("sets share classes under every salt")
 
 
 def bitmap_widths(size: np.ndarray) -> np.ndarray:
@@ -168,7 +181,7 @@ def may_share(one: Bitmaps, i: np.ndarray, two: Bitmaps, j: np.ndarray, least: n
     return ok
 
 
-def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int) -> DataFrame:
+def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int, salt: int = 0) -> DataFrame:
     """(bucket, cls, n, grams): rare-first prefixes, packed by class and bucket; a class once per task chunk."""
     num, den = threshold.numerator, threshold.denominator
 
@@ -177,7 +190,7 @@ def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits
         for _, group in text_groups(batches, "text"):
             value, doc = Chunk(group).shingles(ngram)
             value, bounds = unique_per_document(value, doc, len(group))
-            cls, size = set_classes(value, bounds), np.diff(bounds)
+            cls, size = set_classes(value, bounds, salt)[0], np.diff(bounds)
             _, first = np.unique(cls, return_index=True)
             once = np.zeros(len(group), np.bool_)
             once[first] = True
@@ -211,7 +224,7 @@ class Bucket:
         self.num, self.den = num, den
         self.cls = rows["cls"].to_numpy()
         self.n = rows["n"].to_numpy()
-        raw, at = _flat(rows["grams"])
+        raw, at = flat(rows["grams"])
         packed = np.frombuffer(raw.tobytes(), POSTING)
         row = np.repeat(np.arange(self.cls.size), np.diff(at) // POSTING.itemsize)
         order = np.lexsort((self.n[row], packed["gram"]))
@@ -253,7 +266,7 @@ class Bucket:
         return _distinct_pairs(np.concatenate(left), np.concatenate(right))
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary column."""
     parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
     for chunk in column.chunks:
@@ -310,7 +323,7 @@ def suffix_filtered(pairs: DataFrame, members: DataFrame, threshold: Fraction) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (Bitmaps(*_flat(pa.chunked_array([batch.column(f"m{x}")])), batch.column(f"n{x}").to_numpy()) for x in "ab")
+            one, two = (Bitmaps(*flat(pa.chunked_array([batch.column(f"m{x}")])), batch.column(f"n{x}").to_numpy()) for x in "ab")
             row = np.arange(len(batch))
             least = -((-(one.size + two.size) * num) // (num + den))
             keep = pa.array(may_share(one, row, two, row, least))
@@ -323,11 +336,11 @@ def suffix_filtered(pairs: DataFrame, members: DataFrame, threshold: Fraction) -
 def _verify(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (home, salt, own first): compare every partner with the home's set."""
     home = salt = None
-    mine = np.zeros(0, np.uint32)
+    mine = np.zeros(0, np.uint64)
     for batch in batches:
         out: list[tuple[int, int, int]] = []
         for h, s, m, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "member", "grams"))):
-            grams = np.frombuffer(raw, np.uint32)
+            grams = np.frombuffer(raw, np.uint64)
             if (h, s) != (home, salt):
                 home, salt, mine = h, s, grams
                 continue
@@ -371,56 +384,70 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
         raise ValueError("threshold must be in (0, 1] and ngram at least 1")
     spark: SparkSession = df.sparkSession
     base = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
-    cells, members = first_pass(base, ngram, bits)
+    cells, members, salt = sealed_pass(base, ngram, bits)
     order = spark.sparkContext.broadcast(cells)
     posted = float(cells.sum(dtype=np.float64)) * float(1 - threshold)
     buckets = max(spark.sparkContext.defaultParallelism, int(posted // BUCKET_POSTINGS) + 1)
-    found = candidates(postings(base, ngram, threshold, order, bits, buckets), threshold, buckets)
-    pairs = cut(suffix_filtered(found, members, threshold))
+    found = candidates(postings(base, ngram, threshold, order, bits, buckets, salt), threshold, buckets)
+    return members, verified(cut(suffix_filtered(found, members, threshold)), base, members, ngram, threshold)
 
+
+def verified(pairs: DataFrame, base: DataFrame, members: DataFrame, ngram: int, threshold: Fraction) -> DataFrame:
+    """(a, b, shared): the pairs of classes whose whole n-gram sets reach the threshold; ``base(key, text)`` holds them."""
+    spark = base.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = cut(members.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi"))
     maybe = spark.sparkContext.broadcast(bloom(chosen.select("key"), BLOOM_BITS))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = maybe.value
-
-        def likely() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(len(batch), np.bool_)
-                for bit in bloom_bits(batch.column("key").to_numpy(), BLOOM_BITS):
-                    keep &= (cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                yield batch.filter(pa.array(keep))
-
-        for batch, group in text_groups(likely(), "text"):
+        for batch, group in text_groups(likely(batches, maybe.value, BLOOM_BITS), "text"):
             value, doc = Chunk(group).shingles(ngram)
             value, bounds = unique_per_document(value, doc, len(group))
-            short = [np.unique(value[bounds[i] : bounds[i + 1]].astype(np.uint32)).tobytes() for i in range(len(group))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(short, pa.binary())], ["key", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), binaries(value.view(np.uint8), bounds * 8)], ["key", "grams"])
 
-    sets = base.mapInArrow(grams, "key bigint, grams binary").join(chosen, "key").select("cls", "grams")
+    sets = base.select("key", "text").mapInArrow(grams, "key bigint, grams binary").join(chosen, "key").select("cls", "grams")
     salted = pairs.select(F.col("a").alias("home"), F.pmod("b", F.lit(SALTS)).cast("int").alias("salt"), F.col("b").alias("member"))
     own = salted.select("home", "salt", F.col("home").alias("member")).distinct()
     sent = salted.unionByName(own).join(sets, F.col("member") == F.col("cls")).select("home", "salt", "member", "grams", (F.col("member") != F.col("home")).alias("other"))
     together = sent.repartition(parallelism(spark), "home", "salt").sortWithinPartitions("home", "salt", "other")
-    links = together.mapInArrow(functools.partial(_verify, num=threshold.numerator, den=threshold.denominator), "a bigint, b bigint, shared bigint")
-    return members, cut(links)
+    return cut(together.mapInArrow(functools.partial(_verify, num=threshold.numerator, den=threshold.denominator), "a bigint, b bigint, shared bigint"))
+
+
+def likely(batches: Iterable[pa.RecordBatch], cells: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose key a Bloom filter lets through."""
+    for batch in batches:
+        keep = np.ones(len(batch), np.bool_)
+        for bit in bloom_bits(batch.column("key").to_numpy(), bits):
+            keep &= (cells[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        yield batch.filter(pa.array(keep))
+
+
+def expanded(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ka, kb, ...): rows of linked classes that are no copies of one another.
+
+    ``links(a, b, ...)`` are pairs of classes, ``left`` and ``right`` have (key,
+    cls, fold).  Groups of copies within classes are paired first and only then
+    expanded to rows, so no two rows meet that are not in the result.
+    """
+    extra = [c for c in links.columns if c not in ("a", "b")]
+    side = lambda rows, x: rows.select(F.col("cls").alias(x), F.col("fold").alias(f"f{x}")).distinct()
+    groups = links.join(side(left, "a"), "a").join(side(right, "b"), "b").filter("fa <> fb")
+    rows = lambda rows, x: rows.select(F.col("cls").alias(x), F.col("fold").alias(f"f{x}"), F.col("key").alias(f"k{x}"))
+    return groups.join(rows(left, "a"), ["a", "fa"]).join(rows(right, "b"), ["b", "fb"]).select("ka", "kb", "a", "b", "fa", "fb", *extra)
 
 
 def found_pairs(df: DataFrame, key: str, text: str, *, ngram: int = 3, threshold: float | Fraction = Fraction(3, 5)) -> DataFrame:
     """(key_a, key_b) of all rows at or over the threshold that are no copies of one another.
 
     Copies have the same letters and digits in the same order (problem 5).
-    Links between classes are expanded to rows by two joins on the class;
-    only rows of linked classes take part.
+    Links between classes are expanded to rows by way of the groups of copies
+    in them (``expanded``); only rows of linked classes take part.
     """
     members, links = similar_classes(df, key, text, ngram=ngram, threshold=threshold)
     mixed = members.groupBy("cls").agg(F.min("fold").alias("lo"), F.max("fold").alias("hi")).filter("lo <> hi")
     inner = mixed.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     whole = links.select("a", "b").unionByName(inner)
-    left = members.select(F.col("key").alias("ka"), F.col("cls").alias("a"), F.col("fold").alias("fa"))
-    right = members.select(F.col("key").alias("kb"), F.col("cls").alias("b"), F.col("fold").alias("fb"))
-    both = whole.join(left, "a").join(right, "b").filter("fa <> fb and (a <> b or ka < kb)")
+    both = expanded(whole, members, members).filter("a <> b or fa < fb")
     return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
 
 
