@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import pickle
+import re
 import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -30,19 +31,36 @@ def read_texts(spark: SparkSession, paths: str | Sequence[str], *, batch_size: i
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("at least one path is required")
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", batch_size)
-    out = None
-    for shard, path in enumerate(paths):
-        df = spark.read.parquet(path)
-        if "text" not in df.columns:
+    for path in paths:
+        # schemas come from the footers; the rows of all paths are one scan
+        schema = spark.read.parquet(path).schema
+        if "text" not in schema.fieldNames():
             raise ValueError(f"{path} has no text column")
-        if not isinstance(df.schema["text"].dataType, StringType):
+        if not isinstance(schema["text"].dataType, StringType):
             raise ValueError(f"{path}: text must be a string column")
-        row = F.col("_metadata.row_index")
-        wrong = F.raise_error(F.concat(F.lit("text must be a string at row "), row + 1))
-        part = df.select(F.lit(shard).alias("shard"), row.alias("row_index"), F.when(F.col("text").isNull(), wrong).otherwise(F.col("text")).alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = spark.read.schema("text string").option("spark.sql.parquet.columnarReaderBatchSize", batch_size).parquet(*paths)
+    rows = rows.select("text", F.col("_metadata.row_index").alias("__row"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__file"))
+    placed = rows.join(F.broadcast(_file_order(spark, paths)), "__file", "left")
+    lost = F.raise_error(F.concat(F.lit("a file was not listed: "), F.col("__file")))
+    wrong = F.raise_error(F.concat(F.lit("text must be a string at row "), F.col("__row") + 1))
+    shard = F.when(F.col("__shard").isNull(), lost).otherwise(F.col("__shard"))
+    index = F.col("__index") * _FILE_ROWS + F.col("__row")
+    return placed.select(shard.cast("int").alias("shard"), index.alias("row_index"), F.when(F.col("text").isNull(), wrong).otherwise(F.col("text")).alias("text"))
+
+
+#: Rows of a file that keep the order of files of one path in ``row_index``.
+_FILE_ROWS = 1 << 40
+
+
+def _file_order(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(__file, __shard, __index): the path every file belongs to and its place in it; one row for every file the driver lists."""
+    seen: dict[str, tuple[int, int]] = {}
+    for shard, path in enumerate(paths):
+        for index, name in enumerate(sorted(re.sub("^file:/+", "file:/", f) for f in spark.read.parquet(path).inputFiles())):
+            if name in seen:
+                raise ValueError(f"{path} is given twice")
+            seen[name] = shard, index
+    return spark.createDataFrame([(name, *at) for name, at in seen.items()], "__file string, __shard int, __index bigint")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
