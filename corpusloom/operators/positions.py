@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.lineage import cut
+
 BLOCK = 1 << 16
 
 
@@ -15,10 +17,12 @@ def running_totals(df: DataFrame, major: str, minor: str, amounts: dict[str, Col
     within each ``major`` and those of majors among themselves, and the window
     over rows stays within one block.  No task sees more than a block of rows,
     however many rows one ``major`` has.  ``minor`` must not be negative.
+    ``df`` is evaluated twice, so what is dear to make is cut before.
     """
     names = list(amounts)
     rows = df.withColumn("__block", F.floor(F.col(minor) / block)).withColumns({f"__a_{n}": a.cast("bigint") for n, a in amounts.items()})
-    totals = rows.groupBy(major, "__block").agg(*(F.sum(f"__a_{n}").alias(f"__t_{n}") for n in names))
+    # one row a block of 65,536 rows
+    totals = cut(rows.groupBy(major, "__block").agg(*(F.sum(f"__a_{n}").alias(f"__t_{n}") for n in names)))
     before = lambda w, n: F.coalesce(F.sum(f"__t_{n}").over(w), F.lit(0))
     earlier = Window.partitionBy(major).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = totals.select(major, "__block", *(before(earlier, n).alias(f"__b_{n}") for n in names))

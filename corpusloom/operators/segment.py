@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip_blanks
 from corpusloom.operators.positions import BLOCK, running_totals
+from corpusloom.plans.lineage import cut
 
 
 def article_title(line: Column | str) -> Column:
@@ -30,7 +31,7 @@ def line_documents(lines: DataFrame, *, strict: bool = True, block: int = BLOCK)
         line = F.when(line.isNull(), F.raise_error(F.concat(F.lit("line must be a string at row "), F.col("row_index")))).otherwise(line)
     once = lines.groupBy("shard", "row_index").agg(F.min("line").alias("line"))
     rows = once.select("shard", "row_index", strip_blanks(line).alias("own"))
-    rows = rows.filter("own <> ''").withColumn("title", article_title("own"))
+    rows = cut(rows.filter("own <> ''").withColumn("title", article_title("own")))
     numbered = running_totals(rows, "shard", "row_index", {"doc_no": F.col("title").isNotNull().cast("int")}, block=block)
     part = F.struct("shard", "row_index", F.coalesce("title", "own").alias("own"))
     grouped = numbered.groupBy("doc_no").agg(F.array_sort(F.collect_list(part)).alias("parts"))

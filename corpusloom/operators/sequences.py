@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.encode import CLS_ID, SEP_ID
 from corpusloom.operators.positions import running_totals
+from corpusloom.plans.lineage import cut as kept_once
 
 PAD_ID, MASK_ID, IGNORE = 0, 4, -100
 LONGS = "array<bigint>"
@@ -24,6 +25,7 @@ def training_sequences(documents: DataFrame, max_length: int, *, major: str | No
     body = max_length - 2
     own = F.col(major) if major else F.lit(0)
     rows = documents.filter(F.size(ids) > 0).select(own.alias("major"), F.col(index).alias("doc_index"), F.col(ids).cast(LONGS).alias("ids"))
+    rows = kept_once(rows)
     starts = F.sequence(F.lit(0), F.size("ids") - 1, F.lit(body))
     cut = rows.select("major", "doc_index", "ids", F.posexplode(starts).alias("chunk", "start"))
     wrap = lambda i: F.array(F.lit(i)).cast(LONGS)
@@ -86,25 +88,26 @@ def mlm_mask(batches: DataFrame, vocab_size: int, *, seed: int = 42, epoch: int
     ids = F.when(F.size("input_ids") != F.size("attention_mask"), wrong).otherwise(F.col("input_ids"))
     rows = batches.withColumn("input_ids", ids)
     draw = lambda place, kind: hashed(F.lit(seed), F.lit(epoch), F.col("seq_index"), place, F.lit(kind))
-    place = F.sequence(F.lit(0), F.size("input_ids") - 1)
-    is_candidate = lambda i: (F.get("attention_mask", i) == 1) & ~F.get("input_ids", i).isin(PAD_ID, CLS_ID, SEP_ID)
-    candidates = F.filter(place, is_candidate)
-    ranked = F.array_sort(F.transform(candidates, lambda i: F.struct(draw(i, "pick").alias("h"), i.alias("i"))))
-    rows = rows.withColumn("__ranked", ranked)
+    is_candidate = lambda old, i: (F.get("attention_mask", i) == 1) & ~old.isin(PAD_ID, CLS_ID, SEP_ID)
+    drawn = F.transform("input_ids", lambda old, i: F.when(is_candidate(old, i), F.struct(draw(i, "pick").alias("h"), i.alias("i"))))
+    rows = rows.withColumn("__drawn", drawn)
+    ranked = F.array_sort(F.filter("__drawn", lambda s: s.isNotNull()))
     count = F.size("__ranked")
     n = F.least(F.greatest(F.lit(1), F.rint(count * F.lit(mask_probability)).cast("int")), count)
-    rows = rows.withColumn("__picked", F.transform(F.slice("__ranked", F.lit(1), n), lambda s: s["i"]))
+    # the last selected rank: a place is selected when its own is no larger
+    rows = rows.withColumn("__ranked", ranked).withColumn("__edge", F.get("__ranked", n - 1))
+    picked = lambda i: F.coalesce(F.get("__drawn", i) <= F.col("__edge"), F.lit(False))
     bits = F.lit(float(1 << 60))
 
     def masked(old: Column, i: Column) -> Column:
         u = draw(i, "kind").cast("double") / bits
         other = F.lit(MASK_ID + 1) + F.pmod(draw(i, "token"), F.lit(vocab_size - MASK_ID - 1))
         new = F.when(u < 0.8, F.lit(MASK_ID)).when(u < 0.9, other).otherwise(old)
-        return F.when(F.array_contains("__picked", i), new).otherwise(old).cast("bigint")
+        return F.when(picked(i), new).otherwise(old).cast("bigint")
 
-    label = F.transform("input_ids", lambda old, i: F.when(F.array_contains("__picked", i), old).otherwise(F.lit(IGNORE)).cast("bigint"))
+    label = F.transform("input_ids", lambda old, i: F.when(picked(i), old).otherwise(F.lit(IGNORE)).cast("bigint"))
     out = rows.withColumn("labels", label).withColumn("input_ids", F.transform("input_ids", masked))
-    return out.drop("__ranked", "__picked")
+    return out.drop("__drawn", "__ranked", "__edge")
 
 
 def label_counts(masked: DataFrame) -> DataFrame:

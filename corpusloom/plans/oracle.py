@@ -145,6 +145,10 @@ def oracle_sql() -> dict[str, str]:
         "word_segments": f"WITH RECURSIVE {SEGMENTS} SELECT word, {_text('out')} AS pieces FROM segments",
         "encoded_documents": f"WITH RECURSIVE {ENCODED} SELECT doc_id, {_text('ids')} AS ids FROM encoded",
         "encoded_offsets": f"WITH RECURSIVE {ENCODED} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_index, CAST(coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, len(ids) AS length FROM encoded",
+        "store_round_trip": f"WITH RECURSIVE {ENCODED} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_index, CAST(coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, len(ids) AS length, {_text('ids')} AS ids FROM encoded",
+        "packed_round_trip": f"WITH RECURSIVE {ENCODED} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_index, CAST(coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, len(ids) AS length, {_text('ids')} AS ids FROM encoded",
+        "text_round_trip": "SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text",
+        "vocabulary_round_trip": "SELECT id, token FROM vocabulary",
         "first_encoded": f"WITH RECURSIVE {ENCODED} SELECT doc_id, CAST(len(ids) + 2 AS INTEGER) AS n_ids FROM encoded WHERE doc_id < 100",
         "stored_token_counts": f"WITH {STORED} SELECT token, n FROM (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM stored) GROUP BY id) JOIN vocabulary USING (id)",
         "word_ids": f"WITH {WORDS} SELECT word, coalesce(id, 1) AS id FROM words LEFT JOIN vocabulary ON token = word",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from corpusloom.functions import vectors as V
 from corpusloom.functions.text import SPECIAL_TOKENS, basic_tokens, document_id, normalize_document
 from corpusloom.operators import clean, encode, model, segment, sequences, training, vocabulary
 from corpusloom.plans.scan import table
-from corpusloom.sources.io import Vocabulary
-from corpusloom.sources.store import document_offsets, store_checks
+from corpusloom.plans.lineage import shared_folder
+from corpusloom.sources.io import Vocabulary, read_corpus_texts, read_texts, write_texts
+from corpusloom.sources.store import Store, document_offsets, length_offsets, store_checks, write_packed, write_store
 
 MAX_LENGTH, BATCH = 128, 16
 TINY = model.Shape(vocab_size=2111, max_positions=MAX_LENGTH, hidden_size=24, num_heads=3, intermediate_size=48, num_layers=1)
@@ -164,7 +167,53 @@ def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def encoded_offsets(spark: SparkSession, sf: str) -> DataFrame:
     rows = encode.encode_documents(_documents(spark, sf), _vocabulary(spark, sf), key="doc_id")
-    return document_offsets(rows, order="doc_id").select("doc_index", "start", "length")
+    return length_offsets(rows.select(F.col("doc_id").alias("pos"), F.size("token_ids").alias("length")))
+
+
+def _local(path: str) -> Path:
+    """A shared folder as a plain path, which the packed layout needs."""
+    if ":" in path.split("/", 1)[0] and not path.startswith("file:"):
+        raise ValueError("packed stores need a checkpoint folder with a plain path")
+    return Path(re.sub("^file:/+", "/", path))
+
+
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded documents written to a Parquet store, which is opened, checked and read."""
+    rows = encode.encode_documents(_documents(spark, sf), _vocabulary(spark, sf), key="doc_id")
+    path = shared_folder(spark, "store")
+    write_store(rows, path, _vocabulary(spark, sf), order="doc_id")
+    return Store.open(spark, path).documents.select("doc_index", "start", "length", _joined("token_ids").alias("ids"))
+
+
+def packed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded documents written to a packed store by all tasks at once and read in ranges."""
+    vocab = _vocabulary(spark, sf)
+    rows = encode.encode_documents(_documents(spark, sf), vocab, key="doc_id")
+    path = _local(shared_folder(spark, "packed"))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    vocab.save(f"{path}.vocab")
+    write_packed(rows, str(path), f"{path}.vocab", order="doc_id")
+    read = spark.read.format("tokenbin").option("documentsPerPartition", 500).load(str(path))
+    return read.select("doc_index", "start", "length", _joined("token_ids").alias("ids"))
+
+
+def text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """(text, n): texts read from Parquet shards, written as JSON lines and read again."""
+    texts = _documents(spark, sf).filter("text is not null").select("text")
+    shards = [shared_folder(spark, "texts") for _ in range(2)]
+    for k, path in enumerate(shards):
+        texts.filter(F.pmod(F.xxhash64("text"), F.lit(2)) == k).write.parquet(path)
+    out = shared_folder(spark, "lines")
+    write_texts(read_texts(spark, shards), out)
+    return read_corpus_texts(spark, out).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def vocabulary_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, token) of a vocabulary written to its file and loaded."""
+    path = _local(shared_folder(spark, "vocabulary"))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    _vocabulary(spark, sf).save(path)
+    return Vocabulary.load(path).frame(spark)
 
 
 def first_encoded(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,5 +360,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         training_sequences, padded_batches, batch_shapes, mlm_masks, mlm_label_counts, evaluation,
         layer_norm, gelu, linear, softmax, position_add, attention, mlm_loss, loss_metrics,
         linear_whole, position_add_whole, attention_whole,
+        store_round_trip, packed_round_trip, text_round_trip, vocabulary_round_trip,
     ]
     return {f.__name__: f for f in own}

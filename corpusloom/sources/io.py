@@ -64,8 +64,9 @@ def _file_order(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, value) of one text file, numbered from 1, blank lines included."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    """(line_number, value) of a text file, or of a folder's files by name, numbered from 1, blank lines included."""
+    block = F.concat("_metadata.file_path", F.lit(" "), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    rows = spark.read.text(path).select("value", block.alias("__block"), F.monotonically_increasing_id().alias("__id"))
     first = rows.groupBy("__block").agg(F.min("__id").alias("__first"))
     placed = rows.join(first, "__block").withColumn("__row", F.col("__id") - F.col("__first"))
     return dense_index(placed, "__block", "__row", "__n").select((F.col("__n") + 1).alias("line_number"), "value")

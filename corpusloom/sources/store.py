@@ -13,15 +13,18 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from corpusloom.operators.positions import running_totals
+from corpusloom.plans.lineage import cut
 from corpusloom.sources.io import Vocabulary
 
 MAX_VOCABULARY = 65_536
@@ -36,11 +39,21 @@ def _checked_ids(ids: str, size: int):
 
 
 def document_offsets(documents: DataFrame, *, order: str = "pos", ids: str = "token_ids") -> DataFrame:
-    """(doc_index, start, length, token_ids) in the order given; empty documents are skipped."""
-    rows = documents.filter(F.size(ids) > 0).select(F.lit(0).alias("__major"), F.col(order).alias("__order"), F.col(ids).alias("token_ids"))
-    rows = rows.withColumn("length", F.size("token_ids").cast("bigint"))
-    placed = running_totals(rows, "__major", "__order", {"doc_index": F.lit(1), "start": F.col("length")}, inclusive=False)
-    return placed.select("doc_index", "start", "length", "token_ids")
+    """(doc_index, start, length, token_ids) in the order given; empty documents are skipped.
+
+    The documents are made once and cut, as their lengths and their ids are both needed.
+    """
+    rows = documents.filter(F.size(ids) > 0).select(F.col(order).alias("pos"), F.col(ids).alias("token_ids"), F.size(ids).cast("bigint").alias("length"))
+    return _placed(cut(rows)).select("doc_index", "start", "length", "token_ids")
+
+
+def length_offsets(lengths: DataFrame) -> DataFrame:
+    """(doc_index, start, length) of (pos, length): what ``document_offsets`` says without the ids."""
+    return _placed(cut(lengths.filter("length > 0").select("pos", F.col("length").cast("bigint")))).select("doc_index", "start", "length")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return running_totals(rows.withColumn("__major", F.lit(0)), "__major", "pos", {"doc_index": F.lit(1), "start": F.col("length")}, inclusive=False)
 
 
 def write_store(documents: DataFrame, path: str, vocabulary: Vocabulary, *, order: str = "pos") -> None:
@@ -182,63 +195,67 @@ class _Reader(DataSourceReader):
             yield i, int(store.offsets[i]), len(ids), ids.tolist()
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    name: str
-    first: int
-    lengths: list[int]
-
-
 class _Writer(DataSourceArrowWriter):
-    """Every task writes its documents to a part; the commit joins parts by first index."""
+    """Every task writes its documents and offsets at their own places; the commit writes the metadata.
+
+    The files have their size from the start, and a task that runs again writes
+    the same bytes, so nothing passes through the driver.
+    """
 
     def __init__(self, options: dict) -> None:
+        if any(name not in options for name in ("documents", "tokens", "vocabulary")):
+            raise ValueError("packed stores are written by write_packed, which knows their size")
         self.path, self.vocabulary = Path(options["path"]), Path(options["vocabulary"])
+        self.documents, self.tokens = int(options["documents"]), int(options["tokens"])
         self.size = len(Vocabulary.load(self.vocabulary))
-        if self.size > MAX_VOCABULARY:
-            raise ValueError(f"a store holds at most {MAX_VOCABULARY} tokens")
-        if not (self.path / "_parts").is_dir():
-            self.path.mkdir(parents=True, exist_ok=False)
-            (self.path / "_parts").mkdir()
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        name = f"{context.partitionId()}-{context.taskAttemptId()}"
-        first, lengths, before = -1, [], -1
-        with open(self.path / "_parts" / name, "wb") as out:
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        item = np.dtype(TOKEN_TYPE).itemsize
+        with open(self.path / "tokens.bin", "r+b") as tokens, open(self.path / "offsets.npy", "r+b") as offsets:
+            base = _header(offsets)
             for batch in batches:
-                for index, ids in zip(batch.column("doc_index").to_pylist(), batch.column("token_ids").to_pylist()):
-                    if not ids:
-                        continue
-                    if index <= before:
-                        raise ValueError("documents of a task must come in order of doc_index")
-                    if any(i is None or not 0 <= i < self.size for i in ids):
-                        raise ValueError("token ids must be integers within the vocabulary")
-                    first, before = (index if first < 0 else first), index
-                    np.array(ids, TOKEN_TYPE).tofile(out)
-                    lengths.append(len(ids))
-        return _Written(name, first, lengths)
-
-    def commit(self, messages: list[_Written | None]) -> None:
-        parts = sorted((m for m in messages if m and m.lengths), key=lambda m: m.first)
-        lengths = [n for m in parts for n in m.lengths]
-        with open(self.path / "tokens.bin", "wb") as out:
-            for m in parts:
-                with open(self.path / "_parts" / m.name, "rb") as part:
-                    while block := part.read(1 << 22):
-                        out.write(block)
-        np.save(self.path / "offsets.npy", np.cumsum([0, *lengths]).astype(OFFSET_TYPE), allow_pickle=False)
+                index, start, length = (batch.column(c).to_numpy() for c in ("doc_index", "start", "length"))
+                ids = batch.column("token_ids").flatten()
+                if ids.null_count or len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < self.size:
+                    raise ValueError("token ids must be integers within the vocabulary")
+                flat = ids.to_numpy().astype(TOKEN_TYPE)
+                end = np.cumsum(length)
+                # documents that follow one another are written in one piece
+                first = np.flatnonzero(np.concatenate(([True], (index[1:] != index[:-1] + 1) | (start[1:] != start[:-1] + length[:-1])))) if len(index) else []
+                for s, e in zip(first, [*first[1:], len(index)]):
+                    tokens.seek(int(start[s]) * item)
+                    tokens.write(flat[int(end[s] - length[s]) : int(end[e - 1])].tobytes())
+                    offsets.seek(base + int(index[s]) * np.dtype(OFFSET_TYPE).itemsize)
+                    offsets.write(start[s:e].astype(OFFSET_TYPE).tobytes())
+        return WriterCommitMessage()
+
+    def commit(self, messages: list) -> None:
         Vocabulary.load(self.vocabulary).save(self.path / "vocab.txt")
-        self.abort(messages)
-        meta = {"format_version": FORMAT_VERSION, "token_dtype": TOKEN_TYPE, "offset_dtype": OFFSET_TYPE, "vocab_size": self.size, "num_documents": len(lengths), "num_tokens": sum(lengths)}
+        meta = {"format_version": FORMAT_VERSION, "token_dtype": TOKEN_TYPE, "offset_dtype": OFFSET_TYPE, "vocab_size": self.size, "num_documents": self.documents, "num_tokens": self.tokens}
         (self.path / "metadata.json").write_text(json.dumps(meta, indent=2) + "\n", encoding="utf-8")
 
     def abort(self, messages: list) -> None:
-        for part in (self.path / "_parts").iterdir():
-            os.unlink(part)
-        (self.path / "_parts").rmdir()
+        for name in ("tokens.bin", "offsets.npy"):
+            (self.path / name).unlink(missing_ok=True)
+
+
+def _header(offsets: BinaryIO) -> int:
+    """Where the values of an array file begin."""
+    version = np.lib.format.read_magic(offsets)
+    (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(offsets)
+    return offsets.tell()
+
+
+def _reserve(path: Path, documents: int, tokens: int) -> None:
+    """Files of a packed store at their full size, with the last offset."""
+    path.mkdir(parents=True, exist_ok=False)
+    with open(path / "tokens.bin", "wb") as out:
+        out.truncate(tokens * np.dtype(TOKEN_TYPE).itemsize)
+    with open(path / "offsets.npy", "wb") as out:
+        np.lib.format.write_array_header_1_0(out, {"descr": OFFSET_TYPE, "fortran_order": False, "shape": (documents + 1,)})
+        out.truncate(out.tell() + documents * np.dtype(OFFSET_TYPE).itemsize)
+        out.seek(0, os.SEEK_END)
+        out.write(np.array([tokens], OFFSET_TYPE).tobytes())
 
 
 class TokenBin(DataSource):
@@ -263,9 +280,14 @@ def register(spark: SparkSession) -> None:
 
 
 def write_packed(documents: DataFrame, path: str, vocabulary_file: str, *, order: str = "pos") -> None:
-    """Write a new packed store from (order, token_ids); an existing folder is an error."""
+    """Write a new packed store from (order, token_ids) into a folder that all tasks share; an existing one is an error."""
     if Path(path).exists():
         raise FileExistsError(path)
+    if len(Vocabulary.load(vocabulary_file)) > MAX_VOCABULARY:
+        raise ValueError(f"a store holds at most {MAX_VOCABULARY} tokens")
     register(documents.sparkSession)
-    rows = document_offsets(documents, order=order).repartitionByRange("doc_index").sortWithinPartitions("doc_index")
-    rows.write.format("tokenbin").option("path", path).option("vocabulary", vocabulary_file).mode("append").save()
+    rows = cut(document_offsets(documents, order=order))
+    seen = rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+    _reserve(Path(path), seen["documents"], seen["tokens"])
+    out = rows.sortWithinPartitions("doc_index").write.format("tokenbin").option("path", path).option("vocabulary", vocabulary_file)
+    out.option("documents", seen["documents"]).option("tokens", seen["tokens"]).mode("append").save()
