@@ -66,9 +66,14 @@ def first_batches(batches: DataFrame, n: int) -> DataFrame:
     return batches.filter(F.col("batch_id") < n)
 
 
+def hex_hashed(*parts: Column) -> Column:
+    """60 random bits, as 15 digits that order like their number, from the MD5 of parts joined by bars."""
+    return F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15)
+
+
 def hashed(*parts: Column) -> Column:
-    """60 random bits from the MD5 of parts joined by bars: the same in any engine and partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")
+    """``hex_hashed`` as a number: the same in any engine and partitioning."""
+    return F.conv(hex_hashed(*parts), 16, 10).cast("bigint")
 
 
 def mlm_mask(batches: DataFrame, vocab_size: int, *, seed: int = 42, epoch: int = 0, mask_probability: float = 0.15) -> DataFrame:
@@ -89,7 +94,7 @@ def mlm_mask(batches: DataFrame, vocab_size: int, *, seed: int = 42, epoch: int
     rows = batches.withColumn("input_ids", ids)
     draw = lambda place, kind: hashed(F.lit(seed), F.lit(epoch), F.col("seq_index"), place, F.lit(kind))
     is_candidate = lambda old, i: (F.get("attention_mask", i) == 1) & ~old.isin(PAD_ID, CLS_ID, SEP_ID)
-    drawn = F.transform("input_ids", lambda old, i: F.when(is_candidate(old, i), F.struct(draw(i, "pick").alias("h"), i.alias("i"))))
+    drawn = F.transform("input_ids", lambda old, i: F.when(is_candidate(old, i), F.struct(hex_hashed(F.lit(seed), F.lit(epoch), F.col("seq_index"), i, F.lit("pick")).alias("h"), i.alias("i"))))
     rows = rows.withColumn("__drawn", drawn)
     ranked = F.array_sort(F.filter("__drawn", lambda s: s.isNotNull()))
     count = F.size("__ranked")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,36 +54,35 @@ def epoch_metrics(per_batch: DataFrame) -> DataFrame:
     return per_batch.agg((F.sum(F.col("loss") * F.col("masked")) / F.sum("masked")).alias("loss"), F.count("*").alias("batches"), F.sum("masked").alias("masked_positions"))
 
 
-def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ordered = rows.sort_values("seq_index")
-    return tuple(np.array(ordered[c].tolist(), np.int64) for c in ("input_ids", "attention_mask", "labels"))
+CELLS = ("input_ids", "attention_mask", "labels")
+
+
+def batch_rows(masked: DataFrame) -> DataFrame:
+    """(batch_id, rows, input_ids, attention_mask, labels): one row for every batch, its arrays laid end to end.
+
+    The padding of batches has brought their rows together, so this shuffles nothing.
+    """
+    held = masked.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("seq_index", *CELLS))).alias("rows"))
+    flat = lambda name: F.flatten(F.transform("rows", lambda r: r[name])).alias(name)
+    return held.select("batch_id", F.size("rows").alias("rows"), *map(flat, CELLS))
 
 
 def evaluate_batches(masked: DataFrame, parameters: M.Parameters, shape: M.Shape) -> DataFrame:
     """(batch_id, loss, masked) of every batch; a batch without labels is an error."""
     sent = masked.sparkSession.sparkContext.broadcast(parameters)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_batches(parts):
-            value, n = M.loss(sent.value, shape, *_arrays(rows))
-            yield pd.DataFrame({"batch_id": [rows["batch_id"].iloc[0]], "loss": [value], "masked": [n]})
-
-    needed = masked.select("batch_id", "seq_index", "input_ids", "attention_mask", "labels")
-    return needed.repartition("batch_id").sortWithinPartitions("batch_id").mapInPandas(run, METRICS)
-
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            size = part.column("rows").to_numpy()
+            cells = [part.column(c) for c in CELLS]
+            flat = [c.flatten().to_numpy() for c in cells]
+            ends = np.cumsum(cells[0].value_lengths().to_numpy())
+            got = []
+            for n, s, e in zip(size.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                got.append(M.loss(sent.value, shape, *(x[s:e].reshape(n, -1) for x in flat)))
+            yield pa.RecordBatch.from_arrays([part.column("batch_id"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], ["batch_id", "loss", "masked"])
 
-def _whole_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by batch, whatever the parts they come in."""
-    held: pd.DataFrame | None = None
-    for part in parts:
-        part = part if held is None else pd.concat([held, part])
-        ids = part["batch_id"].to_numpy()
-        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-        for s, e in zip(edges[:-2], edges[1:-1]):
-            yield part.iloc[s:e]
-        held = part.iloc[edges[-2] :] if len(ids) else None
-    if held is not None and len(held):
-        yield held
+    return batch_rows(masked).mapInArrow(run, METRICS)
 
 
 def evaluate_epoch(masked: DataFrame, parameters: M.Parameters, shape: M.Shape) -> EpochMetrics:
@@ -92,25 +92,17 @@ def evaluate_epoch(masked: DataFrame, parameters: M.Parameters, shape: M.Shape)
     return EpochMetrics(row["loss"], row["batches"], row["masked_positions"])
 
 
-def _streamed(masked: DataFrame) -> Iterator[pd.DataFrame]:
-    """Batches in order; one partition at a time is held."""
-    rows = masked.select("batch_id", "seq_index", "input_ids", "attention_mask", "labels")
-    ordered = rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "seq_index")
-    held: list = []
-    for row in ordered.toLocalIterator():
-        if held and row["batch_id"] != held[0]["batch_id"]:
-            yield pd.DataFrame([r.asDict() for r in held])
-            held = []
-        held.append(row)
-    if held:
-        yield pd.DataFrame([r.asDict() for r in held])
+def _streamed(masked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches in order, one row each; one partition at a time is held."""
+    for row in batch_rows(masked).repartitionByRange("batch_id").sortWithinPartitions("batch_id").toLocalIterator():
+        yield tuple(np.array(row[c], np.int64).reshape(row["rows"], -1) for c in CELLS)
 
 
 def train_epoch(masked: DataFrame, parameters: M.Parameters, shape: M.Shape, optimizer: M.AdamW) -> EpochMetrics:
     """One optimizer step per batch, in order; parameters change in place."""
     weighted = positions = batches = 0
-    for rows in _streamed(masked):
-        value, n, grad = M.loss_and_gradients(parameters, shape, *_arrays(rows))
+    for cells in _streamed(masked):
+        value, n, grad = M.loss_and_gradients(parameters, shape, *cells)
         optimizer.step(parameters, grad)
         weighted, positions, batches = weighted + value * n, positions + n, batches + 1
     if not positions:
