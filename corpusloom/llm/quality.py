@@ -4,6 +4,11 @@ Method: huge documents are split into chunks, every chunk gives associative
 partial counts with the state of its borders, partial counts merge in a tree,
 and ratios and rule outcomes are derived from the merged counts.
 
+Every text is cut into chunks of ``CHUNK`` characters, whose counts merge in a
+binary tree; a text over ``SPREAD`` characters is first cut into stretches of
+that size, which are measured so by different tasks and merge in a tree of
+fan-in ``FAN_IN`` over the cluster, level by level.
+
 Partial counts live in two parts.  Additive counts are vectors that simply add.
 The border state of a chunk holds what its first and last word and line lack:
 the polynomial hash and length of an unfinished word at either end, whether a
@@ -31,9 +36,10 @@ from pyspark.sql import functions as F
 from .arrow import need_columns, parallelism, text_groups
 from .kernel import BASE_A, BMP, mix, powers
 
-CHUNK = 1 << 16
+CHUNK = 1 << 10
+SPREAD = 1 << 20
 WINDOW = 128
-FAN_IN = 64
+FAN_IN, LEVELS = 64, 3
 #: A window is prose when one word in 20 or more is a common word and a word takes 12
 #: visible characters or less; single ASCII letters are no common words.
 WINDOW_COMMON, WINDOW_SHARE, WINDOW_LENGTH = 1, 20, 12
@@ -284,36 +290,76 @@ def _frame(key: pa.Array, sums: np.ndarray, prose: np.ndarray, blank: np.ndarray
     return pa.RecordBatch.from_arrays([key, *_ratios(sums, prose, blank)], ["key", *NAMES])
 
 
-def statistics(df: DataFrame, key: str, text: str, common: Iterable[str], *, chunk: int = CHUNK) -> DataFrame:
+def cut_places(text: str, chunk: int) -> list[tuple[int, str]]:
+    """(place, chunk) of a text, each character copied once."""
+    return [(i, text[i : i + chunk]) for i in range(0, len(text), chunk)] or [(0, "")]
+
+
+def tree(parts: list[Partial], common: np.ndarray) -> Partial:
+    """Consecutive partial counts merged two by two, level by level."""
+    while len(parts) > 1:
+        parts = [merge(*parts[i : i + 2], common) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def partials(texts: list[str], begins: list[int], common: np.ndarray, chunk: int) -> list[Partial]:
+    """Counts of every text that begins at a place of its document, merged from its chunks."""
+    held = [(i, begin + place, part) for i, (text, begin) in enumerate(zip(texts, begins)) for place, part in cut_places(text, chunk)]
+    _, _, parts = measure([part for _, _, part in held], common, [place for _, place, _ in held])
+    bounds = np.searchsorted([i for i, _, _ in held], np.arange(len(texts) + 1))
+    return [tree(parts[bounds[i] : bounds[i + 1]], common) for i in range(len(texts))]
+
+
+def whole_counts(texts: list[str], common: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, visible characters in prose windows) of whole texts; one of a single chunk needs no merging."""
+    sums, prose = np.zeros((len(texts), len(SUMS)), np.int64), np.zeros(len(texts), np.int64)
+    one = [i for i, t in enumerate(texts) if len(t) <= chunk]
+    if one:
+        sums[one], prose[one], _ = measure([texts[i] for i in one], common)
+    more = [i for i, t in enumerate(texts) if len(t) > chunk]
+    if more:
+        done = [finish(p, common) for p in partials([texts[i] for i in more], [0] * len(more), common, chunk)]
+        sums[more], prose[more] = np.stack([d[0] for d in done]), [d[1] for d in done]
+    return sums, prose
+
+
+def statistics(df: DataFrame, key: str, text: str, common: Iterable[str], *, chunk: int = CHUNK, spread: int = SPREAD) -> DataFrame:
     """(key, words, ratios, is_prose) for every row.
 
-    Texts up to ``chunk`` characters are measured where they are; longer ones
-    are cut, their chunks spread over the cluster and merged by a tree of fan-in
-    ``FAN_IN``.  Null texts have null statistics; empty and blank texts have
-    zeros and are no prose.  Rows repeat as they come; other columns are ignored.
+    Chunks of a text merge where they are measured; stretches of a text over
+    ``spread`` characters are measured all over the cluster and merge by a tree
+    of fan-in ``FAN_IN``.  Null texts have null statistics; empty and blank texts
+    have zeros and are no prose.  Rows repeat as they come; other columns are
+    ignored.
     """
     need_columns(df, key, text)
-    if chunk < WINDOW or chunk % WINDOW:
-        raise ValueError(f"chunk must be a multiple of {WINDOW}")
+    if chunk < WINDOW or chunk % WINDOW or spread < chunk or spread % chunk:
+        raise ValueError(f"chunk must be a multiple of {WINDOW}, and spread one of chunk")
     sent = df.sparkSession.sparkContext.broadcast(common_hashes(common))
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     schema = f"key bigint, {STATS}"
 
     def direct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in text_groups(batches, "text"):
-            sums, prose, _ = measure(group, sent.value)
+            sums, prose = whole_counts(group, sent.value, chunk)
             yield _frame(batch.column("key"), sums, prose, ~np.asarray(batch.column("text").is_valid()))
 
+    def stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row, text in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "text"))):
+                own = cut_places(text, spread)
+                for part, (_, piece) in enumerate(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([row], pa.int64()), pa.array([part], pa.int64()), pa.array([piece], pa.string())], ["key", "row", "part", "text"])
+
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in text_groups(batches, "text"):
-            part = batch.column("part").to_pylist()
-            _, _, parts = measure(group, sent.value, [p * chunk for p in part])
-            states = [pickle.dumps(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(part, pa.int64()), pa.array(states, pa.binary())], ["key", "row", "part", "state"])
+            begins = [p * spread for p in batch.column("part").to_pylist()]
+            states = [pickle.dumps(p) for p in partials(group, begins, sent.value, chunk)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "row", "part")), pa.array(states, pa.binary())], ["key", "row", "part", "state"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
-        merged = functools.reduce(lambda a, b: merge(a, b, sent.value), map(pickle.loads, pdf["state"]))
+        merged = tree([pickle.loads(x) for x in pdf["state"]], sent.value)
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "row": pdf["row"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN_IN, "state": [pickle.dumps(merged)]})
 
     def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,14 +368,14 @@ def statistics(df: DataFrame, key: str, text: str, common: Iterable[str], *, chu
             if done:
                 yield _frame(batch.column("key"), np.stack([d[0] for d in done]), np.array([d[1] for d in done]), np.zeros(len(done), np.bool_))
 
-    small = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk)).mapInArrow(direct, schema)
-    large = rows.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    pieces = large.select("key", "row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("text") - 1) / chunk))).alias("part"), "text")
-    pieces = pieces.select("key", "row", "part", F.substring(F.col("text"), (F.col("part") * chunk + 1).cast("int"), F.lit(chunk)).alias("text"))
-    states = pieces.repartition(parallelism(df.sparkSession), "row", "part").mapInArrow(partial, "key bigint, row bigint, part bigint, state binary")
+    small = rows.filter(F.col("text").isNull() | (F.length("text") <= spread)).mapInArrow(direct, schema)
+    large = rows.filter(F.length("text") > spread).withColumn("row", F.monotonically_increasing_id())
+    pieces = large.select("key", "row", "text").mapInArrow(stretches, "key bigint, row bigint, part bigint, text string")
     level = "key bigint, row bigint, part bigint, state binary"
-    inner = states.groupBy("row", F.floor(F.col("part") / FAN_IN).alias("of")).applyInPandas(join, level)
-    whole = inner.groupBy("row").applyInPandas(join, level).mapInArrow(last, schema)
+    states = pieces.repartition(parallelism(df.sparkSession), "row", "part").mapInArrow(partial, level)
+    for _ in range(LEVELS - 1):
+        states = states.groupBy("row", F.floor(F.col("part") / FAN_IN).alias("of")).applyInPandas(join, level)
+    whole = states.groupBy("row").applyInPandas(join, level).mapInArrow(last, schema)
     return small.unionByName(whole).withColumnRenamed("key", key)
 
 
