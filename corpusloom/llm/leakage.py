@@ -41,15 +41,13 @@ from corpusloom.plans.lineage import cut
 from .arrow import binaries, need_columns, text_groups
 from .folddup import groups_of_keys, text_keys
 from .kernel import Chunk, mix
-from .neardup import BLOOM_BITS, BUCKET_POSTINGS, SKETCH_BITS, bloom, expanded, flat, likely, merged_blocks, packed_blocks, sealed_pass, set_classes, suffix_filtered, verified
+from .neardup import BLOOM_BITS, BUCKET_POSTINGS, HOT_POSTINGS, bloom, expanded, flat, likely, merged_blocks, packed_blocks, sealed_pass, set_classes, sketch_bits, suffix_filtered, verified, within
 
 #: Words of evaluation text whose passages one shard holds.
 SHARD_WORDS = 4_000_000
 KNOWN_BITS = 25
 SYMBOLS = 2
 PAIR_ROWS = 1 << 20
-#: Occurrences of an n-gram that one task scans.
-HOT_POSTINGS = 250_000
 TRAIN, EVAL = 1, 0
 
 
@@ -217,14 +215,15 @@ def _copy_groups(rows: DataFrame, sides: DataFrame) -> DataFrame:
     by = ["k1", "k2", "size"]
     both = keys.join(sides, "key").groupBy(*by).agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo <> hi").select(*by)
     kept = cut(keys.join(both, by, "left_semi"))
-    maybe = rows.sparkSession.sparkContext.broadcast(bloom(kept.select("key"), BLOOM_BITS))
-    texts = rows.select("key", "text").mapInArrow(lambda batches: likely(batches, maybe.value, BLOOM_BITS), "key bigint, text string")
+    size = within(16.0 * kept.count(), BLOOM_BITS)
+    maybe = rows.sparkSession.sparkContext.broadcast(bloom(kept.select("key"), size))
+    texts = rows.select("key", "text").mapInArrow(lambda batches: likely(batches, maybe.value, size), "key bigint, text string")
     found = cut(groups_of_keys(texts, "key", "text", kept))
     firsts = found.select(F.col("first_no").alias("key"), F.col("first_no").alias("copy")).distinct()
     return found.select(F.col("copy_no").alias("key"), F.col("first_no").alias("copy")).unionByName(firsts)
 
 
-def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS, hot: int = HOT_POSTINGS) -> DataFrame:
+def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int | None = None, hot: int = HOT_POSTINGS) -> DataFrame:
     """(train, eval, copy, shared): pairs across splits that are copies or similar enough.
 
     ``copy`` is 1 where letters and digits agree in order (problem 5), and
@@ -238,6 +237,7 @@ def cross_split_pairs(df: DataFrame, key: str, text: str, split: str, *, train:
     sides = rows.select("key", "side")
     groups = cut(_copy_groups(rows, sides))
 
+    bits = sketch_bits(rows) if bits is None else bits
     cells, members, salt = sealed_pass(rows, ngram, bits)
     order = spark.sparkContext.broadcast(cells)
     posted = float(cells.sum(dtype=np.float64))
@@ -302,11 +302,11 @@ def _known_grams(df: DataFrame, ngram: int, order: object) -> DataFrame:
     return df.mapInArrow(run, "gram bigint").distinct()
 
 
-def coverage(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def coverage(df: DataFrame, key: str, text: str, split: str, *, train: str = "train", ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), shard_words: int = SHARD_WORDS, bits: int | None = None) -> DataFrame:
     """(key, words, covered): words of each evaluation record inside n-grams that training texts hold.
 
-    All places of a record count, however little of it recurs, so ``threshold``
-    and ``shard_words``, which bound the search for pairs, change nothing here.
+    All places of a record count, however little of it recurs, so ``threshold``,
+    ``shard_words`` and ``bits``, which serve the search for pairs, change nothing here.
     Rows of null text or null split take no part; records shorter than ``ngram``
     words are not covered.
     """

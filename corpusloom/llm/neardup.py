@@ -6,9 +6,9 @@ and suffix filters, joined on prefix n-grams, each pair verified once.
 1. Every text becomes its set of distinct n-gram hashes (``kernel``).  Rows with
    the same set form one *class*; from here on only classes take part, so a
    text that a third of all rows repeat costs one posting per task.
-2. A count sketch of a fixed number of cells, filled from all n-grams of all
-   texts, orders n-grams rare-first.  Any order is exact; this one is merely
-   quick.  Its size is a parameter, so its broadcast is bounded.
+2. A count sketch, filled from all n-grams of all texts, orders n-grams
+   rare-first.  Any order is exact; this one is merely quick.  Its cells grow
+   with the input up to ``SKETCH_BITS``, so its broadcast is bounded.
 3. A class posts the first n - ceil(t n) + 1 n-grams of its order, packed by
    bucket of n-gram; the number of buckets follows the number of postings.
    Within one n-gram the length filter and the positional filter choose
@@ -24,6 +24,7 @@ and suffix filters, joined on prefix n-grams, each pair verified once.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -37,11 +38,16 @@ from corpusloom.plans.lineage import cut
 from .arrow import binaries, need_columns, parallelism, text_groups
 from .kernel import Chunk, mix, unique_per_document
 
-SKETCH_BITS = 20
+#: Cells of the sketch as powers of two: one for 256 bytes of input, within these.
+SKETCH_BITS = (20, 24)
 BLOCK = 1 << 14
-SALTS = 8
+#: Partners of a class that one task compares, and the share of all pairs a class must have to be dealt to several.
+HOME_PAIRS, HOME_SHARE = 50_000, 1_000
 BUCKET_POSTINGS = 500_000
-BLOOM_BITS = 23
+#: Postings of an n-gram that are not dealt.
+HOT_POSTINGS = 250_000
+#: Bits of Bloom filters as powers of two: 16 for a key, within these; a full one only filters less.
+BLOOM_BITS = (20, 28)
 PAIR_BLOCK = 1 << 17
 POSTING = np.dtype([("gram", "<u4"), ("at", "<u2")])
 
@@ -77,7 +83,17 @@ def saturating_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a + b < a, np.uint32(0xFFFFFFFF), a + b)
 
 
-def first_pass(df: DataFrame, ngram: int, bits: int = SKETCH_BITS, salt: int = 0) -> tuple[np.ndarray, DataFrame]:
+def within(value: float, bounds: tuple[int, int]) -> int:
+    """The power of two that holds a value, within bounds."""
+    return max(bounds[0], min(bounds[1], math.ceil(math.log2(max(value, 1)))))
+
+
+def sketch_bits(df: DataFrame) -> int:
+    """Bits for the sketch of a table by what the optimizer says of its size."""
+    return within(float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 256, SKETCH_BITS)
+
+
+def first_pass(df: DataFrame, ngram: int, bits: int, salt: int = 0) -> tuple[np.ndarray, DataFrame]:
     """One pass over (key, text): the count sketch and (key, cls, seal, n, fold, bits).
 
     The sketch counts the distinct n-grams of every text in ``2**bits`` cells.
@@ -181,7 +197,7 @@ def may_share(one: Bitmaps, i: np.ndarray, two: Bitmaps, j: np.ndarray, least: n
     return ok
 
 
-def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int, salt: int = 0) -> DataFrame:
+def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits: int, buckets: int, salt: int = 0, hot: int = HOT_POSTINGS) -> DataFrame:
     """(bucket, cls, n, grams): rare-first prefixes, packed by class and bucket; a class once per task chunk."""
     num, den = threshold.numerator, threshold.denominator
 
@@ -202,6 +218,14 @@ def postings(df: DataFrame, ngram: int, threshold: Fraction, order: object, bits
             prefix = size + (-size * num) // den + 1
             keep = once[owner] & (at < prefix[owner])
             gram, who, at = mix(value[by][keep]), owner[keep], at[keep]
+            cells_of = 1 + count[by][keep].astype(np.int64) // hot
+            if (cells_of > 1).any():
+                own = np.repeat(np.arange(gram.size), cells_of)
+                mine = (cls.view(np.uint64)[who[own]] % cells_of[own].astype(np.uint64)).astype(np.int64)
+                other = np.arange(own.size) - np.searchsorted(own, own)
+                cell = np.minimum(mine, other) * (1 << 32) + np.maximum(mine, other) + 1
+                gram = np.where(cells_of[own] > 1, mix(gram[own] ^ mix(cell.astype(np.uint64))), gram[own])
+                who, at = who[own], at[own]
             bucket = (gram >> np.uint64(32)).astype(np.int64) % buckets
             group_by = np.lexsort((bucket, who))
             gram, who, at, bucket = gram[group_by], who[group_by], at[group_by], bucket[group_by]
@@ -368,7 +392,7 @@ def bloom_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)]
 
 
-def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, threshold: float | Fraction = Fraction(4, 5), bits: int | None = None, hot: int = HOT_POSTINGS) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members(key, cls, n, fold, bits)`` and ``links(a, b, shared)`` between classes.
 
     Rows of null key take no part; repeated rows are members each.
@@ -384,11 +408,12 @@ def similar_classes(df: DataFrame, key: str, text: str, *, ngram: int = 5, thres
         raise ValueError("threshold must be in (0, 1] and ngram at least 1")
     spark: SparkSession = df.sparkSession
     base = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
+    bits = sketch_bits(base) if bits is None else bits
     cells, members, salt = sealed_pass(base, ngram, bits)
     order = spark.sparkContext.broadcast(cells)
     posted = float(cells.sum(dtype=np.float64)) * float(1 - threshold)
     buckets = max(spark.sparkContext.defaultParallelism, int(posted // BUCKET_POSTINGS) + 1)
-    found = candidates(postings(base, ngram, threshold, order, bits, buckets, salt), threshold, buckets)
+    found = candidates(postings(base, ngram, threshold, order, bits, buckets, salt, hot), threshold, buckets)
     return members, verified(cut(suffix_filtered(found, members, threshold)), base, members, ngram, threshold)
 
 
@@ -397,16 +422,21 @@ def verified(pairs: DataFrame, base: DataFrame, members: DataFrame, ngram: int,
     spark = base.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     chosen = cut(members.groupBy("cls").agg(F.min("key").alias("key")).join(wanted, "cls", "left_semi"))
-    maybe = spark.sparkContext.broadcast(bloom(chosen.select("key"), BLOOM_BITS))
+    bloom_size = within(16.0 * chosen.count(), BLOOM_BITS)
+    maybe = spark.sparkContext.broadcast(bloom(chosen.select("key"), bloom_size))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, group in text_groups(likely(batches, maybe.value, BLOOM_BITS), "text"):
+        for batch, group in text_groups(likely(batches, maybe.value, bloom_size), "text"):
             value, doc = Chunk(group).shingles(ngram)
             value, bounds = unique_per_document(value, doc, len(group))
             yield pa.RecordBatch.from_arrays([batch.column("key"), binaries(value.view(np.uint8), bounds * 8)], ["key", "grams"])
 
     sets = base.select("key", "text").mapInArrow(grams, "key bigint, grams binary").join(chosen, "key").select("cls", "grams")
-    salted = pairs.select(F.col("a").alias("home"), F.pmod("b", F.lit(SALTS)).cast("int").alias("salt"), F.col("b").alias("member"))
+    # at most HOME_SHARE classes can have so many partners each
+    least = max(HOME_PAIRS, pairs.count() // HOME_SHARE)
+    dealt = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("a", F.ceil(F.col("n") / HOME_PAIRS).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = pairs.join(F.broadcast(dealt), "a", "left").select(F.col("a").alias("home"), salt.alias("salt"), F.col("b").alias("member"))
     own = salted.select("home", "salt", F.col("home").alias("member")).distinct()
     sent = salted.unionByName(own).join(sets, F.col("member") == F.col("cls")).select("home", "salt", "member", "grams", (F.col("member") != F.col("home")).alias("other"))
     together = sent.repartition(parallelism(spark), "home", "salt").sortWithinPartitions("home", "salt", "other")
