@@ -36,8 +36,8 @@ SENTENCE, LINE, INSIDE = 3.0, 6.0, 14.0
 CLIP = 4.0
 ENDING = 3
 OTHER = "other"
-#: Words a block of a long text holds; words from which on a script's letters are known; windows that calibrate.
-BLOCK_WORDS = 512
+#: Words a block of a long text holds, and blocks that make a text long; words from which on a script's letters are known; windows that calibrate.
+BLOCK_WORDS, LONG = 512, 16
 ALPHABET_WORDS = 1_000
 LEAST_WINDOWS = 500
 
@@ -301,9 +301,9 @@ def viterbi(score: np.ndarray, cost: np.ndarray, first: np.ndarray, last: np.nda
     """Best label of every word; sequences [first, last) advance together, step by step, long ones in blocks."""
     label = np.zeros(score.shape[0], np.int8)
     size = last - first
-    for i in np.flatnonzero(size > 2 * block).tolist():
+    for i in np.flatnonzero(size > LONG * block).tolist():
         label[first[i] : last[i]] = _blocks(score, cost, int(first[i]), int(last[i]), block)
-    short = size <= 2 * block
+    short = size <= LONG * block
     first, last, size = first[short], last[short], size[short]
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
