@@ -6,7 +6,7 @@ the operators avoid; it is quick enough at the scale of the comparison.
 
 from __future__ import annotations
 
-from corpusloom.plans.oracle import KINDS, _normalized, _tokens
+from corpusloom.plans.oracle import _FULL, _HALF, BLANK, KINDS, _normalized, _quoted, _tokens
 
 FOLD = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 NORM = f"norm AS (SELECT pos, split, {_normalized('text')} AS t FROM clean_corpus WHERE text IS NOT NULL)"
@@ -52,9 +52,32 @@ MIXED = f"""sized AS (SELECT doc_id, {LISTED} AS name, coalesce(len({_tokens('te
  mix AS (SELECT doc_id, source, n AS tokens, CAST(whole + CASE WHEN rest > 0 AND q IS NOT NULL AND earlier * 2 + n <= rest * 2 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM places)"""
 
 
+# The statistics of problem 1 character by character; of compatibility forms the texts hold full-width ones and the ellipsis.
+QUALITY = rf"""chars AS (SELECT pos, generate_subscripts(cs, 1) - 1 AS place, unnest(cs) AS c FROM (SELECT pos, regexp_extract_all(text, '(?s).') AS cs FROM clean_corpus WHERE text <> '')),
+ kinds AS (SELECT pos, place, c, CASE WHEN regexp_matches(c, '{BLANK}') THEN 1 WHEN regexp_matches(c, '[\p{{Cc}}\p{{Cf}}\p{{Mn}}]') THEN 0 WHEN regexp_matches(c, '[\p{{L}}\p{{N}}]') THEN 2 ELSE 3 END AS k, lower(translate(c, {_quoted(_FULL)}, {_quoted(_HALF)})) AS fold FROM chars),
+ live AS (SELECT *, CAST(k = 2 AND lag(k) OVER (PARTITION BY pos ORDER BY place) IS DISTINCT FROM 2 AS INTEGER) AS begins FROM kinds WHERE k > 0),
+ numbered AS (SELECT *, sum(begins) OVER (PARTITION BY pos ORDER BY place ROWS UNBOUNDED PRECEDING) AS w FROM live),
+ frequent AS (SELECT DISTINCT word FROM common_words WHERE length(word) > 1 OR NOT regexp_full_match(word, '[\x{{00}}-\x{{7F}}]*')),
+ words AS (SELECT pos, w, min(place) AS begun, count(*) AS size, string_agg(fold, '' ORDER BY place) IN (SELECT word FROM frequent) AS hit FROM numbered WHERE k = 2 GROUP BY pos, w),
+ seen AS (SELECT pos, place // 128 AS win, count(*) AS visible FROM kinds WHERE k >= 2 GROUP BY ALL),
+ begun AS (SELECT pos, begun // 128 AS win, count(*) AS n, count(*) FILTER (WHERE hit) AS common FROM words GROUP BY ALL),
+ prose AS (SELECT pos, sum(visible) AS prose FROM seen JOIN begun USING (pos, win) WHERE common >= 1 AND common * 20 >= n AND visible <= n * 12 GROUP BY pos),
+ totals AS (SELECT pos, count(*) FILTER (WHERE k >= 2) AS visible, count(*) FILTER (WHERE k = 3) AS symbols, count(*) FILTER (WHERE k = 2 AND fold BETWEEN '0' AND '9') AS digits FROM kinds GROUP BY pos),
+ sums AS (SELECT pos, count(*) AS words, sum(size) AS word_chars, count(*) FILTER (WHERE hit) AS common FROM words GROUP BY pos),
+ placed AS (SELECT *, coalesce(sum(CAST(c = chr(10) AS INTEGER)) OVER (PARTITION BY pos ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM kinds),
+ ends AS (SELECT pos, line, arg_max(translate(c, {_quoted(_FULL)}, {_quoted(_HALF)}), place) AS last FROM placed WHERE k >= 2 GROUP BY ALL),
+ lines AS (SELECT pos, count(*) AS lines, count(*) FILTER (WHERE last IN ('.', '!', '?', '…', '。', '"', '”', chr(39), '’', ')', '»', ':', ';')) AS ended FROM ends GROUP BY pos),
+ measured AS (SELECT c.pos, c.text IS NULL AS none, coalesce(s.words, 0) AS words, coalesce(word_chars, 0) / greatest(coalesce(s.words, 0), 1) AS mean_word_length, coalesce(symbols, 0) / greatest(coalesce(visible, 0), 1) AS symbol_ratio, coalesce(digits, 0) / greatest(coalesce(visible, 0), 1) AS digit_ratio,
+  coalesce(lines, 0) AS line_count, coalesce(ended, 0) / greatest(coalesce(lines, 0), 1) AS ended_line_share, coalesce(common, 0) / greatest(coalesce(s.words, 0), 1) AS common_share, coalesce(prose, 0) / greatest(coalesce(visible, 0), 1) AS prose_share
+  FROM clean_corpus c LEFT JOIN totals USING (pos) LEFT JOIN sums s USING (pos) LEFT JOIN lines USING (pos) LEFT JOIN prose USING (pos)),
+ stats AS (SELECT *, prose_share >= 0.5 AND symbol_ratio <= 0.25 AND digit_ratio <= 0.3 AS is_prose FROM measured)"""
+
+
 def oracle_sql() -> dict[str, str]:
     listed = r"regexp_replace(lower(source), '^\s+|\s+$', '', 'g')"
     return {
+        "p1_stats": f"WITH {QUALITY} SELECT pos, CASE WHEN NOT none THEN words END AS words, CASE WHEN NOT none THEN mean_word_length END AS mean_word_length, CASE WHEN NOT none THEN symbol_ratio END AS symbol_ratio, CASE WHEN NOT none THEN digit_ratio END AS digit_ratio, CASE WHEN NOT none THEN line_count END AS line_count, CASE WHEN NOT none THEN ended_line_share END AS ended_line_share, CASE WHEN NOT none THEN common_share END AS common_share, CASE WHEN NOT none THEN prose_share END AS prose_share, CASE WHEN NOT none THEN is_prose END AS is_prose FROM stats",
+        "p1_found": f"WITH {QUALITY} SELECT pos FROM stats WHERE NOT none AND NOT is_prose",
         "p3_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM (SELECT pa, pb FROM alike UNION SELECT a.pos, b.pos FROM folded a JOIN folded b ON a.f = b.f AND a.f <> '' AND a.pos < b.pos) JOIN clean_corpus x ON x.pos = pa JOIN clean_corpus y ON y.pos = pb WHERE (x.split = 'train') <> (y.split = 'train')",
         "p3_report": f"WITH {CROSS}, per AS (SELECT pos, count(*) AS pairs, sum(copy) AS copies FROM crossed GROUP BY pos) SELECT split, source, count(*) AS records, count(pairs) AS leaked, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(copies), 0) AS BIGINT) AS copies FROM clean_corpus LEFT JOIN per USING (pos) WHERE split <> 'train' GROUP BY ALL",
         "p3_coverage": rf"""WITH {NORM}, words AS (SELECT pos, split, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM norm WHERE t IS NOT NULL),
@@ -70,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
  records AS (SELECT min(line_number) OVER (PARTITION BY c) AS first_no, line_number AS copy_no FROM canon)
  SELECT 'clean_corpus' AS table_name, * FROM texts WHERE first_no <> copy_no UNION ALL SELECT 'raw_records', * FROM records WHERE first_no <> copy_no""",
         "p5_collapsed": f"WITH {FOLDED}, groups AS (SELECT min(pos) AS pos, count(*) AS copies FROM folded GROUP BY f) SELECT pos, copies FROM groups UNION ALL SELECT pos, 1 FROM norm WHERE t IS NULL",
+        "p5_collapsed_records": f"WITH {RECORDS} SELECT min(line_number) AS line_number, count(*) AS copies FROM canon GROUP BY c UNION ALL SELECT line_number, 1 FROM lines WHERE value IS NOT NULL AND line_number NOT IN (SELECT line_number FROM canon)",
         "p6_found": f"WITH {GRAMS} SELECT pa AS pos_a, pb AS pos_b FROM alike JOIN folded x ON x.pos = pa JOIN folded y ON y.pos = pb WHERE x.f <> y.f",
         "p6_groups": f"WITH {FIVES} SELECT pos, coalesce(c.class_id, pos) AS class_id, coalesce(links, 0) AS links FROM clean_corpus LEFT JOIN classes c USING (pos) LEFT JOIN degree d ON d.class_id = c.class_id",
         "p8_mix": f"WITH {MIXED} SELECT doc_id, source, tokens, copies FROM mix WHERE copies > 0",
