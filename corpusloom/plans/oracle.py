@@ -162,6 +162,12 @@ def oracle_sql() -> dict[str, str]:
         "layer_norm": f"WITH {CELLS}, m AS (SELECT vec_id, avg(x) AS a, var_pop(x) AS v FROM cells GROUP BY vec_id) SELECT vec_id, CAST(place AS INTEGER) AS place, round((x - a) / sqrt(v + 0.00001::DOUBLE), 4) + 0.0 AS x FROM cells JOIN m USING (vec_id)",
         "gelu": f"WITH {CELLS} SELECT vec_id, CAST(place AS INTEGER) AS place, round({_GELU}, 6) AS y FROM cells",
         "linear": _linear(),
+        "linear_whole": f"WITH {CELLS} SELECT vec_id, CAST(i AS INTEGER) AS place, round(sum(x * (((31 * i + 17 * place + i * place) % 13 - 6) / 8.0::DOUBLE)) + (i - 3) / 4.0::DOUBLE, 6) AS y FROM cells, range(0, 8) r(i) GROUP BY vec_id, i",
+        "position_add_whole": f"WITH {CELLS} SELECT vec_id, CAST(place AS INTEGER) AS place, round(x + (((5 * (place // 8) + 3 * (place % 8)) % 9) - 4) / 4.0::DOUBLE, 6) AS y FROM cells",
+        "attention_whole": f"""WITH {CELLS}, parts AS (SELECT vec_id, place // 8 AS i, place % 8 AS d, x FROM cells),
+ scores AS (SELECT q.vec_id, q.i, k.i AS j, exp(sum(q.x * k.x) / sqrt(8.0::DOUBLE)) AS e FROM parts q JOIN parts k ON k.vec_id = q.vec_id AND k.d = q.d AND k.i < 7 GROUP BY ALL),
+ totals AS (SELECT vec_id, i, sum(e) AS t FROM scores GROUP BY ALL)
+ SELECT s.vec_id, CAST(s.i * 8 + v.d AS INTEGER) AS place, round(sum(s.e * v.x) / any_value(t), 6) + 0.0 AS y FROM scores s JOIN totals USING (vec_id, i) JOIN parts v ON v.vec_id = s.vec_id AND v.i = s.j GROUP BY s.vec_id, s.i, v.d""",
         "softmax": f"WITH {CELLS}, m AS (SELECT vec_id, sum(exp(x)) AS s FROM cells GROUP BY vec_id) SELECT vec_id, CAST(place AS INTEGER) AS place, round(exp(x) / s, 6) AS y FROM cells JOIN m USING (vec_id)",
         "position_add": _places(),
         "attention": _attention(),

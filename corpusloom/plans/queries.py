@@ -329,7 +329,7 @@ def attention_whole(spark: SparkSession, sf: str) -> DataFrame:
     """One head over all places as eight vectors, each of them a query, the last one masked as a key."""
     mask = F.array(*[F.lit(int(i < PLACES // HEAD - 1)) for i in range(PLACES // HEAD)])
     out = V.let(_heads(), lambda parts: F.flatten(F.transform(parts, lambda q: V.attention(q, parts, parts, mask))))
-    return _vectors(spark, sf).select("vec_id", F.posexplode(out).alias("place", "y")).select("vec_id", "place", F.round("y", 6).alias("y"))
+    return _vectors(spark, sf).select("vec_id", F.posexplode(out).alias("place", "y")).select("vec_id", "place", (F.round("y", 6) + 0.0).alias("y"))
 
 
 def mlm_loss(spark: SparkSession, sf: str) -> DataFrame:
