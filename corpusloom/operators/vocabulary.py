@@ -2,7 +2,7 @@
 
 Counting is distributed.  Learning merges is sequential by definition, each
 merge depending on all before; its state is the table of distinct words, which
-one task holds in memory and turns into the vocabulary.
+one task holds in memory (``MAX_WORDS``) and turns into the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import SPECIAL_TOKENS, basic_tokens
 
 CONTINUED = "##"
+#: Distinct words the learning task holds at most, about half a kilobyte each; more are an error.
+MAX_WORDS = 10_000_000
 DIGITS = "0123456789"
 
 
@@ -152,6 +154,18 @@ class MergeState:
             heapq.heappop(self.heap)
         return None
 
+    def pop(self) -> tuple[str, str] | None:
+        """The best pair, which stays out until ``refresh`` or a merge that touches it scores it anew."""
+        pair = self.best()
+        if pair is not None:
+            heapq.heappop(self.heap)
+            del self.current[pair]
+        return pair
+
+    def refresh(self, pairs: Iterable[tuple[str, str]]) -> None:
+        """Score pairs anew; those that still occur are candidates again."""
+        self._rescore(pairs)
+
     def merge(self, pair: tuple[str, str]) -> int:
         """Join the pair in every word, left to right; the number of words changed."""
         new = pair[0] + pair[1].removeprefix(CONTINUED)
@@ -206,6 +220,8 @@ def train_vocabulary(texts: DataFrame, vocab_size: int, *, text: str = "text", d
         held: dict[str, int] = {}
         for batch in batches:
             held.update(zip(batch["word"].tolist(), batch["n"].tolist()))
+            if len(held) > MAX_WORDS:
+                raise ValueError(f"more than {MAX_WORDS} distinct words; raise min_frequency")
         tokens = learn_merges(dict(sorted(held.items())), vocab_size)
         yield pd.DataFrame({"id": range(len(tokens)), "token": tokens})
 
